@@ -73,7 +73,7 @@ def chunks(text: Column, limit: int) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, SENTENCE_BREAK), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, SENTENCE_BREAK), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def extractive_summary(

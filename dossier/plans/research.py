@@ -137,7 +137,8 @@ class ResearchRun:
 
     @cached_property
     def findings(self) -> DataFrame:
-        return assemble.finding_status(self.lookups, self.url_summaries)
+        """Staged: query results, word counts, reports and the log all start from it."""
+        return stage(assemble.finding_status(self.lookups, self.url_summaries), "findings")
 
     @cached_property
     def query_findings(self) -> DataFrame:

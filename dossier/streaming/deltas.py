@@ -2,49 +2,61 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+# The functions below travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 OUTPUT = "run_id string, msg_no bigint, output string"
 STATE = "buffer string, msg_no bigint"
-IDLE_MS = 3_600_000
-
-
-def _flush(
-    key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    buffer, msg_no = state.get if state.exists else ("", 0)
-    batch = pd.concat(list(frames)).sort_values("seq", kind="stable")
-    pieces, sent = [buffer], []
-    for delta in batch["delta"].dropna():
-        pieces.append(delta)
-        if "\n" in delta:
-            sent.append("".join(pieces))
-            pieces = []
-    numbers = range(msg_no, msg_no + len(sent))
-    if batch["is_end"].fillna(False).any():
-        # The tail without a line break is not sent.
-        if state.exists:
-            state.remove()
-    else:
-        state.update(("".join(pieces), msg_no + len(sent)))
-        state.setTimeoutDuration(IDLE_MS)
-    yield pd.DataFrame({"run_id": [key[0]] * len(sent), "msg_no": list(numbers), "output": sent})
 
 
-def stream_report_messages(deltas: DataFrame) -> DataFrame:
+def _flush(idle_ms: int | None):
+    def flush(
+        key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
+    ) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        buffer, msg_no = state.get if state.exists else ("", 0)
+        batch = pd.concat(list(frames)).sort_values("seq", kind="stable")
+        pieces, sent = [buffer], []
+        for delta in batch["delta"].dropna():
+            pieces.append(delta)
+            if "\n" in delta:
+                sent.append("".join(pieces))
+                pieces = []
+        if batch["is_end"].eq(True).any():
+            # The tail without a line break is not sent.
+            if state.exists:
+                state.remove()
+        else:
+            state.update(("".join(pieces), msg_no + len(sent)))
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
+        numbers = list(range(msg_no, msg_no + len(sent)))
+        yield pd.DataFrame({"run_id": [key[0]] * len(sent), "msg_no": numbers, "output": sent})
+
+    return flush
+
+
+def stream_report_messages(deltas: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """Messages of a delta stream (run_id, seq, delta, is_end).
 
     Deltas of a run arrive in order over the micro-batches; within one they are sorted.
-    A run's state, at most one unfinished paragraph, goes at its end marker or
-    after an hour without deltas.
+    A run's state is at most one unfinished paragraph, and goes at its end marker.  A stream
+    that never stops should give ``idle_ms``, so that runs that break off are dropped
+    too; a stream read with ``availableNow`` must not, as it would wait for them for ever.
     """
+    timeout = (
+        GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    )
     return deltas.groupBy("run_id").applyInPandasWithState(
-        _flush, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
+        _flush(idle_ms), OUTPUT, STATE, "append", timeout
     )

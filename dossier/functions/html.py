@@ -1,6 +1,6 @@
 """Page markup to text and links, as expressions over an ``html`` column.
 
-Patterns use no look-around and no back-references.  A tag runs to the first
+A tag runs to the first
 ``>`` outside a quoted attribute value; the possessive loops keep the regular
 expression engine from recursing on long tags.
 """
@@ -32,7 +32,11 @@ ANY_TAG = r"(?i)<[a-z/!?]%s>" % TAG_REST
 ANCHOR_START = r"(?i)<a((?:[\s/]%s)?)>" % TAG_REST
 ANCHOR_END = r"(?i)</a(?:[\s/]%s)?>" % TAG_REST
 HREF = r"""(?is)(?:^|[\s/"'])href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-ENTITY = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);?"
+# A few old entity names also count without their semicolon; within an attribute they
+# do so only where no letter, digit or equals sign follows.
+OLD_NAMES = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True))
+ENTITY = rf"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;|{OLD_NAMES})"
+ATTRIBUTE_ENTITY = rf"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;|(?:{OLD_NAMES})(?![=A-Za-z0-9]))"
 
 OPEN, CLOSE, SPLIT = "\x01", "\x02", "\x03"
 
@@ -61,14 +65,14 @@ def _entity_value(entity: Column) -> Column:
     return value
 
 
-def decode_entities(text: Column) -> Column:
+def decode_entities(text: Column, pattern: str = ENTITY) -> Column:
     """Decode each entity once, left to right; text without ``&`` is untouched."""
 
     def decoded(t: Column) -> Column:
         joined = F.array_join(
             F.zip_with(
-                F.split(t, ENTITY),
-                F.regexp_extract_all(t, F.lit(ENTITY), F.lit(0)),
+                F.split(t, pattern),
+                F.regexp_extract_all(t, F.lit(pattern), F.lit(0)),
                 lambda piece, entity: F.concat(piece, F.coalesce(_entity_value(entity), F.lit(""))),
             ),
             "",
@@ -108,6 +112,6 @@ def anchors(html: Column) -> Column:
 
     def href(attributes: Column) -> Column:
         groups = [F.regexp_extract(attributes, HREF, g) for g in (1, 2, 3)]
-        return F.when(attributes.rlike(HREF), decode_entities(F.concat(*groups)))
+        return F.when(attributes.rlike(HREF), decode_entities(F.concat(*groups), ATTRIBUTE_ENTITY))
 
     return F.filter(F.transform(pieces, link), lambda a: a["href"].isNotNull())

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 # whitespace ``str.strip`` removes.
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
-WORD_BREAK = r"[^\p{L}\p{N}]+"
+WORD = r"[\p{L}\p{N}]+"
 SENTENCE_BREAK = r"[.\n]+"
 
 
@@ -47,7 +47,7 @@ def tidy_lines(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), WORD_BREAK), lambda t: t != "")
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
 def word_count(text: Column) -> Column:

@@ -75,27 +75,41 @@ def term_stats(index: DataFrame) -> DataFrame:
     )
 
 
-def scored_postings(index: DataFrame, stats: DataFrame) -> DataFrame:
-    """(doc_key, term, w): whole-number scores, so sums do not depend on order."""
+def _scored(matches: DataFrame, keys: list[str]) -> DataFrame:
+    """Sum of term scores per query and document.  Each is made a whole number first,
+    so that the sums do not depend on order."""
     weight = _weight(F.col("idf"), F.col("tf"), F.col("dl"), F.col("avg_dl"))
-    return (
-        index.where(F.col("term") != DOC_TERM)
-        .join(stats.select("term", "idf", "avg_dl"), "term")
-        .select("doc_key", "term", F.round(weight * SCALE).cast("bigint").alias("w"))
+    return matches.groupBy(*keys, "doc_key").agg(
+        F.sum(F.round(weight * SCALE).cast("bigint")).alias("score")
     )
 
 
+def _part_scores(terms: DataFrame, index: DataFrame, keys: list[str]) -> DataFrame:
+    """Scores by some of the query terms.  ``terms`` is read from a written stage: Spark
+    broadcasts it, and leaves the postings where they are, if its size allows."""
+    return _scored(terms.join(index, "term"), keys)
+
+
 def _top(scores: DataFrame, keys: list[str], k: int) -> DataFrame:
     order = W.partitionBy(*keys).orderBy(F.desc("score"), "doc_key")
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _full_scores(
+    pairs: DataFrame, terms: DataFrame, index: DataFrame, keys: list[str]
+) -> DataFrame:
+    """Score over all of a query's words for (query, document) ``pairs``."""
+    near = index.join(pairs.select("doc_key"), "doc_key", "left_semi")
+    return _scored(pairs.join(terms, keys).join(near, ["doc_key", "term"]), keys)
+
+
 def search_topk(
     corpus: DataFrame,
     queries: DataFrame,
     keys: list[str],
     k: int = DEFAULTS.hits_per_query,
     seed_postings: int = 4096,
+    weak_share: float = 0.5,
 ) -> DataFrame:
     """At most ``k`` best documents per query: keys, doc_key, score, rank.
 
@@ -103,67 +117,64 @@ def search_topk(
     columns and ``query``.
 
     A word found in most documents would pair each query that holds it with most of the
-    corpus.  So the search is pruned, with an exact result: a query's rarest words
-    give a floor for its k-th score; the words whose bounds add up to less than that
-    floor cannot lift a document into the result by themselves; only documents
-    with one of the other words are kept, and they are then scored in full.
+    corpus.  So the search is pruned, with an exact result:
+
+    1. a query's rarest words pick a few promising documents, which are scored in
+       full; their k-th score is a floor for the query;
+    2. words whose bounds add up to less than a share of the floor cannot lift a
+       document into the result by themselves, so only documents with another word are
+       gathered, and of these only the ones that could still reach the floor (any
+       share up to one is exact; a smaller one gathers more and keeps fewer);
+    3. those are scored in full and ranked.
+
+    What is joined with the postings in steps 1 and 3 is written first, and joined
+    as a filter on documents, so Spark broadcasts it or shuffles by its true size.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
+    if not 0 <= weak_share <= 1:
+        raise ValueError("weak_share must lie between 0 and 1")
     wanted = stage(query_terms(queries, keys), "query-terms")
     index = stage(postings(corpus, wanted), "postings")
-    stats = stage(term_stats(index), "term-stats")
-    scored = scored_postings(index, stats)
-
     # Rarest words first: enough of them to fill k places, more while they stay few.
-    rare = W.partitionBy(*keys).orderBy("df", "term")
-    known = wanted.join(stats.select("term", "df", "bound"), "term")
-    before = F.coalesce(
-        F.sum("df").over(rare.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
+    rare = W.partitionBy(*keys).orderBy("df", "term").rowsBetween(W.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("df").over(rare), F.lit(0))
+    terms = stage(
+        wanted.join(term_stats(index).drop("occurrences", "n_docs"), "term")
+        .withColumn("seed", (before < 4 * k) | (before + F.col("df") <= seed_postings)),
+        "terms",
     )
-    seeds = (
-        known.withColumn("_before", before)
-        .where((F.col("_before") < 4 * k) | (F.col("_before") + F.col("df") <= seed_postings))
-        .select(*keys, "term")
+    promising = stage(
+        _top(_part_scores(terms.where("seed"), index, keys), keys, 8 * k).select(
+            *keys, "doc_key"
+        ),
+        "promising",
     )
     floors = (
-        _top(
-            seeds.join(scored, "term").groupBy(*keys, "doc_key").agg(F.sum("w").alias("score")),
-            keys,
-            k,
-        )
+        _top(_full_scores(promising, terms, index, keys), keys, k)
         .where(F.col("rank") == k)
         .select(*keys, F.col("score").alias("floor"))
     )
     weakest = W.partitionBy(*keys).orderBy("bound", "term")
     graded = stage(
-        known.join(floors, keys, "left")
+        terms.join(floors, keys, "left")
         .withColumn("floor", F.coalesce("floor", F.lit(0)))
-        .withColumn("needed", F.sum("bound").over(weakest) >= F.col("floor"))
-        .select(*keys, "term", "bound", "floor", "needed"),
+        .withColumn("needed", F.sum("bound").over(weakest) >= F.col("floor") * weak_share),
         "graded-terms",
     )
-    strong = graded.where("needed").select(*keys, "term")
-    weak = graded.where(~F.col("needed")).select(*keys, "term")
     limits = graded.groupBy(*keys).agg(
-        F.max("floor").alias("floor"),
-        F.sum(F.when(F.col("needed"), 0).otherwise(F.col("bound"))).alias("slack"),
+        (F.max("floor") - F.sum(F.when(F.col("needed"), 0).otherwise(F.col("bound")))).alias("least")
     )
-    candidates = (
-        strong.join(scored, "term")
-        .groupBy(*keys, "doc_key")
-        .agg(F.sum("w").alias("part"))
+    candidates = stage(
+        _part_scores(graded.where("needed"), index, keys)
         .join(limits, keys)
-        .where(F.col("part") + F.col("slack") >= F.col("floor"))
-        .select(*keys, "doc_key", "part")
+        .where(F.col("score") >= F.col("least"))
+        .select(*keys, "doc_key"),
+        "candidates",
     )
-    totals = (
-        candidates.join(weak, keys, "left")
-        .join(scored, ["doc_key", "term"], "left")
-        .groupBy(*keys, "doc_key")
-        .agg((F.max("part") + F.coalesce(F.sum("w"), F.lit(0))).alias("score"))
+    return _top(_full_scores(candidates, terms, index, keys), keys, k).select(
+        *keys, "doc_key", "score", "rank"
     )
-    return _top(totals, keys, k).select(*keys, "doc_key", "score", "rank")
 
 
 def hits_json(hits: DataFrame, keys: list[str]) -> DataFrame:

@@ -25,7 +25,7 @@ from dossier.plans.research import ResearchRun
 from dossier.settings import DEFAULTS
 from dossier.sinks.outputs import report_path, write_findings_text
 from dossier.sinks.stage import new_folder, stage
-from dossier.sources.tables import read_txt_findings, stream_deltas
+from dossier.sources.tables import read_txt_findings, spread, stream_deltas
 from dossier.streaming.deltas import stream_report_messages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,11 +38,15 @@ def query(function: Query) -> Query:
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return given.table(spark, sf_dir, "pages")
+    return spread(given.table(spark, sf_dir, "pages"), "page_id")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(given.table(spark, sf_dir, "documents"), "doc_id")
 
 
 def _research(spark: SparkSession, sf_dir: str) -> ResearchRun:
-    return ResearchRun(given.runs(spark, sf_dir), _pages(spark, sf_dir))
+    return ResearchRun(given.runs(spark, sf_dir), given.table(spark, sf_dir, "pages"))
 
 
 def _accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +140,7 @@ def empty_text_findings(spark, sf_dir):
 
 @query
 def term_stats(spark, sf_dir):
-    docs = given.table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     index = stage(search.postings(docs.select(F.col("doc_id").alias("doc_key"), "text")), "postings")
     return search.term_stats(index).select(
         "term", "df", "occurrences", "n_docs", F.round("avg_dl", 6).alias("avg_dl")
@@ -144,7 +148,7 @@ def term_stats(spark, sf_dir):
 
 
 def _document_hits(spark, sf_dir):
-    docs = given.table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     tasks = given.table(spark, sf_dir, "benchmark")
     return search.search_topk(
         docs.select(F.col("doc_id").alias("doc_key"), "text"),

@@ -63,10 +63,10 @@ def sub(text: str, pattern: str, replacement: str, flags: str = "g") -> str:
 
 def entities(text: str) -> str:
     for name, char in (
-        ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&copy;", "'©'"), ("&middot;", "'·'"),
-        ("&nbsp;", "chr(160)"), ("&amp;", "'&'"),
+        ("lt", "'<'"), ("gt", "'>'"), ("quot", "'\"'"), ("copy", "'©'"), ("middot", "'·'"),
+        ("nbsp", "chr(160)"), ("amp", "'&'"),
     ):
-        text = f"replace({text}, '{name}', {char})"
+        text = sub(text, f"&{name};?", char)
     return text
 
 

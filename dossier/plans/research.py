@@ -14,6 +14,7 @@ from dossier.operators.infer import Completer, complete_stored
 from dossier.settings import DEFAULTS, JobSettings
 from dossier.sinks.outputs import report_path
 from dossier.sinks.stage import stage
+from dossier.sources.tables import spread
 
 VISIT = assemble.VISIT
 
@@ -22,7 +23,7 @@ class ResearchRun:
     """The stages of a batch of runs, each a DataFrame that is built when asked for.
 
     ``runs`` has run_id, task, report_type, agent, agent_role_prompt and reply (the
-    model's list of queries).  ``crawled`` has page_id, url and html.  Queries of one run and all
+    model's list of queries).  ``crawled`` is a stored table of page_id, url and html.  Queries of one run and all
     runs go in parallel; that a run's queries come one after the other shows only in
     which query owns a URL, and :mod:`dossier.operators.visited` settles that.
 
@@ -42,7 +43,7 @@ class ResearchRun:
         if completer is not None and store is None:
             raise ValueError("a completer needs a folder that stores its completions")
         self.runs = runs
-        self.crawled = crawled
+        self.crawled = spread(crawled, "page_id")
         self.settings = settings
         self.completer = completer
         self.store = store
@@ -74,7 +75,8 @@ class ResearchRun:
     @cached_property
     def texts(self) -> DataFrame:
         """Text of the pages that were hit, staged: it is read for lookups and chunks."""
-        return stage(pages.page_text(pages.latest_pages(self.crawled, self.hits)), "page-text")
+        hit = pages.latest_pages(self.crawled, self.hits)
+        return spread(stage(pages.page_text(hit), "page-text"), "page_id")
 
     @cached_property
     def lookups(self) -> DataFrame:

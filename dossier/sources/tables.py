@@ -13,6 +13,18 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.PAGE).parquet(path)
 
 
+def spread(table: DataFrame, key: str) -> DataFrame:
+    """Rows of a stored table over all cores, where its files would keep only a few busy.
+
+    For work that is heavy per row.  A table with at least as many partitions as
+    cores, so any large one, is left as it is and not shuffled.  Only for plain scans:
+    counting the partitions of a query with shuffles would run them."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    if table.rdd.getNumPartitions() >= cores:
+        return table
+    return table.repartition(cores, key)
+
+
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
     """One start message per line of text files."""
     return spark.read.text(path).withColumnRenamed("value", "message")

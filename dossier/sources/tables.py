@@ -58,9 +58,8 @@ def read_txt_findings(
     """
     value = F.regexp_replace("value", r"\n\z", "") if terminated else F.col("value")
     files = (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", "*.txt")
-        .text(folders)
+        spark.read.option("pathGlobFilter", "*.txt")
+        .text(folders, wholetext=True)
         .select(
             F.regexp_extract("_metadata.file_path", run_pattern, 1).alias("run_id"),
             F.col("_metadata.file_path").alias("path"),

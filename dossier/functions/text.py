@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The characters ``str.splitlines`` breaks at, and the Unicode
@@ -36,6 +36,12 @@ def fill(template: str, **slots: Column) -> Column:
     return F.concat(*parts)
 
 
+def literal_table(spark: SparkSession, names: list[str], rows: list[tuple]) -> DataFrame:
+    """A small fixed table of strings as literals of the plan."""
+    structs = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, EDGE_SPACE, "")
 

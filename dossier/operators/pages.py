@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.functions import fixed_values as fixed
@@ -10,6 +10,7 @@ from dossier.functions.html import anchors, body_text
 from dossier.functions.text import chunks, fill
 from dossier.functions.urls import resolve_url
 from dossier.settings import DEFAULTS
+from dossier.sinks.stage import stage
 
 PAGE_MISSING = "page not found"
 
@@ -18,11 +19,20 @@ def page_text(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", body_text(F.col("html")).alias("text"))
 
 
+# Explodes below are outer ones with the empty rows dropped after: for an inner explode
+# the optimizer adds a filter that computes the whole array a second time.
+
+
+def _each_anchor(pages: DataFrame, links: Column) -> DataFrame:
+    exploded = pages.select(
+        "page_id", F.col("url").alias("_base"), F.posexplode_outer(links).alias("pos", "_a")
+    )
+    return exploded.where(F.col("pos").isNotNull())
+
+
 def page_links(pages: DataFrame) -> DataFrame:
     """One row per link: page_id, pos, text, href, url (absolute)."""
-    return pages.select(
-        "page_id", F.col("url").alias("_base"), F.posexplode(anchors(F.col("html"))).alias("pos", "_a")
-    ).select(
+    return _each_anchor(pages, anchors(F.col("html"))).select(
         "page_id",
         F.col("pos").cast("bigint").alias("pos"),
         F.col("_a.text").alias("text"),
@@ -36,9 +46,7 @@ def page_top_links(pages: DataFrame, n: int = DEFAULTS.links_per_page) -> DataFr
 
     The list is cut before it is exploded, so only the kept links are resolved."""
     kept = F.slice(anchors(F.col("html")), 1, n)
-    return pages.select(
-        "page_id", F.col("url").alias("_base"), F.posexplode(kept).alias("pos", "_a")
-    ).select(
+    return _each_anchor(pages, kept).select(
         "page_id",
         F.col("pos").cast("bigint").alias("pos"),
         fill(
@@ -53,14 +61,16 @@ def latest_pages(pages: DataFrame, urls: DataFrame) -> DataFrame:
     """Pages whose URL is in ``urls``, one per URL: the highest page_id.
 
     The ids are found on the two narrow columns, with a maximum combined before the
-    shuffle; the markup is read only for the pages kept.  ``urls`` should be a
-    written stage, so that its size decides how the joins are done.
+    shuffle, and written; the markup is then read only where it is kept.  ``urls``
+    should be a written stage too: the sizes of both decide how the joins are done,
+    and the markup of all pages is not shuffled to find a few.
     """
-    ids = (
+    ids = stage(
         pages.select("url", "page_id")
         .join(urls.select("url"), "url", "left_semi")
         .groupBy("url")
-        .agg(F.max("page_id").alias("page_id"))
+        .agg(F.max("page_id").alias("page_id")),
+        "page-ids",
     )
     return pages.join(ids, ["url", "page_id"], "left_semi")
 
@@ -83,6 +93,9 @@ def page_lookup(visits: DataFrame, texts: DataFrame) -> DataFrame:
 
 def text_chunks(texts: DataFrame, keys: list[str], limit: int = DEFAULTS.chunk_chars) -> DataFrame:
     """(keys, part, chunk): paragraphs packed greedily up to ``limit``."""
-    return texts.select(
-        *keys, F.posexplode(chunks(F.col("text"), limit)).alias("part", "chunk")
-    ).select(*keys, F.col("part").cast("bigint").alias("part"), "chunk")
+    exploded = texts.select(
+        *keys, F.posexplode_outer(chunks(F.col("text"), limit)).alias("part", "chunk")
+    )
+    return exploded.where(F.col("part").isNotNull()).select(
+        *keys, F.col("part").cast("bigint").alias("part"), "chunk"
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.functions import fixed_values as fixed
-from dossier.functions.text import fill
+from dossier.functions.text import fill, literal_table
 from dossier.settings import DEFAULTS, JobSettings
 
 
@@ -47,9 +47,8 @@ def report_types(spark) -> DataFrame:
     rows = [
         (name, *re.split(r"\{\w+\}", template)) for name, template in fixed.REPORT_PROMPTS.items()
     ]
-    return spark.createDataFrame(
-        rows, "report_type string, before_summary string, before_question string, after_question string"
-    )
+    names = ["report_type", "before_summary", "before_question", "after_question"]
+    return literal_table(spark, names, rows)
 
 
 def resolve_report_type(requests: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dossier import schemas
 from dossier.functions import fixed_values as fixed
+from dossier.functions.text import literal_table
 
 
 def _parses(text) -> F.Column:
@@ -39,7 +40,7 @@ def validate(requests: DataFrame) -> DataFrame:
 
 
 def role_table(spark) -> DataFrame:
-    return spark.createDataFrame(list(fixed.ROLE_PROMPTS.items()), "agent string, role_prompt string")
+    return literal_table(spark, ["agent", "role_prompt"], list(fixed.ROLE_PROMPTS.items()))
 
 
 def resolve_role(requests: DataFrame) -> DataFrame:
@@ -80,21 +81,14 @@ def list_fanout(replies: DataFrame, item: str) -> DataFrame:
     A reply that is not a JSON array of strings gives one row with an error instead."""
     others = [c for c in replies.columns if c != "reply"]
     parsed = F.when(
-        F.col("reply").rlike(r"^\s*\[") & F.coalesce(_parses(F.col("reply")), F.lit(False)),
-        F.from_json("reply", schemas.STRING_LIST_JSON),
+        F.col("reply").rlike(r"^\s*\["), F.from_json("reply", schemas.STRING_LIST_JSON)
     )
     listed = replies.select(*others, parsed.alias("_items"))
-    # An empty list fans out to nothing; only a null one is an error row.
-    items = F.when(F.col("_items").isNull(), F.array(F.lit(None).cast("string"))).otherwise(
-        F.col("_items")
-    )
-    return listed.select(
-        *others,
-        F.when(F.col("_items").isNull(), "malformed reply").alias("error"),
-        F.posexplode(items).alias("_pos", item),
-    ).select(
-        *others,
-        F.when(F.col("error").isNull(), F.col("_pos")).cast("bigint").alias(f"{item}_idx"),
-        item,
-        "error",
+    # An empty list fans out to nothing; a null one is an error row.
+    error = F.when(F.col("_items").isNull(), "malformed reply")
+    return (
+        listed.select(*others, "_items", error.alias("error"))
+        .select(*others, "error", F.posexplode_outer("_items").alias("_pos", item))
+        .where(F.col("_pos").isNotNull() | F.col("error").isNotNull())
+        .select(*others, F.col("_pos").cast("bigint").alias(f"{item}_idx"), item, "error")
     )

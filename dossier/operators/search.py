@@ -17,9 +17,11 @@ SCALE = 1_000_000
 
 def query_terms(queries: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct (query, term) rows.  An empty query has none and finds nothing."""
+    words = F.array_distinct(tokens(F.col("query")))
     return (
         queries.where(F.col("query") != "")
-        .select(*keys, F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
+        .select(*keys, F.explode_outer(words).alias("term"))
+        .where(F.col("term").isNotNull())
     )
 
 
@@ -31,10 +33,11 @@ def postings(corpus: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     The tokens of a document are counted in the task that reads it, so the shuffle
     carries one row per document and distinct term.
     """
-    exploded = corpus.select("doc_key", tokens(F.col("text")).alias("words")).select(
-        "doc_key",
-        F.size("words").cast("bigint").alias("dl"),
-        F.explode(F.array_append("words", F.lit(DOC_TERM))).alias("term"),
+    # The length is settled before the explode, so that no exploded row carries the words.
+    exploded = (
+        corpus.select("doc_key", tokens(F.col("text")).alias("words"))
+        .select("doc_key", "words", F.size("words").cast("bigint").alias("dl"))
+        .select("doc_key", "dl", F.explode(F.array_append("words", F.lit(DOC_TERM))).alias("term"))
     )
     if terms is not None:
         document_row = terms.sparkSession.range(1).select(F.lit(DOC_TERM).alias("term"))

@@ -9,16 +9,23 @@ from pyspark.sql import functions as F
 def first_visits(hits: DataFrame) -> DataFrame:
     """The first query, then rank, of a run that surfaces a URL keeps it.
 
-    The top-k cut comes before this, so a later query may keep fewer hits.  The
-    minimum is combined before the shuffle, so a URL or run with a large share of
-    all hits costs one row per task.  Hits without a URL are left to
-    :func:`urlless_hits`.
+    The top-k cut comes before this, so a later query may keep fewer hits.  Query and
+    rank are packed into one number, whose minimum is hashed and combined before the
+    shuffle: a URL or run with a large share of all hits costs one row per task.
+    Hits without a URL are left to :func:`urlless_hits`.
     """
+    place = F.shiftleft(F.col("query_idx").cast("bigint"), 32) + F.col("rank")
     return (
         hits.where(F.col("url").isNotNull())
         .groupBy("run_id", "url")
-        .agg(F.min(F.struct("query_idx", "rank", "score")).alias("_first"))
-        .select("run_id", "_first.query_idx", "_first.rank", "url", "_first.score")
+        .agg(F.min(place).alias("_place"), F.min_by("score", place).alias("score"))
+        .select(
+            "run_id",
+            F.shiftright("_place", 32).alias("query_idx"),
+            F.col("_place").bitwiseAND(0xFFFFFFFF).alias("rank"),
+            "url",
+            "score",
+        )
     )
 
 

@@ -170,7 +170,7 @@ def search_topk(spark, sf_dir):
 @query
 def hits_json(spark, sf_dir):
     docs = given.table(spark, sf_dir, "documents")
-    hits = _document_hits(spark, sf_dir).select(
+    hits = stage(_document_hits(spark, sf_dir), "found").select(
         "item_id",
         "rank",
         F.concat(F.lit("https://example.org/"), F.col("doc_key").cast("string")).alias("url"),

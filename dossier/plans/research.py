@@ -58,8 +58,11 @@ class ResearchRun:
         """Search over the text of all pages.  A hit's URL has no fragment, as search
         engines report them, so a page crawled under a fragment is not found again."""
         corpus = pages.page_text(self.crawled).select(F.col("page_id").alias("doc_key"), "text")
-        found = search.search_topk(
-            corpus, self.queries, ["run_id", "query_idx"], self.settings.hits_per_query
+        found = stage(
+            search.search_topk(
+                corpus, self.queries, ["run_id", "query_idx"], self.settings.hits_per_query
+            ),
+            "found",
         )
         url = F.regexp_replace("url", "#.*$", "")
         addresses = self.crawled.select(F.col("page_id").alias("doc_key"), url.alias("url"))
@@ -166,9 +169,10 @@ class ResearchRun:
             ready = self.runs.join(self.research, "run_id")
             typed = prompts.resolve_report_type(ready).where("known")
             report = extractive_summary(F.col("research_summary"), F.col("task"), 5, ".\n")
-            return typed.select(
+            written = typed.select(
                 "run_id", "report_type", report.alias("report"), F.lit(None).cast("string").alias("error")
             )
+            return stage(written, "reports")
         messages = prompts.role_messages(F.col("role_prompt"), F.col("report_prompt"))
         calls = prompts.call_table(
             self.report_prompts.select("run_id", "report_type", messages.alias("messages")),

@@ -165,10 +165,10 @@ def deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "conversations")
         .select(
-            F.concat_ws("-", F.col("conv_id"), F.col("turn")).alias("run_id"),
-            F.size(pieces).alias("n"),
-            F.posexplode(pieces).alias("seq", "delta"),
+            F.concat_ws("-", F.col("conv_id"), F.col("turn")).alias("run_id"), pieces.alias("pieces")
         )
+        .select("run_id", "pieces", F.size("pieces").alias("n"))
+        .select("run_id", "n", F.posexplode_outer("pieces").alias("seq", "delta"))
         .select(
             "run_id",
             F.col("seq").cast("bigint").alias("seq"),

@@ -25,14 +25,17 @@ def _flush(idle_ms: int | None):
             state.remove()
             return
         buffer, msg_no = state.get if state.exists else ("", 0)
-        batch = pd.concat(list(frames)).sort_values("seq", kind="stable")
+        rows = [row for f in frames for row in zip(f["seq"].tolist(), f["delta"].tolist(), f["is_end"].tolist())]
+        rows.sort(key=lambda row: row[0])
         pieces, sent = [buffer], []
-        for delta in batch["delta"].dropna():
+        for _, delta, _ in rows:
+            if delta is None:
+                continue
             pieces.append(delta)
             if "\n" in delta:
                 sent.append("".join(pieces))
                 pieces = []
-        if batch["is_end"].eq(True).any():
+        if any(row[2] for row in rows):
             # The tail without a line break is not sent.
             if state.exists:
                 state.remove()
@@ -40,8 +43,9 @@ def _flush(idle_ms: int | None):
             state.update(("".join(pieces), msg_no + len(sent)))
             if idle_ms is not None:
                 state.setTimeoutDuration(idle_ms)
-        numbers = list(range(msg_no, msg_no + len(sent)))
-        yield pd.DataFrame({"run_id": [key[0]] * len(sent), "msg_no": numbers, "output": sent})
+        if sent:
+            numbers = list(range(msg_no, msg_no + len(sent)))
+            yield pd.DataFrame({"run_id": [key[0]] * len(sent), "msg_no": numbers, "output": sent})
 
     return flush
 

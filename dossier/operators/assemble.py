@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions import fixed_values as fixed
 from dossier.functions.ordered import ordered_concat
-from dossier.functions.text import fill, word_count
+from dossier.functions.text import extractive_summary, fill, word_count
 from dossier.operators.pages import PAGE_MISSING
 
 VISIT = ["run_id", "query_idx", "url"]
@@ -40,6 +40,16 @@ def finding_status(lookups: DataFrame, summaries: DataFrame) -> DataFrame:
     )
 
 
+def topic_summaries(texts: DataFrame, keys: list[str], text: str, topic: str) -> DataFrame:
+    """One summary of each whole text for its topic, without chunks, by the extractive
+    stand-in, with the line that the log gets for it."""
+    return texts.select(
+        *keys,
+        extractive_summary(F.col(text), F.col(topic)).alias("summary"),
+        fill(fixed.LOG_SUMMARIZING, text=F.col(text)).alias("output"),
+    )
+
+
 def query_findings(queries: DataFrame, findings: DataFrame) -> DataFrame:
     """Findings of one query joined in rank order; a query without any has ''."""
     joined = ordered_concat(

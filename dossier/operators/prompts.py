@@ -94,3 +94,10 @@ def validate_calls(calls: DataFrame, settings: JobSettings = DEFAULTS) -> DataFr
         .when(F.col("stream") & F.col("target").isNull(), fixed.STREAM_TARGET_MISSING)
     )
     return calls.withColumn("error", error).withColumn("accepted", F.col("error").isNull())
+
+
+def require_valid(calls: DataFrame, settings: JobSettings = DEFAULTS) -> DataFrame:
+    """The calls as they are; the job fails with the first failed check instead."""
+    checked = validate_calls(calls, settings)
+    failing = F.raise_error(F.col("error")).cast("boolean")
+    return checked.where(F.when(F.col("accepted"), True).otherwise(failing)).select(*calls.columns)

@@ -75,15 +75,17 @@ def auto_role(replies: DataFrame) -> DataFrame:
     )
 
 
-def list_fanout(replies: DataFrame, item: str) -> DataFrame:
+def list_fanout(replies: DataFrame, item: str, limit: int | None = None) -> DataFrame:
     """One row per string of a JSON-array reply: ``{item}_idx`` and ``item``.
 
+    The number of strings a prompt asks for is not enforced unless ``limit`` is given.
     A reply that is not a JSON array of strings gives one row with an error instead."""
     others = [c for c in replies.columns if c != "reply"]
     parsed = F.when(
         F.col("reply").rlike(r"^\s*\["), F.from_json("reply", schemas.STRING_LIST_JSON)
     )
-    listed = replies.select(*others, parsed.alias("_items"))
+    kept = parsed if limit is None else F.slice(parsed, 1, limit)
+    listed = replies.select(*others, kept.alias("_items"))
     # An empty list fans out to nothing; a null one is an error row.
     error = F.when(F.col("_items").isNull(), "malformed reply")
     return (

@@ -315,6 +315,11 @@ def url_summaries(spark, sf_dir):
     return _research(spark, sf_dir).url_summaries.select(*assemble.VISIT, "summary")
 
 
+@query
+def topic_summaries(spark, sf_dir):
+    return assemble.topic_summaries(given.table(spark, sf_dir, "documents"), ["doc_id"], "text", "lang")
+
+
 @query
 def reports(spark, sf_dir):
     return _research(spark, sf_dir).reports.select("run_id", "report_type", "report")

@@ -368,6 +368,7 @@ SELECT DISTINCT prompt_id, 'gpt-3.5-turbo-16k' AS model, 1.0::DOUBLE AS temperat
     "chunk_summaries": f"WITH RECURSIVE {summaries()} SELECT * FROM chunk_summaries",
     "combined_summary": f"WITH RECURSIVE {summaries(1000)} SELECT * FROM combined",
     "url_summaries": f"WITH RECURSIVE {FINDINGS} SELECT * FROM url_summaries",
+    "topic_summaries": f"SELECT doc_id, {extract('text', 'lang')} AS summary, {fill(fixed.LOG_SUMMARIZING, text='text')} AS output FROM documents",
     "reports": f"WITH RECURSIVE {REPORTS} SELECT * FROM reports",
     "page_lookup": f"WITH {LOOKUPS} SELECT run_id, query_idx, rank, url, page_id, status, text FROM lookups",
     "finding_status": f"WITH RECURSIVE {FINDINGS} SELECT * FROM findings",

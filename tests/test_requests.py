@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from dossier.functions import fixed_values as fixed
@@ -72,6 +73,20 @@ def test_list_fanout(rows):
     ]
 
 
+def test_list_limit(rows):
+    replies = rows([(1, '["a", "b", "c"]'), (2, "[")], "id int, reply string")
+    got = requests.list_fanout(replies, "query", 2).collect()
+    assert sorted((r.id, r["query"] or "") for r in got) == [(1, "a"), (1, "b"), (2, "")]
+
+
+def test_strict_calls(rows):
+    schema = "id int, model string, max_tokens int, stream boolean, target string"
+    good = prompts.require_valid(rows([(1, "m", 1, False, None)], schema))
+    assert good.columns == ["id", "model", "max_tokens", "stream", "target"] and good.count() == 1
+    with pytest.raises(Exception, match="Model cannot be None"):
+        prompts.require_valid(rows([(1, None, 1, False, None)], schema)).collect()
+
+
 def test_report_types(rows):
     asked = rows([(1, "outline_report"), (2, "poem"), (3, None)], "id int, report_type string")
     got = {r.id: r.known for r in prompts.resolve_report_type(asked).collect()}

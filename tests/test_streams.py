@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from dossier import schemas
+from dossier.operators.runlog import log_rows
 from dossier.operators.report_text import report_messages, report_text
+from dossier.sinks.outputs import stream_run_log
 from dossier.sinks.stage import new_folder
 from dossier.sources.tables import stream_deltas, stream_messages
 from dossier.streaming.deltas import stream_report_messages
@@ -73,6 +75,17 @@ def test_stream_equals_batch(spark, rows, cut):
     assert got == {(m.run_id, m.msg_no, m.output) for m in report_messages(deltas).collect()}
 
 
+def test_log_stream(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one\ntwo\n")
+    messages = stream_messages(spark, str(tmp_path)).select(F.col("message").alias("run_id"))
+    log, state = new_folder(spark, "log"), new_folder(spark, "state")
+    lines = log_rows(messages, 0, "request", F.lit("hello"))
+    for _ in range(2):  # a second start finds nothing new and appends nothing
+        stream_run_log(lines, log, state).awaitTermination()
+    assert {r.run_id for r in spark.read.parquet(log).collect()} == {"one", "two"}
+    assert spark.read.parquet(log).count() == 2
+
+
 def test_requests_stream(spark, tmp_path):
     good = {"task": "t1", "report_type": "research_report", "agent": "Default Agent"}
     (tmp_path / "a.txt").write_text("start " + json.dumps(good) + "\nhello\nstart {\n")

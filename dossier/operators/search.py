@@ -40,11 +40,16 @@ def postings(corpus: DataFrame, terms: DataFrame | None = None) -> DataFrame:
         .select("doc_key", "dl", F.explode(F.array_append("words", F.lit(DOC_TERM))).alias("term"))
     )
     if terms is not None:
-        document_row = terms.sparkSession.range(1).select(F.lit(DOC_TERM).alias("term"))
-        exploded = exploded.join(terms.select("term").union(document_row), "term", "left_semi")
+        exploded = of_terms(exploded, terms)
     return exploded.groupBy("doc_key", "dl", "term").agg(F.count("*").alias("tf"))
 
 
+def of_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """Rows of the given terms, and the one of each document that carries its length."""
+    document_row = terms.sparkSession.range(1).select(F.lit(DOC_TERM).alias("term"))
+    return rows.join(terms.select("term").union(document_row), "term", "left_semi")
+
+
 def _weight(idf: Column, tf: Column, dl: Column, average: Column) -> Column:
     return idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / average))
 
@@ -107,17 +112,19 @@ def _full_scores(
 
 
 def search_topk(
-    corpus: DataFrame,
+    corpus: DataFrame | None,
     queries: DataFrame,
     keys: list[str],
     k: int = DEFAULTS.hits_per_query,
     seed_postings: int = 4096,
     weak_share: float = 0.5,
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """At most ``k`` best documents per query: keys, doc_key, score, rank.
 
     ``corpus`` has ``doc_key`` (unique) and ``text``; ``queries`` has the key
-    columns and ``query``.
+    columns and ``query``.  For many batches of queries over one corpus, store
+    ``postings(corpus)`` once and give it as ``index`` instead of the corpus.
 
     A word found in most documents would pair each query that holds it with most of the
     corpus.  So the search is pruned, with an exact result:
@@ -138,7 +145,9 @@ def search_topk(
     if not 0 <= weak_share <= 1:
         raise ValueError("weak_share must lie between 0 and 1")
     wanted = stage(query_terms(queries, keys), "query-terms")
-    index = stage(postings(corpus, wanted), "postings")
+    index = stage(
+        postings(corpus, wanted) if index is None else of_terms(index, wanted), "postings"
+    )
     # Rarest words first: enough of them to fill k places, more while they stay few.
     rare = W.partitionBy(*keys).orderBy("df", "term").rowsBetween(W.unboundedPreceding, -1)
     before = F.coalesce(F.sum("df").over(rare), F.lit(0))

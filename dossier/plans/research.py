@@ -30,6 +30,9 @@ class ResearchRun:
     Hits are staged: everything later starts from them, and they are small beside
     the corpus, so their true size then decides how pages are fetched.  Without a
     ``completer`` the extractive stand-in writes all summaries, as column expressions.
+
+    Where many batches run over one crawl, store ``pages.page_text(crawled)`` and the
+    ``search.postings`` of it once, and give them as ``texts`` and ``index``.
     """
 
     def __init__(
@@ -39,6 +42,8 @@ class ResearchRun:
         settings: JobSettings = DEFAULTS,
         completer: Completer | None = None,
         store: str | None = None,
+        texts: DataFrame | None = None,
+        index: DataFrame | None = None,
     ):
         if completer is not None and store is None:
             raise ValueError("a completer needs a folder that stores its completions")
@@ -47,6 +52,8 @@ class ResearchRun:
         self.settings = settings
         self.completer = completer
         self.store = store
+        self.extracted = texts
+        self.index = index
 
     @cached_property
     def queries(self) -> DataFrame:
@@ -57,10 +64,14 @@ class ResearchRun:
     def hits(self) -> DataFrame:
         """Search over the text of all pages.  A hit's URL has no fragment, as search
         engines report them, so a page crawled under a fragment is not found again."""
-        corpus = pages.page_text(self.crawled).select(F.col("page_id").alias("doc_key"), "text")
+        extracted = pages.page_text(self.crawled) if self.extracted is None else self.extracted
         found = stage(
             search.search_topk(
-                corpus, self.queries, ["run_id", "query_idx"], self.settings.hits_per_query
+                extracted.select(F.col("page_id").alias("doc_key"), "text"),
+                self.queries,
+                ["run_id", "query_idx"],
+                self.settings.hits_per_query,
+                index=self.index,
             ),
             "found",
         )
@@ -78,8 +89,11 @@ class ResearchRun:
     @cached_property
     def texts(self) -> DataFrame:
         """Text of the pages that were hit, staged: it is read for lookups and chunks."""
-        hit = pages.latest_pages(self.crawled, self.hits)
-        return spread(stage(pages.page_text(hit), "page-text"), "page_id")
+        if self.extracted is None:
+            texts = pages.page_text(pages.latest_pages(self.crawled, self.hits))
+        else:
+            texts = pages.latest_pages(self.extracted, self.hits).select("page_id", "url", "text")
+        return spread(stage(texts, "page-text"), "page_id")
 
     @cached_property
     def lookups(self) -> DataFrame:

@@ -2,11 +2,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from dossier.functions.ordered import ordered_concat
-from dossier.operators import assemble, infer, prompts, runlog, visited
+from dossier.operators import assemble, infer, pages, prompts, runlog, search, visited
 from dossier.plans import workload as given
 from dossier.plans.research import ResearchRun
 from dossier.sinks import outputs
-from dossier.sinks.stage import new_folder
+from dossier.sinks.stage import new_folder, stage
 from dossier.sources.tables import read_txt_findings, spread
 
 
@@ -105,6 +105,14 @@ def test_run_with_a_completer(spark, sf_dir):
     assert all(r.report is not None and r.error is None for r in reports)
 
 
+def test_stored_texts_and_index_give_the_same_run(spark, sf_dir):
+    runs, crawled = given.runs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/pages.parquet")
+    texts = stage(pages.page_text(crawled), "texts")
+    index = stage(search.postings(texts.select(F.col("page_id").alias("doc_key"), "text")), "index")
+    stored = ResearchRun(runs, crawled, texts=texts, index=index)
+    assert set(stored.findings.collect()) == set(ResearchRun(runs, crawled).findings.collect())
+
+
 def test_each_url_is_owned_once(spark, sf_dir):
     run = ResearchRun(given.runs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/pages.parquet"))
     hits = {(r.run_id, r.url) for r in run.hits.collect()}

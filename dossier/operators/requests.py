@@ -75,6 +75,22 @@ def auto_role(replies: DataFrame) -> DataFrame:
     )
 
 
+def settle_agents(requests: DataFrame, replies: DataFrame, keys: list[str]) -> DataFrame:
+    """Requests for the automatic agent take agent and role prompt from the model's reply;
+    the others keep theirs and have no explicit prompt.  A missing reply counts as a
+    failed call.  There is one reply per request at most."""
+    asked = requests.withColumnRenamed("agent", "_asked").join(
+        replies.select(*keys, "reply"), keys, "left"
+    )
+    auto = F.coalesce(F.col("_asked") == fixed.AUTO_AGENT, F.lit(False))
+    return (
+        auto_role(asked)
+        .withColumn("agent", F.when(auto, F.col("agent")).otherwise(F.col("_asked")))
+        .withColumn("agent_role_prompt", F.when(auto, F.col("agent_role_prompt")))
+        .drop("_asked")
+    )
+
+
 def list_fanout(replies: DataFrame, item: str, limit: int | None = None) -> DataFrame:
     """One row per string of a JSON-array reply: ``{item}_idx`` and ``item``.
 

@@ -6,24 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from dossier.functions import fixed_values as fixed
 from dossier.functions.text import extractive_summary
 from dossier.operators import (
     assemble,
     infer,
     pages,
     prompts,
-    report_text,
     requests,
     runlog,
     search,
     visited,
 )
+from dossier.operators import report_text as reporting
 from dossier.plans import workload as given
 from dossier.plans.research import ResearchRun
 from dossier.settings import DEFAULTS
-from dossier.sinks.outputs import report_path, write_findings_text
+from dossier.sinks import outputs
 from dossier.sinks.stage import new_folder, stage
 from dossier.sources.tables import read_txt_findings, spread, stream_deltas
 from dossier.streaming.deltas import stream_report_messages
@@ -86,6 +86,16 @@ def auto_role(spark, sf_dir):
     return requests.auto_role(given.role_replies(spark, sf_dir))
 
 
+@query
+def settled_agents(spark, sf_dir):
+    """Requests with the agent that will run them, chosen by the model where asked to."""
+    messages = requests.ingest(given.start_messages(spark, sf_dir))
+    settled = requests.settle_agents(messages, given.role_replies(spark, sf_dir), ["conv_id", "turn"])
+    return requests.validate(settled).select(
+        "conv_id", "turn", "agent", "agent_role_prompt", "accepted", "error"
+    )
+
+
 @query
 def query_fanout(spark, sf_dir):
     return requests.list_fanout(given.list_replies(spark, sf_dir), "query")
@@ -218,7 +228,7 @@ def role_prompts(spark, sf_dir):
     messages = prompts.role_choice_messages(F.col("task"))
     return (
         requests.ingest(given.start_messages(spark, sf_dir))
-        .where(F.col("agent") == given.AGENTS[6])
+        .where(F.col("agent") == fixed.AUTO_AGENT)
         .select("conv_id", "turn", F.posexplode(messages).alias("pos", "m"))
         .select(
             "conv_id", "turn", F.col("pos").cast("bigint").alias("pos"), "m.role", "m.content"
@@ -366,7 +376,7 @@ def source_ledger(spark, sf_dir):
 def findings_readback(spark, sf_dir):
     """Query results written as text files, one per query, and read back by run."""
     folder = new_folder(spark, "findings")
-    write_findings_text(_research(spark, sf_dir).query_findings, folder)
+    outputs.write_findings_text(_research(spark, sf_dir).query_findings, folder)
     back = read_txt_findings(
         spark, f"{folder}/run_id=*/query_idx=*", r"run_id=([^/]+)/", terminated=True
     )
@@ -377,18 +387,15 @@ def findings_readback(spark, sf_dir):
 
 
 @query
-def report_path_quoted(spark, sf_dir):
+def report_path(spark, sf_dir):
     return given.table(spark, sf_dir, "documents").select(
-        "doc_id", report_path(F.col("source"), F.col("text")).alias("path")
+        "doc_id", outputs.report_path(F.col("source"), F.col("text")).alias("path")
     )
 
 
-QUERIES["report_path"] = QUERIES.pop("report_path_quoted")
-
-
 @query
 def report_messages(spark, sf_dir):
-    return report_text.report_messages(given.deltas(spark, sf_dir))
+    return reporting.report_messages(given.deltas(spark, sf_dir))
 
 
 @query
@@ -408,7 +415,9 @@ def report_messages_stream(spark, sf_dir):
     return spark.read.schema(sent.schema).parquet(out)
 
 
-QUERIES["report_text"] = lambda spark, sf_dir: report_text.report_text(given.deltas(spark, sf_dir))
+@query
+def report_text(spark, sf_dir):
+    return reporting.report_text(given.deltas(spark, sf_dir))
 
 
 @query

@@ -329,6 +329,13 @@ ORACLES: dict[str, str] = {
     "report_type_resolve": f"WITH {MESSAGES} SELECT conv_id, turn, report_type, report_type IN ({_known}) AS known FROM accepted",
     "role_resolve": f"WITH {ROLE_REPLIES}, {ROLES} SELECT conv_id, turn, agent, {_kept_roles} AS role_prompt FROM chosen LEFT JOIN roles USING (agent)",
     "auto_role": f"WITH {ROLE_REPLIES} SELECT * FROM chosen",
+    "settled_agents": f"""WITH {MESSAGES}, {ROLE_REPLIES}, settled AS (SELECT i.conv_id, i.turn, i.task, i.report_type, i.error,
+   CASE WHEN i.agent = {lit(fixed.AUTO_AGENT)} THEN c.agent ELSE i.agent END AS agent,
+   CASE WHEN i.agent = {lit(fixed.AUTO_AGENT)} THEN c.agent_role_prompt END AS agent_role_prompt
+   FROM ingested i JOIN chosen c USING (conv_id, turn)),
+judged AS (SELECT conv_id, turn, agent, agent_role_prompt, coalesce(error, CASE WHEN coalesce(task, '') = '' OR coalesce(report_type, '') = ''
+   OR coalesce(agent, '') = '' THEN {lit(fixed.NOT_ENOUGH_PARAMETERS)} END) AS error FROM settled)
+SELECT conv_id, turn, agent, agent_role_prompt, error IS NULL AS accepted, error FROM judged""",
     "query_fanout": lines_of("conversations", "conv_id, turn", "role = 'assistant'", "query"),
     "concept_fanout": lines_of("documents", "doc_id", "lang = 'en'", "concept"),
     "page_text": f"WITH {text_ctes('pages', 'all_text')} SELECT * FROM all_text",

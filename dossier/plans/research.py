@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions import fixed_values as fixed
 from dossier.functions.text import duration_text, extractive_summary, fill, interval_micros
-from dossier.operators import assemble, pages, prompts, report_text, requests, runlog, search, visited
+from dossier.operators import assemble, pages, prompts, requests, runlog, search, visited
 from dossier.operators.infer import Completer, complete_stored
 from dossier.settings import DEFAULTS, JobSettings
 from dossier.sinks.outputs import report_path
@@ -19,6 +20,34 @@ from dossier.sources.tables import spread
 VISIT = assemble.VISIT
 
 
+def choose_agents(
+    asked: DataFrame, completer: Completer, store: str, settings: JobSettings = DEFAULTS
+) -> DataFrame:
+    """Requests (run_id, task, report_type, agent, error) with their agents settled; the
+    model is asked, at temperature 0, for those that want the automatic agent."""
+    auto = asked.where(F.col("agent") == fixed.AUTO_AGENT)
+    calls = prompts.call_table(
+        auto.select("run_id", prompts.role_choice_messages(F.col("task")).alias("messages")),
+        settings.smart_model,
+        replace(settings, temperature=0.0),
+    )
+    replies = complete_stored(calls, completer, store)
+    return requests.settle_agents(asked, replies.withColumnRenamed("content", "reply"), ["run_id"])
+
+
+def plan_queries(
+    accepted: DataFrame, completer: Completer, store: str, settings: JobSettings = DEFAULTS
+) -> DataFrame:
+    """Accepted requests with ``reply``, the model's list of search queries."""
+    roles = requests.resolve_role(accepted)
+    messages = prompts.role_messages(F.col("role_prompt"), prompts.query_prompt(F.col("task")))
+    calls = prompts.call_table(
+        roles.select("run_id", messages.alias("messages")), settings.smart_model, settings
+    )
+    replies = complete_stored(calls, completer, store)
+    return accepted.join(replies.select("run_id", F.col("content").alias("reply")), "run_id")
+
+
 class ResearchRun:
     """The stages of a batch of runs, each a DataFrame that is built when asked for.
 

@@ -16,9 +16,6 @@ ROLE_JSON = T.StructType(
     ]
 )
 STRING_LIST_JSON = T.ArrayType(T.StringType())
-MESSAGES = T.ArrayType(
-    T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())])
-)
 PAGE = T.StructType(
     [
         T.StructField("page_id", T.LongType()),
@@ -26,7 +23,6 @@ PAGE = T.StructType(
         T.StructField("html", T.StringType()),
     ]
 )
-MESSAGE_LINE = T.StructType([T.StructField("message", T.StringType())])
 COMPLETION = T.StructType(
     [
         T.StructField("prompt_id", T.StringType()),

@@ -57,6 +57,20 @@ def test_auto_role(rows):
     assert got == {1: ("A", "P"), 2: default, 3: default, 4: ("A", None), 5: (None, None)}
 
 
+def test_settled_agents(rows):
+    asked = rows(
+        [(1, "t", "r", "Auto Agent", None), (2, "t", "r", "Travel Agent", None), (3, "t", "r", "Auto Agent", None), (4, "t", "r", "Auto Agent", None)],
+        "id int, task string, report_type string, agent string, error string",
+    )
+    replies = rows([(1, '{"agent": "A", "agent_role_prompt": "P"}'), (2, '{"agent": "B"}'), (4, "{}")], "id int, reply string")
+    settled = requests.validate(requests.settle_agents(asked, replies, ["id"]))
+    got = {r.id: (r.agent, r.agent_role_prompt, r.accepted) for r in settled.collect()}
+    default = fixed.ROLE_PROMPTS["Default Agent"]
+    assert got == {
+        1: ("A", "P", True), 2: ("Travel Agent", None, True), 3: ("Default Agent", default, True), 4: (None, None, False),
+    }
+
+
 def test_list_fanout(rows):
     replies = rows(
         [(1, '["a", "", "b"]'), (2, "not json"), (3, "[]"), (4, '{"a": 1}'), (5, None), (6, '["x"')],

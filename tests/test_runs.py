@@ -1,10 +1,13 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from dossier.functions.ordered import ordered_concat
 from dossier.operators import assemble, infer, pages, prompts, runlog, search, visited
 from dossier.plans import workload as given
-from dossier.plans.research import ResearchRun
+from dossier.operators.requests import list_fanout, validate
+from dossier.plans.research import ResearchRun, choose_agents, plan_queries
 from dossier.sinks import outputs
 from dossier.sinks.stage import new_folder, stage
 from dossier.sources.tables import read_txt_findings, spread
@@ -105,6 +108,26 @@ def test_run_with_a_completer(spark, sf_dir):
     assert all(r.report is not None and r.error is None for r in reports)
 
 
+def test_from_request_to_queries(spark, rows):
+    def model(messages, model, temperature, max_tokens):
+        if temperature == 0.0:
+            return '{"agent": "Picked", "agent_role_prompt": "P"}'
+        return json.dumps([messages[0]["content"], messages[1]["content"][:7]])
+
+    asked = rows(
+        [(1, "t", "research_report", "Auto Agent", None), (2, "", "research_report", "Travel Agent", None),
+         (3, "u", "research_report", "Nobody", None)],
+        "run_id long, task string, report_type string, agent string, error string",
+    )
+    store = new_folder(spark, "store")
+    settled = validate(choose_agents(asked, model, store)).where("accepted")
+    planned = plan_queries(settled, model, store)
+    queries = list_fanout(planned.select("run_id", "reply"), "query")
+    got = {(r.run_id, r.query_idx, r["query"]) for r in queries.collect()}
+    assert got == {(1, 0, "P"), (1, 1, "Write 4"), (3, 0, "No such agent"), (3, 1, "Write 4")}
+    assert {r.agent for r in planned.collect()} == {"Picked", "Nobody"}
+
+
 def test_stored_texts_and_index_give_the_same_run(spark, sf_dir):
     runs, crawled = given.runs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/pages.parquet")
     texts = stage(pages.page_text(crawled), "texts")

@@ -72,19 +72,28 @@ def complete_stored(
     path: str,
     tasks: int | None = None,
     threads: int = 1,
+    waves: int = 1,
 ) -> DataFrame:
     """Complete what ``path`` does not hold, append it there, and return ``prompts``
     with content and error.
 
     Calls are written as soon as they are made; what follows reads what was written.
-    Failed calls come back with their error and are not stored, so a later run
-    sends them again.
+    A long list of calls can be made in several ``waves``, each stored before the
+    next starts, so that a job that ends early keeps what it has paid for.  Failed
+    calls come back with their error and are not stored, so a later run sends them
+    again.
     """
     spark = prompts.sparkSession
     new = pending(prompts, completion_store(spark, path))
-    made = stage(complete(new, completer, tasks, threads), "completions")
-    made.where(F.col("error").isNull()).write.mode("append").parquet(path)
-    known = completion_store(spark, path).unionByName(made.where(F.col("error").isNotNull()))
+    if waves > 1:
+        new = stage(new, "pending-prompts")
+    failed = spark.createDataFrame([], schemas.COMPLETION)
+    for wave in range(waves):
+        due = new.where(F.pmod(F.xxhash64("prompt_id"), F.lit(waves)) == wave) if waves > 1 else new
+        made = stage(complete(due, completer, tasks, threads), "completions")
+        made.where(F.col("error").isNull()).write.mode("append").parquet(path)
+        failed = failed.unionByName(made.where(F.col("error").isNotNull()))
+    known = completion_store(spark, path).unionByName(failed)
     return prompts.join(known, "prompt_id", "left")
 
 

@@ -227,7 +227,7 @@ class ResearchRun:
 
     @cached_property
     def ledger(self) -> DataFrame:
-        return visited.source_ledger(self.lookups, self.page_chunks)
+        return visited.source_ledger(self.findings, self.page_chunks)
 
     def log(self, run_times: DataFrame | None = None) -> DataFrame:
         """All lines a run sends, in one table.

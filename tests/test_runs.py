@@ -93,6 +93,23 @@ def test_failing_calls_stay_rows_and_are_sent_again(spark, rows, tmp_path):
     assert len(marker.read_text()) == made + 2 + 1
 
 
+def test_waves_make_each_call_once(spark, rows, tmp_path):
+    marker = tmp_path / "calls"
+
+    def completer(messages, model, temperature, max_tokens):
+        with open(marker, "a") as log:
+            log.write("x")
+        if "t7" in messages[0]["content"]:
+            raise RuntimeError("refused")
+        return "done"
+
+    calls = _calls(rows, [f"t{i}" for i in range(20)])
+    done = infer.complete_stored(calls, completer, new_folder(spark, "store"), waves=3).collect()
+    assert len(marker.read_text()) == 20
+    assert {(r.content, r.error) for r in done if r.id != 7} == {("done", None)}
+    assert [(r.content, r.error) for r in done if r.id == 7] == [(None, "refused")]
+
+
 def test_run_with_a_completer(spark, sf_dir):
     runs = given.runs(spark, sf_dir)
     crawled = spark.read.parquet(f"{sf_dir}/pages.parquet")

@@ -241,7 +241,6 @@ class ResearchRun:
             F.array_sort(F.collect_list(F.struct("rank", "url"))).alias("_sites")
         )
         urls = F.to_json(F.transform("_sites", lambda s: s["url"]))
-        prefix = fixed.LOG_GATHERED.split("Information")[0]
         words = self.word_counts
         reports = self.reports.where(F.col("report").isNotNull())
         # A report is sent line by line as its breaks arrive; a tail without one is not.
@@ -257,7 +256,7 @@ class ResearchRun:
                 findings.where(column("status").isin("ok", "empty_text")),
                 6,
                 "finding",
-                F.concat(F.lit(prefix), "content"),
+                fill(fixed.LOG_FINDING, finding=column("content")),
                 "query_idx",
                 "rank",
             ),

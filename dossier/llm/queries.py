@@ -6,12 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import bpe, quality, token_files
+from dossier.llm import bpe, embeddings, main_text, minhash, packing, pii, quality, token_files, url_templates, warc
+from dossier.llm.oracles import ORACLES
 from dossier.llm.shipping import ship
 from dossier.sinks.stage import new_folder
 
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+RULES = [
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+]
 
 
 def query(function):
@@ -33,6 +40,52 @@ def op1_bpe(spark, sf_dir):
     return bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op2_main_text(spark, sf_dir):
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op3_url_templates(spark, sf_dir):
+    """The number in a page's path is that of the document it shows, which labels judge."""
+    labels = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("url_key"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int").alias("good")
+    )
+    judged = url_templates.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), RULES, labels)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op4_surrogates(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymised(docs, count_col="n_entities")
+
+
+@query
+def op5_warc(spark, sf_dir):
+    out = new_folder(spark, "archive")
+    warc.write_archive(table(spark, sf_dir, "pages"), out)
+    return warc.captures(warc.read_archive(spark, out))
+
+
+@query
+def op7_minhash(spark, sf_dir):
+    """A class id and whether the row is the one of its class to keep."""
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
+@query
+def op8_embeddings(spark, sf_dir):
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+@query
+def op10_packing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return packing.best_fit(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query
 def op6_token_files(spark, sf_dir):
     out = new_folder(spark, "token-files")

@@ -4,6 +4,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from dossier.plans import catalog
+from dossier.plans.oracles import ORACLES
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
@@ -24,7 +26,7 @@ def _sorted(rows):
     return sorted(rows, key=lambda r: [(v is not None, str(v)) for v in r])
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, second, sf_dir, name):
     frame = entry.queries()[name](spark, sf_dir)
     columns = sorted(frame.columns)
@@ -38,7 +40,7 @@ def test_query(spark, second, sf_dir, name):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalog.QUERIES) == set(ORACLES)
 
 
 def test_entry(spark):

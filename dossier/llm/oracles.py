@@ -2,4 +2,91 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from dossier.llm import url_templates as urls
+
+# The rules of the URL query, as (verdict, host and path).
+RULES = [
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+]
+
+
+def _rules() -> str:
+    rows = []
+    for verdict, rule in RULES:
+        name, slash, rest = rule.partition("/")
+        rows.append(f"('{rule}', '{name}', '{slash}{rest}', '{verdict}')")
+    return "rules(rule, name, start, verdict) AS (VALUES " + ", ".join(rows) + ")"
+
+
+def _levels() -> str:
+    """One step of the template tree after the other: n0 to n4."""
+    segs = ", ".join(f"s{i}" for i in range(1, urls.LEVELS + 1))
+    out = []
+    for level in range(urls.LEVELS):
+        seg = f"s{level + 1}"
+        out.append(f"""
+b{level} AS (SELECT host, prefix, {seg} AS seg, sum(n) AS n, sum(good) AS good FROM n{level} GROUP BY ALL),
+p{level} AS (SELECT host, prefix, (sum(good) + 0.5e0) / (sum(n) + 1.0e0) AS share FROM b{level} GROUP BY ALL),
+t{level} AS (SELECT host, prefix, seg, CASE WHEN seg = '' OR starts_with(seg, '*') THEN seg
+   WHEN abs(good - n * share) > {urls.SIGNIFICANT} * sqrt(n * share * (1 - share)) THEN seg ELSE '*' END AS step
+   FROM b{level} JOIN p{level} USING (host, prefix)),
+n{level + 1} AS MATERIALIZED (SELECT host, {segs}, CASE step WHEN '' THEN prefix ELSE prefix || '/' || step END AS prefix, n, good
+   FROM n{level} JOIN t{level} USING (host, prefix) WHERE t{level}.seg = n{level}.{seg})""")
+    return ",".join(out)
+
+
+_segs = ", ".join(
+    f"coalesce(shaped[{i}], '') AS s{i}" for i in range(1, urls.LEVELS)
+) + f", CASE WHEN len(shaped) > {urls.LEVELS} THEN '**' ELSE coalesce(shaped[{urls.LEVELS}], '') END AS s{urls.LEVELS}"
+_names = ", ".join(f"s{i}" for i in range(1, urls.LEVELS + 1))
+_k = urls.SMOOTHING
+_last = f"n{urls.LEVELS}"
+
+URL_TEMPLATES = f"""
+WITH {_rules()},
+u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '{urls.HOST}', 1), ''), '{urls.UPPER}', '{urls.LOWER}') AS host,
+   coalesce(regexp_extract(url, '{urls.PATH}', 1), '') AS path FROM pages),
+numbered AS (SELECT row_number() OVER () AS r, * FROM u),
+fits AS (SELECT r, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS ruled FROM numbered, rules
+   WHERE (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start) GROUP BY r),
+shaped AS (SELECT *, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s:
+   CASE WHEN regexp_matches(s, '{urls.VARIABLE}') THEN '*' || regexp_extract(s, '{urls.VARIABLE}', 1) ELSE s END) AS shaped FROM numbered),
+given AS (SELECT doc_id AS k, min(CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END) AS good FROM labels GROUP BY doc_id),
+rows AS MATERIALIZED (SELECT r, page_id, host, path, {_segs}, good FROM shaped
+   LEFT JOIN given ON k = TRY_CAST(regexp_extract(path, '/([0-9]{{1,18}})(?:[./]|$)', 1) AS BIGINT)),
+n0 AS MATERIALIZED (SELECT host, {_names}, '' AS prefix, count(good) AS n, coalesce(sum(good), 0) AS good FROM rows GROUP BY ALL),{_levels()},
+hosts AS (SELECT host, sum(n) AS hn, sum(good) AS hg FROM {_last} GROUP BY host),
+prior AS (SELECT (sum(hg) + 1.0e0) / (sum(hn) + 2.0e0) AS p FROM hosts),
+templates AS (SELECT host, prefix, (sum(good) + {_k}e0 * any_value((hg + {_k}e0 * p) / (hn + {_k}e0))) / (sum(n) + {_k}e0) AS purity
+   FROM {_last} JOIN hosts USING (host), prior GROUP BY host, prefix),
+judged AS (SELECT host, {_names}, purity FROM {_last} JOIN templates USING (host, prefix))
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN purity < {urls.LEAST_SHARE} THEN 'block' ELSE 'allow' END) AS verdict
+FROM rows LEFT JOIN fits USING (r) JOIN judged USING (host, {_names})"""
+
+_digit = "(strpos('0123456789abcdef', substr(s, {at}, 1)) - 1)"
+_pair = f"({_digit.format(at='5 * i // 4 + 1')} * 16 + {_digit.format(at='5 * i // 4 + 2')})"
+WARC = f"""
+WITH h AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS s FROM pages),
+g AS (SELECT s, max(page_id) AS owner FROM h GROUP BY s),
+judged AS (SELECT *, owner IS NOT NULL AND page_id IS DISTINCT FROM owner AS again FROM h JOIN g USING (s))
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i:
+   substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((({_pair} // CAST(2 ** (3 - 5 * i % 4) AS BIGINT)) % 32) AS BIGINT) + 1, 1)), '') AS payload_digest,
+   CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN owner END AS refers_to FROM judged"""
+
+EMBEDDINGS = """
+WITH RECURSIVE v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+ok AS MATERIALIZED (SELECT *, sqrt(list_dot_product(e, e)) AS norm FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0
+   AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (SELECT a.r AS a, b.r AS b FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.r <> b.r
+   WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.93e0),
+reach AS (SELECT r, r AS t FROM v UNION SELECT reach.r, links.b FROM reach JOIN links ON links.a = reach.t),
+least AS (SELECT reach.r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.t GROUP BY reach.r),
+degree AS (SELECT a AS r, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept
+FROM v JOIN least USING (r) LEFT JOIN degree USING (r)"""
+
+ORACLES = {"op3_url_templates": URL_TEMPLATES, "op5_warc": WARC, "op8_embeddings": EMBEDDINGS}

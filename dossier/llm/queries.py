@@ -7,18 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.llm import bpe, embeddings, main_text, minhash, packing, pii, quality, token_files, url_templates, warc
-from dossier.llm.oracles import ORACLES
+from dossier.llm.oracles import ORACLES, RULES
 from dossier.llm.shipping import ship
 from dossier.sinks.stage import new_folder
 
 QUERIES: dict = {}
-RULES = [
-    ("allow", "org/"),
-    ("block", "example.org/es/"),
-    ("block", "example.org/en/1"),
-    ("allow", "com/fr/"),
-    ("block", "com/de/"),
-]
 
 
 def query(function):

@@ -6,6 +6,7 @@ plain join keys between two stored tables, which adaptive execution can split.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,3 +51,17 @@ def components(edges: DataFrame) -> DataFrame:
         state = new
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def least_labels(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Least row reachable from each of ``n`` rows over the pairs (x, y), inside one task."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, x, least)
+        np.minimum.at(new, y, least)
+        new = new[new]
+        if np.array_equal(new, label):
+            return label
+        label = new

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.components import components
+from dossier.llm.components import components, least_labels
 from dossier.llm.stages import staged
 
 
@@ -44,20 +44,6 @@ def linked_pairs(one: np.ndarray, two: np.ndarray, threshold: float) -> np.ndarr
     return linked
 
 
-def _least_labels(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Least row reachable from each of ``n`` rows over the pairs (x, y)."""
-    label = np.arange(n)
-    while True:
-        least = np.minimum(label[x], label[y])
-        new = label.copy()
-        np.minimum.at(new, x, least)
-        np.minimum.at(new, y, least)
-        new = new[new]
-        if np.array_equal(new, label):
-            return label
-        label = new
-
-
 def tile_links(nodes: DataFrame, threshold: float, block: int = 2048) -> DataFrame:
     """(node, links, root) per tile: vectors linked there, and a tree over linked nodes.
 
@@ -83,7 +69,7 @@ def tile_links(nodes: DataFrame, threshold: float, block: int = 2048) -> DataFra
         x, y = np.nonzero(linked)
         x, y = one[x], two[y]
         links = np.bincount(x, copies[y], len(node)) + np.bincount(y, copies[x], len(node))
-        root = _least_labels(len(node), x, y)
+        root = least_labels(len(node), x, y)
         has = np.flatnonzero(links)
         return pa.table({"node": node[has], "links": links[has].astype(np.int64), "root": node[root[has]]})
 

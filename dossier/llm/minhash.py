@@ -9,8 +9,9 @@
    sample with a probability of their weighted Jaccard similarity.  Runs of samples
    form bands; nodes that share a band may be alike.
 4. In every bucket each node is compared with the least one; links hold if the exact weighted
-   Jaccard similarity reaches the threshold.  Then the pairs left between different components of a
-   bucket are compared, in blocks, so that no link is missed behind a poor centre.
+   Jaccard similarity reaches the threshold.  Then all pairs left between different components of a
+   bucket are compared, as exact matrix products over blocks of the bucket, so that no link is
+   missed behind a poor centre.  A pair of blocks gives a tree over the linked nodes, not its links.
 5. Classes are connected components.
 """
 
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.components import components
+from dossier.llm.components import components, least_labels
 from dossier.llm.stages import staged
 from dossier.llm.words import KEEP, Interner, numbered_words, slices
 
@@ -184,7 +185,7 @@ class Sampler:
 
 
 def signatures(texts: DataFrame, weights) -> DataFrame:
-    """(node, weight, sketch, bands) of every text; ``weights`` is a broadcast table."""
+    """(node, chars, sketch, bands) of every text; ``weights`` is a broadcast table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, sampler, table = Shingler(), Sampler(), weights.value
@@ -202,15 +203,15 @@ def signatures(texts: DataFrame, weights) -> DataFrame:
                 yield pa.record_batch(
                     [
                         batch.column(0).slice(at, len(part)),
-                        pa.array(np.add.reduceat(weight, starts[:-1])),
+                        pa.array([len(text) for text in part], pa.int64()),
                         pa.array([s.tobytes() for s in sketch], pa.binary()),
                         pa.FixedSizeListArray.from_arrays(pa.array(banded.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64())),
                     ],
-                    names=["node", "weight", "sketch", "bands"],
+                    names=["node", "chars", "sketch", "bands"],
                 )
                 at += len(part)
 
-    schema = "node long, weight double, sketch binary, bands array<long>"
+    schema = "node long, chars long, sketch binary, bands array<long>"
     return texts.select("node", "text").mapInArrow(run, schema)
 
 
@@ -237,48 +238,61 @@ def verified(pairs: DataFrame, texts: DataFrame, weights, threshold: float) -> D
     return both.mapInArrow(run, "a long, b long")
 
 
-def _agreeing(one: np.ndarray, two: np.ndarray, least: int) -> np.ndarray:
-    """Pairs of rows of two sketch tables that agree in ``least`` samples or more."""
-    same = np.zeros((len(one), len(two)), np.int16)
-    for k in range(one.shape[1]):
-        same += one[:, k, None] == two[None, :, k]
-    return same >= least
-
-
-def sketch_pairs(members: DataFrame, threshold: float, least: int, block: int = 512) -> DataFrame:
-    """Pairs of a bucket's members in different components whose sketches and weights allow
-    the threshold.  ``members`` has bucket, node, component, weight, sketch, size.  A bucket is cut
-    into blocks by node hash, and each pair of blocks is a group of its own."""
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    mine = F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int")
-    placed = members.withColumn("n_blocks", blocks).withColumn("mine", mine)
+def similar_pairs(found: np.ndarray, times: np.ndarray, starts: np.ndarray, table: np.ndarray, threshold: float) -> np.ndarray:
+    """Boolean table of the texts of a block whose weighted Jaccard similarity reaches the threshold.
+
+    A shared shingle adds its weight times the smaller count, that is, its weight once for every
+    level that both counts reach: a product of 0/1 matrices per level."""
+    n = len(starts) - 1
+    owner = np.repeat(np.arange(n), np.diff(starts))
+    weight = table[(found >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
+    total = np.bincount(owner, weight * times, n)
+    shared = np.zeros((n, n))
+    reached = 0
+    while len(found):
+        # Shingles of one text add nothing to a pair.
+        _, column, count = np.unique(found, return_inverse=True, return_counts=True)
+        kept = count[column] > 1
+        found, times, owner, weight = found[kept], times[kept], owner[kept], weight[kept]
+        if not len(found):
+            break
+        level = int(times.min())
+        _, column = np.unique(found, return_inverse=True)
+        for first in range(0, int(column.max()) + 1, 2048):
+            part = (column >= first) & (column < first + 2048)
+            matrix = np.zeros((n, min(2048, int(column.max()) + 1 - first)))
+            matrix[owner[part], column[part] - first] = np.sqrt(weight[part] * (level - reached))
+            shared += matrix @ matrix.T
+        reached = level
+        above = times > level
+        found, times, owner, weight = found[above], times[above], owner[above], weight[above]
+    return shared >= threshold * (total[:, None] + total[None, :] - shared) * (1 - 1e-12)
+
+
+def block_links(members: DataFrame, weights, threshold: float, block: int = 512, chars: int = 16_000_000) -> DataFrame:
+    """(a, b): trees over the linked nodes of different components in each bucket.
+
+    ``members`` has bucket, node, component, text, size and chars (of the whole bucket).  A bucket is
+    cut by node hash into blocks of about ``block`` nodes and ``chars`` characters, and each pair of
+    blocks is a group of its own."""
+    blocks = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("chars") / chars)).cast("int")
+    placed = members.withColumn("n_blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("n_blocks").cast("long")).cast("int"))
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
-        "bucket",
-        F.least("mine", "other").alias("i"),
-        F.greatest("mine", "other").alias("j"),
-        "mine",
-        "node",
-        "component",
-        "weight",
-        "sketch",
+        "bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "component", "text"
     )
 
-    def run(table: pa.Table) -> pa.Table:
-        columns = table.to_pydict()
-        mine = np.array(columns["mine"])
-        node, component, weight = (np.array(columns[c]) for c in ("node", "component", "weight"))
-        sketch = np.frombuffer(b"".join(columns["sketch"]), np.uint32).reshape(len(node), -1)
-        i, j = columns["i"][0], columns["j"][0]
-        one, two = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        fits = _agreeing(sketch[one], sketch[two], least)
-        low = np.minimum(weight[one][:, None], weight[two][None, :])
-        high = np.maximum(weight[one][:, None], weight[two][None, :])
-        fits &= (component[one][:, None] != component[two][None, :]) & (low >= threshold * high * (1 - 1e-9))
-        if i == j:
-            fits = np.triu(fits, 1)
-        x, y = np.nonzero(fits)
-        a, b = node[one[x]], node[two[y]]
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+    def run(rows: pa.Table) -> pa.Table:
+        mine, node, component = (rows.column(c).to_numpy() for c in ("mine", "node", "component"))
+        found, times, starts = Shingler().shingles(rows.column("text").to_pylist())
+        linked = np.triu(similar_pairs(found, times, starts, weights.value, threshold), 1)
+        linked &= component[:, None] != component[None, :]
+        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        if i != j:
+            linked &= mine[:, None] != mine[None, :]
+        x, y = np.nonzero(linked)
+        root = least_labels(len(node), x, y)
+        own = np.flatnonzero(root != np.arange(len(node)))
+        return pa.table({"a": pa.array(node[own], pa.int64()), "b": pa.array(node[root[own]], pa.int64())})
 
     return spread.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
@@ -288,11 +302,10 @@ def node_classes(texts: DataFrame, threshold: float = 0.8) -> DataFrame:
     spark = texts.sparkSession
     weights = spark.sparkContext.broadcast(shingle_weights(texts))
     signed = staged(signatures(texts, weights), "near-signatures")
-    members = signed.select("node", F.explode("bands").alias("bucket"))
-    centres = staged(
-        members.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("size")).where("size > 1"), "near-buckets"
-    )
-    shared = staged(members.join(centres, "bucket"), "near-members")
+    members = signed.select("node", "chars", F.explode("bands").alias("bucket"))
+    measures = (F.min("node").alias("centre"), F.count("*").alias("size"), F.sum("chars").alias("chars"))
+    centres = staged(members.groupBy("bucket").agg(*measures).where("size > 1"), "near-buckets")
+    shared = staged(members.drop("chars").join(centres, "bucket"), "near-members")
     # A pair of a similarity at the threshold agrees in fewer samples once in some thousand times.
     least = int(SAMPLES * threshold - 4 * (SAMPLES * threshold * (1 - threshold)) ** 0.5)
     star = shared.where(F.col("node") != F.col("centre")).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
@@ -311,13 +324,11 @@ def node_classes(texts: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     # Pairs across components that the stars did not settle.
     placed = shared.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = staged(placed.select("bucket", "node", "component", "size"), "near-placed")
+    placed = staged(placed.select("bucket", "node", "component", "size", "chars"), "near-placed")
     mixed_buckets = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    open_members = placed.join(staged(mixed_buckets.select("bucket"), "near-open"), "bucket").join(
-        signed.select("node", "weight", "sketch"), "node"
-    )
-    rest = sketch_pairs(open_members, threshold, least).join(likely, ["a", "b"], "left_anti")
-    more = staged(verified(staged(rest, "near-rest"), texts, weights, threshold), "near-more")
+    open_members = staged(placed.join(staged(mixed_buckets.select("bucket"), "near-open"), "bucket"), "near-open-members")
+    rest = block_links(open_members.join(texts.select("node", "text"), "node"), weights, threshold)
+    more = staged(rest, "near-more")
     if more.isEmpty():
         return first
     return components(links.unionByName(more))

@@ -109,18 +109,25 @@ def test_samples_agree_as_often_as_texts_are_alike():
     assert abs(hits / (40 * minhash.SAMPLES) - want) < 0.03
 
 
-def test_pairs_that_stars_leave_open(spark):
-    """Sketch pairs of a bucket over several blocks, against all pairs."""
-    draw = np.random.default_rng(6)
-    sketches = draw.integers(0, 3, (50, 8)).astype(np.uint32)
-    data = [(1, i, i % 9, 1.0 + (i % 4) * 0.1, bytearray(sketches[i].tobytes()), 50) for i in range(50)]
-    members = spark.createDataFrame(data, "bucket long, node long, component long, weight double, sketch binary, size long")
-    got = sorted(map(tuple, minhash.sketch_pairs(members, 0.8, 4, block=16).collect()))
-    want = [
-        (i, j) for i in range(50) for j in range(i + 1, 50)
-        if i % 9 != j % 9 and (sketches[i] == sketches[j]).sum() >= 4 and min(data[i][3], data[j][3]) >= 0.8 * max(data[i][3], data[j][3])
-    ]
-    assert want and got == want
+@pytest.mark.parametrize("block,chars", [(1000, 10**9), (7, 10**9), (1000, 3000)])
+def test_blocks_of_a_bucket(spark, block, chars):
+    """Trees over blocks link just what all pairs of different components link."""
+    draw = random.Random(3)
+    base = [draw.choice("abcdefgh") * draw.randrange(1, 4) for _ in range(80)]
+    given = []
+    for node in range(60):
+        words = list(base)
+        for _ in range(draw.randrange(0, 8)):
+            words[draw.randrange(80)] = "x%d" % draw.randrange(99)
+        if node % 5 == 0:
+            words += ["same words over and over"] * draw.randrange(4)
+        given.append((1, node, node // 3, " ".join(words), 60, 20_000))
+    members = spark.createDataFrame(given, "bucket long, node long, component long, text string, size long, chars long")
+    ones = spark.sparkContext.broadcast(np.ones(1 << minhash.TABLE_BITS))
+    got = [(r.a, r.b) for r in minhash.block_links(members, ones, 0.8, block, chars).collect()]
+    bags = [shingles(t) for _, _, _, t, _, _ in given]
+    pairs = [(a, b) for a in range(60) for b in range(a + 1, 60) if a // 3 != b // 3 and similarity(bags[a], bags[b]) >= 0.8]
+    assert pairs and least_of(range(60), got) == least_of(range(60), pairs)
 
 
 def vectors():

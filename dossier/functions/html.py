@@ -20,14 +20,16 @@ UNSEEN = (
     % (TAG_REST, TAG_REST)
 )
 BODY_START = r"(?is)^.*?<body(?:[\s/]%s)?>" % TAG_REST
-TEXT_START = r"(?i)<(?:p|h[1-5])(?:[\s/]%s)?>" % TAG_REST
-# Element names whose tags end an open paragraph or heading.
-BLOCKS = (
-    "p h[1-6] address article aside blockquote body center details dialog dir div dl dd dt fieldset "
-    "figcaption figure footer form header hgroup hr html li main menu nav ol pre search section summary "
-    "table ul"
-).split()
-TEXT_END = r"(?i)</?(?:%s)(?:[\s/]%s)?>" % ("|".join(BLOCKS), TAG_REST)
+PARAGRAPH_START = r"(?i)<p(?:[\s/]%s)?>" % TAG_REST
+HEADING_START = r"(?i)<h[1-5](?:[\s/]%s)?>" % TAG_REST
+HEADING_END = r"(?i)(?:</h[1-6](?:[\s/]%s)?>|<h6(?:[\s/]%s)?>)" % (TAG_REST, TAG_REST)
+# Element names whose tags end an open paragraph; a heading holds them.
+BLOCKS = [
+    "p", "address", "article", "aside", "blockquote", "body", "center", "details", "dialog", "dir", "div", "dl", "dd",
+    "dt", "fieldset", "figcaption", "figure", "footer", "form", "header", "hgroup", "hr", "html", "li", "main", "menu",
+    "nav", "ol", "pre", "search", "section", "summary", "table", "ul",
+]
+BLOCK_TAG = r"(?i)</?(?:%s)(?:[\s/]%s)?>" % ("|".join(BLOCKS), TAG_REST)
 ANY_TAG = r"(?i)<[a-z/!?]%s>" % TAG_REST
 ANCHOR_START = r"(?i)<a((?:[\s/]%s)?)>" % TAG_REST
 ANCHOR_END = r"(?i)</a(?:[\s/]%s)?>" % TAG_REST
@@ -39,6 +41,9 @@ ENTITY = rf"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;|{OLD_NAMES})
 ATTRIBUTE_ENTITY = rf"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;|(?:{OLD_NAMES})(?![=A-Za-z0-9]))"
 
 OPEN, CLOSE, SPLIT = "\x01", "\x02", "\x03"
+HEADING, HEADING_CLOSE = "\x04", "\x05"
+# What HTML reads the numbers of the C1 controls as; five have no other meaning.
+C1 = [bytes([c]).decode("cp1252", "ignore") or chr(c) for c in range(0x80, 0xA0)]
 
 
 # The entities nearly all pages use, tried before the full table.
@@ -47,14 +52,22 @@ COMMON_ENTITIES = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&nbsp
 
 def _entity_value(entity: Column) -> Column:
     """Characters of one ``&...;``; the entity itself where it has no meaning."""
-    name = F.substring(entity, 2, 64)
-    digits = F.regexp_replace(name, "^#[xX]?|;$", "")
-    code = F.when(
-        F.length(digits) <= 10,
-        F.when(name.rlike("^#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint"),
+    name = F.substring(entity, F.lit(2), F.length(entity))
+    digits = F.regexp_replace(name, "^#[xX]?0*|;$", "")
+    number = F.when(name.rlike("^#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
+    # More digits than any character has are a number beyond all of them.
+    code = F.when(digits == "", 0).when(F.length(digits) <= 10, number).otherwise(0x110000)
+    plane_end = code.bitwiseAND(0xFFFE) == 0xFFFE
+    dropped = (
+        code.between(1, 8) | (code == 0x0B) | code.between(0x0E, 0x1F) | (code == 0x7F) | code.between(0xFDD0, 0xFDEF) | plane_end
     )
     usable = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-    char = F.when(usable, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+    char = (
+        F.when(~usable, "\ufffd")
+        .when(code.between(0x80, 0x9F), F.element_at(F.array(*map(F.lit, C1)), (code - 0x7F).cast("int")))
+        .when(dropped, "")
+        .otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    )
     # The full table is one string literal, folded to a map when the query is planned.
     pairs = "\x02".join(f"{name}\x01{value}" for name, value in html5.items())
     table = F.str_to_map(F.lit(pairs), F.lit("\x02"), F.lit("\x01"))
@@ -84,16 +97,27 @@ def decode_entities(text: Column, pattern: str = ENTITY) -> Column:
 
 def visible(html: Column) -> Column:
     """Markup less comments, scripts, styles and our own marker characters."""
-    return F.regexp_replace(F.regexp_replace(html, f"[{OPEN}{CLOSE}{SPLIT}]", ""), UNSEEN, "")
+    return F.regexp_replace(F.regexp_replace(html, f"[{OPEN}{CLOSE}{SPLIT}{HEADING}{HEADING_CLOSE}]", ""), UNSEEN, "")
 
 
 def body_text(html: Column) -> Column:
-    """Text of h1-h5 and p elements of the body, in document order, tidied."""
-    body = F.regexp_replace(visible(html), BODY_START, "")
-    marked = F.regexp_replace(F.regexp_replace(body, TEXT_START, OPEN), TEXT_END, CLOSE)
+    """Text of h1-h5 and p elements of the body, in document order, tidied.
+
+    A paragraph ends at any block tag or heading, a heading only at its own end or the next
+    paragraph or heading."""
+    marked = F.regexp_replace(visible(html), BODY_START, "")
+    for pattern, mark in (
+        (PARAGRAPH_START, OPEN),
+        (HEADING_START, OPEN + HEADING),
+        (HEADING_END, HEADING_CLOSE),
+        (BLOCK_TAG, CLOSE),
+    ):
+        marked = F.regexp_replace(marked, pattern, mark)
     plain = F.regexp_replace(marked, ANY_TAG, "")
     pieces = F.slice(F.split(plain, OPEN), 2, 2_000_000_000)
-    elements = F.transform(pieces, lambda p: F.substring_index(p, CLOSE, 1))
+    heading = lambda p: F.replace(F.substring(F.substring_index(p, HEADING_CLOSE, 1), F.lit(2), F.length(p)), F.lit(CLOSE), F.lit(""))
+    paragraph = lambda p: F.substring_index(F.substring_index(p, CLOSE, 1), HEADING_CLOSE, 1)
+    elements = F.transform(pieces, lambda p: F.when(p.startswith(HEADING), heading(p)).otherwise(paragraph(p)))
     return tidy_lines(decode_entities(F.array_join(elements, "\n\n")))
 
 

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from dossier.functions import fixed_values as fixed
 from dossier.functions.ordered import ordered_concat
-from dossier.functions.text import extractive_summary, fill, word_count
+from dossier.functions.text import fill, word_count
+from dossier.operators import prompts
 from dossier.operators.pages import PAGE_MISSING
+from dossier.settings import DEFAULTS, JobSettings
 
 VISIT = ["run_id", "query_idx", "url"]
 # Chunks joined per task before the final join of a page's summaries.
@@ -40,21 +42,17 @@ def finding_status(lookups: DataFrame, summaries: DataFrame) -> DataFrame:
     )
 
 
-def topic_summaries(texts: DataFrame, keys: list[str], text: str, topic: str) -> DataFrame:
-    """One summary of each whole text for its topic, without chunks, by the extractive
-    stand-in, with the line that the log gets for it."""
-    return texts.select(
-        *keys,
-        extractive_summary(F.col(text), F.col(topic)).alias("summary"),
-        fill(fixed.LOG_SUMMARIZING, text=F.col(text)).alias("output"),
-    )
+def topic_calls(texts: DataFrame, keys: list[str], text: str, topic: str, settings: JobSettings = DEFAULTS) -> DataFrame:
+    """One call per whole text for its topic, without chunks, with the line that the log gets
+    for it."""
+    messages = prompts.summary_messages(F.col(text), F.col(topic))
+    line = fill(fixed.LOG_SUMMARIZING, text=F.col(text)).alias("output")
+    return prompts.call_table(texts.select(*keys, line, messages.alias("messages")), settings.fast_model, settings)
 
 
 def query_findings(queries: DataFrame, findings: DataFrame) -> DataFrame:
     """Findings of one query joined in rank order; a query without any has ''."""
-    joined = ordered_concat(
-        findings, ["run_id", "query_idx"], "rank", "content", "\n", "result", block=BLOCK
-    )
+    joined = ordered_concat(findings, ["run_id", "query_idx"], "rank", "content", "\n", "result")
     return (
         queries.select("run_id", "query_idx", "query")
         .join(joined, ["run_id", "query_idx"], "left")
@@ -65,9 +63,7 @@ def query_findings(queries: DataFrame, findings: DataFrame) -> DataFrame:
 def research_summary(results: DataFrame) -> DataFrame:
     """Each query's result followed by a blank line, in query order, per run."""
     padded = results.withColumn("_padded", F.concat("result", F.lit("\n\n")))
-    return ordered_concat(
-        padded, ["run_id"], "query_idx", "_padded", "", "research_summary", block=BLOCK
-    )
+    return ordered_concat(padded, ["run_id"], "query_idx", "_padded", "", "research_summary")
 
 
 def research_word_count(results: DataFrame) -> DataFrame:

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import json
+import re
 import sys
+import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier import schemas
+from dossier.functions import fixed_values as fixed
 from dossier.sinks.stage import stage
 
 # The functions below travel with the job, so executors need no copy of this package.
@@ -35,9 +39,10 @@ def complete(
 ) -> DataFrame:
     """(prompt_id, content, error) of each prompt.
 
-    ``tasks`` sets how many tasks call at once and ``threads`` how many calls each
-    keeps open.  A call that raises gives a row with its error; the others go on.
-    The function may retry by itself.
+    ``tasks`` sets how many tasks call at once, by default as many as the cluster runs, and
+    ``threads`` how many calls each keeps open.  The number is fixed, so small prompts are not merged into few tasks.
+    A call that raises gives a row with its error; the others go on.  The function may
+    retry by itself.
     """
 
     def call(row) -> tuple:
@@ -55,15 +60,31 @@ def complete(
                 yield pd.DataFrame(done, columns=["prompt_id", "content", "error"])
 
     calls = prompts.select("prompt_id", "messages", "model", "temperature", "max_tokens")
-    if tasks is not None:
-        calls = calls.repartition(tasks, "prompt_id")
+    # By a key of its own: dealt by prompt_id, the rows would be taken as dealt already.
+    width = tasks or calls.sparkSession.sparkContext.defaultParallelism
+    calls = calls.repartition(width, F.xxhash64("prompt_id"))
     return calls.mapInPandas(batches, schemas.COMPLETION)
 
 
+# Stored rows also name the batch of calls that made them and a part of the store.
+STORED = "prompt_id string, content string, error string, batch string, part int"
+PARTS = 64
+
+
+def _part() -> Column:
+    return F.pmod(F.xxhash64("prompt_id"), F.lit(PARTS)).cast("int")
+
+
+def _stored_rows(spark: SparkSession, path: str) -> DataFrame:
+    """All stored rows; a store that does not exist yet is created empty."""
+    spark.createDataFrame([], STORED).write.mode("ignore").partitionBy("part").parquet(path)
+    return spark.read.schema(STORED).parquet(path)
+
+
 def completion_store(spark: SparkSession, path: str) -> DataFrame:
-    """The stored completions; a store that does not exist yet is created empty."""
-    spark.createDataFrame([], schemas.COMPLETION).write.mode("ignore").parquet(path)
-    return spark.read.schema(schemas.COMPLETION).parquet(path)
+    """The stored completions, one row per prompt_id whatever number of writers made it."""
+    good = _stored_rows(spark, path).where(F.col("error").isNull())
+    return good.groupBy("prompt_id").agg(F.min("content").alias("content"), F.min("error").alias("error"))
 
 
 def complete_stored(
@@ -77,29 +98,73 @@ def complete_stored(
     """Complete what ``path`` does not hold, append it there, and return ``prompts``
     with content and error.
 
-    Calls are written as soon as they are made; what follows reads what was written.
-    A long list of calls can be made in several ``waves``, each stored before the
-    next starts, so that a job that ends early keeps what it has paid for.  Failed
-    calls come back with their error and are not stored, so a later run sends them
-    again.
+    Prompts are staged, so they are worked out once.  Calls are written to the store as soon as
+    they are made, failed ones too; what follows reads what was written.  A long list of calls can
+    be made in several ``waves``, each stored before the next starts, so that a job that ends early
+    keeps what it has paid for.  A failed call comes back with its error from this batch only, so a
+    later run sends it again.  The store is split by a hash of prompt_id; which prompts are new
+    is found on their ids alone.
     """
     spark = prompts.sparkSession
-    new = pending(prompts, completion_store(spark, path))
+    batch = uuid.uuid4().hex
+    asked = stage(prompts, "prompts")
+    new = pending(asked, _stored_rows(spark, path).where(F.col("error").isNull()))
     if waves > 1:
         new = stage(new, "pending-prompts")
-    failed = spark.createDataFrame([], schemas.COMPLETION)
     for wave in range(waves):
         due = new.where(F.pmod(F.xxhash64("prompt_id"), F.lit(waves)) == wave) if waves > 1 else new
-        made = stage(complete(due, completer, tasks, threads), "completions")
-        made.where(F.col("error").isNull()).write.mode("append").parquet(path)
-        failed = failed.unionByName(made.where(F.col("error").isNotNull()))
-    known = completion_store(spark, path).unionByName(failed)
-    return prompts.join(known, "prompt_id", "left")
-
-
-def lead_sentences(messages: list, model: str, temperature: float, max_tokens: int | None) -> str:
-    """Offline stand-in for a model: the first three sentences of the quoted text."""
-    content = messages[-1]["content"]
-    text = content[3 : content.rfind('""" ')]
-    pieces = [piece.strip(" ") for line in text.split("\n") for piece in line.split(".")]
-    return ". ".join([piece for piece in pieces if piece][:3])
+        made = complete(due, completer, tasks, threads).select("*", F.lit(batch).alias("batch"), _part().alias("part"))
+        made.write.mode("append").partitionBy("part").parquet(path)
+    # After its waves each prompt has a completion in the store or a failure of this batch.
+    rows = _stored_rows(spark, path).where(F.col("error").isNull() | (F.col("batch") == batch))
+    known = rows.groupBy("prompt_id").agg(
+        F.min(F.when(F.col("error").isNull(), F.col("content"))).alias("content"),
+        F.when(F.count_if(F.col("error").isNull()) == 0, F.min("error")).alias("error"),
+    )
+    return asked.join(known, "prompt_id", "left")
+
+
+def _quoted_prompts() -> list[tuple[str, str, str, int, str]]:
+    """Of each prompt that quotes a text and asks a question: its three fixed pieces, and how many
+    sentences answer it, joined by what."""
+    templates = [(fixed.SUMMARY_PROMPT, 3, ". "), *((t, 5, ".\n") for t in fixed.REPORT_PROMPTS.values())]
+    return [(*re.split(r"\{\w+\}", template)[:3], keep, joint) for template, keep, joint in templates]
+
+
+def extractive_completer() -> Completer:
+    """Offline stand-in for a model, for tests and repeatable runs.
+
+    It answers a quoted text by the sentences of the whole text that share most words with the question, as
+    :func:`dossier.functions.text.extractive_summary` does; a call for search queries by four runs
+    of the question's words, and a call for a role by a fixed agent with the task in its prompt."""
+    quoted = _quoted_prompts()
+    asks_queries = re.split(r"\{\w+\}", fixed.QUERY_PROMPT)
+    asks_role = fixed.ROLE_CHOICE_TASK.split("{task}")[0]
+    role_system = fixed.ROLE_CHOICE_PROMPT
+
+    def words(text: str) -> set:
+        return {w for w in re.split(r"[\W_]+", text.lower()) if w}
+
+    def answer(messages: list, model: str, temperature: float, max_tokens: int | None) -> str:
+        content = messages[-1]["content"]
+        if messages[0]["role"] == "system" and messages[0]["content"] == role_system:
+            task = content[len(asks_role) :]
+            return json.dumps({"agent": "Travel Agent", "agent_role_prompt": "Guide: " + task}, ensure_ascii=False)
+        if content.startswith(asks_queries[0]) and content.endswith(asks_queries[1]):
+            parts = content[len(asks_queries[0]) : -len(asks_queries[1])].split()
+            per = -(-len(parts) // 4)
+            return json.dumps([" ".join(parts[i * per : (i + 1) * per]) for i in range(4)], ensure_ascii=False)
+        for head, middle, tail, keep, joint in quoted:
+            if content.startswith(head) and middle in content and content.endswith(tail):
+                cut = content.rindex(middle)
+                text, question = content[len(head) : cut], content[cut + len(middle) : len(content) - len(tail)]
+                break
+        else:
+            text, question, keep, joint = content, content, 3, ". "
+        wanted = words(question)
+        pieces = [s for s in (piece.strip(" ") for piece in re.split(r"[.\n]+", text)) if s]
+        score = lambda s: len(wanted & words(s)) + bool(re.search("[0-9]", s))
+        best = sorted(range(len(pieces)), key=lambda i: (-score(pieces[i]), i))
+        return joint.join(pieces[i] for i in sorted(best[:keep]))
+
+    return answer

@@ -61,9 +61,9 @@ def latest_pages(pages: DataFrame, urls: DataFrame) -> DataFrame:
     """Pages whose URL is in ``urls``, one per URL: the highest page_id.
 
     The ids are found on the two narrow columns, with a maximum combined before the
-    shuffle, and written; the markup is then read only where it is kept.  ``urls``
-    should be a written stage too: the sizes of both decide how the joins are done,
-    and the markup of all pages is not shuffled to find a few.
+    shuffle, and written; the wide columns are then read only where they are kept.  ``urls``
+    should be a written stage too: the sizes of both decide how the joins are done.  Beyond the
+    broadcast limit the wide columns of ``pages`` are shuffled, so give texts rather than markup.
     """
     ids = stage(
         pages.select("url", "page_id")

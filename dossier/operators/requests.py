@@ -10,9 +10,22 @@ from dossier.functions import fixed_values as fixed
 from dossier.functions.text import literal_table
 
 
+def _values(text) -> F.Column:
+    """Values of a text read as the inside of a JSON array; null if it is not one."""
+    return F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+
+
 def _parses(text) -> F.Column:
-    """Whether a text is JSON at all; from_json cannot tell that from wrong fields."""
-    return F.try_parse_json(text).isNotNull()
+    """Whether a text is one JSON value and nothing else.
+
+    The parser stops after a value, so text behind it goes unseen; but inside brackets and
+    inside braces it must be closed by the right one of them."""
+    braced = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    whole = (F.size(_values(text)) == 1) & braced.isNotNull()
+    return F.coalesce(whole, F.lit(False))
+
+
+STRICT = {"allowSingleQuotes": "false"}
 
 
 def ingest(messages: DataFrame) -> DataFrame:
@@ -23,7 +36,7 @@ def ingest(messages: DataFrame) -> DataFrame:
         messages.where(F.col("message").startswith(fixed.START_WORD))
         .select(
             *others,
-            F.from_json(body, schemas.REQUEST_JSON).alias("_request"),
+            F.from_json(body, schemas.REQUEST_JSON, STRICT).alias("_request"),
             F.when(~_parses(body), "malformed request").alias("error"),
         )
         .select(*others, "_request.task", "_request.report_type", "_request.agent", "error")
@@ -63,8 +76,8 @@ def auto_role(replies: DataFrame) -> DataFrame:
 
     A failed call or a reply that is not JSON gives the default agent and its prompt.
     A reply that parses but lacks a field is left with that field empty."""
-    usable = F.coalesce(_parses(F.col("reply")), F.lit(False))
-    role = F.from_json("reply", schemas.ROLE_JSON)
+    usable = _parses(F.col("reply"))
+    role = F.from_json("reply", schemas.ROLE_JSON, STRICT)
     others = [c for c in replies.columns if c != "reply"]
     return replies.select(*others, usable.alias("_ok"), role.alias("_role")).select(
         *others,
@@ -97,8 +110,11 @@ def list_fanout(replies: DataFrame, item: str, limit: int | None = None) -> Data
     The number of strings a prompt asks for is not enforced unless ``limit`` is given.
     A reply that is not a JSON array of strings gives one row with an error instead."""
     others = [c for c in replies.columns if c != "reply"]
+    values = F.try_variant_get(F.try_parse_json("reply"), "$", "array<variant>")
+    texts = F.forall(values, lambda v: F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False)))
     parsed = F.when(
-        F.col("reply").rlike(r"^\s*\["), F.from_json("reply", schemas.STRING_LIST_JSON)
+        F.col("reply").rlike(r"^\s*\[") & _parses(F.col("reply")) & texts,
+        F.from_json("reply", schemas.STRING_LIST_JSON, STRICT),
     )
     kept = parsed if limit is None else F.slice(parsed, 1, limit)
     listed = replies.select(*others, kept.alias("_items"))

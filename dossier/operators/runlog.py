@@ -12,12 +12,14 @@ from dossier.functions.text import duration_text, fill, interval_micros
 
 
 def log_rows(
-    df: DataFrame, stage_no: int, stage: str, output: Column, query_idx=None, seq=None, kind="logs"
+    df: DataFrame, phase: int, stage_no: int, stage: str, output: Column, query_idx=None, seq=None, kind="logs"
 ) -> DataFrame:
-    """One stage's lines; a run's log reads in (stage_no, query_idx, seq) order."""
+    """One stage's lines; a run's log reads in (phase, query_idx, stage_no, seq) order, so a query
+    is through all its stages before the next one starts."""
     number = lambda c: (F.lit(0) if c is None else F.col(c)).cast("bigint")
     return df.select(
         "run_id",
+        F.lit(phase).alias("phase"),
         F.lit(stage_no).alias("stage_no"),
         F.lit(stage).alias("stage"),
         number(query_idx).alias("query_idx"),
@@ -63,3 +65,8 @@ def memory_records(chunks: DataFrame, summaries: DataFrame) -> DataFrame:
         ).alias("record"),
     )
     return raw.unionByName(summed)
+
+
+def concept_lines(replies: DataFrame, keys: list[str]) -> DataFrame:
+    """The line that shows a model's reply with the concepts of a lesson."""
+    return replies.select(*keys, fill(fixed.LOG_CONCEPTS, reply=F.col("reply")).alias("output"))

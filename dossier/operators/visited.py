@@ -12,12 +12,11 @@ def first_visits(hits: DataFrame) -> DataFrame:
     The top-k cut comes before this, so a later query may keep fewer hits.  Query and
     rank are packed into one number, whose minimum is hashed and combined before the
     shuffle: a URL or run with a large share of all hits costs one row per task.
-    Hits without a URL are left to :func:`urlless_hits`.
+    The hits of a run that have no URL are one visit, which fails later on.
     """
     place = F.shiftleft(F.col("query_idx").cast("bigint"), 32) + F.col("rank")
     return (
-        hits.where(F.col("url").isNotNull())
-        .groupBy("run_id", "url")
+        hits.groupBy("run_id", "url")
         .agg(F.min(place).alias("_place"), F.min_by("score", place).alias("score"))
         .select(
             "run_id",
@@ -29,10 +28,6 @@ def first_visits(hits: DataFrame) -> DataFrame:
     )
 
 
-def urlless_hits(hits: DataFrame) -> DataFrame:
-    return hits.where(F.col("url").isNull())
-
-
 def unvisited(hits: DataFrame, history: DataFrame) -> DataFrame:
     """First visits that a stored (run_id, url) history does not hold yet."""
     return first_visits(hits.join(history.select("run_id", "url"), ["run_id", "url"], "left_anti"))

@@ -21,7 +21,7 @@ from dossier.operators import (
 )
 from dossier.operators import report_text as reporting
 from dossier.plans import workload as given
-from dossier.plans.research import ResearchRun
+from dossier.plans.research import ResearchRun, choose_agents, plan_queries
 from dossier.settings import DEFAULTS
 from dossier.sinks import outputs
 from dossier.sinks.stage import new_folder, stage
@@ -37,16 +37,32 @@ def query(function: Query) -> Query:
     return function
 
 
-def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(given.table(spark, sf_dir, "pages"), "page_id")
+# The given tables are one file each, so work that is heavy per row is dealt out.
+TASKS = 16
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(given.table(spark, sf_dir, "documents"), "doc_id")
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(given.table(spark, sf_dir, "pages"), "page_id", TASKS)
 
 
-def _research(spark: SparkSession, sf_dir: str) -> ResearchRun:
-    return ResearchRun(given.runs(spark, sf_dir), given.table(spark, sf_dir, "pages"))
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(given.table(spark, sf_dir, "documents"), "doc_id", TASKS)
+
+
+def _research(spark: SparkSession, sf_dir: str, inferred: bool = False) -> ResearchRun:
+    """The given tasks as runs with their agents settled; ``inferred`` has all summaries written
+    by calls of a Python completer instead of expressions."""
+    asked = given.runs(spark, sf_dir).drop("agent_role_prompt").withColumnRenamed("reply", "queries")
+    settled = requests.settle_agents(asked, given.run_role_replies(spark, sf_dir), ["run_id"])
+    runs = settled.withColumnRenamed("queries", "reply")
+    return ResearchRun(
+        runs,
+        given.table(spark, sf_dir, "pages"),
+        completer=infer.extractive_completer() if inferred else None,
+        store=new_folder(spark, "store") if inferred else None,
+        more_hits=given.other_hits(spark, sf_dir),
+        partitions=TASKS,
+    )
 
 
 def _accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,6 +130,11 @@ def page_text(spark, sf_dir):
     return pages.page_text(_pages(spark, sf_dir))
 
 
+@query
+def odd_page_text(spark, sf_dir):
+    return pages.page_text(given.odd_pages(spark, sf_dir)).select("page_id", "text")
+
+
 @query
 def page_links(spark, sf_dir):
     return pages.page_links(_pages(spark, sf_dir))
@@ -289,7 +310,7 @@ def _document_calls(spark, sf_dir):
 def completions(spark, sf_dir):
     """A Python completer over all chunks of all documents, stored and joined back."""
     done = infer.complete_stored(
-        _document_calls(spark, sf_dir), infer.lead_sentences, new_folder(spark, "store")
+        _document_calls(spark, sf_dir), infer.extractive_completer(), new_folder(spark, "store")
     )
     return done.select("doc_id", "part", "prompt_id", "content", "error")
 
@@ -305,7 +326,7 @@ def pending_prompts(spark, sf_dir):
 
 @query
 def chunk_summaries(spark, sf_dir):
-    return _research(spark, sf_dir).chunk_summaries.select(*assemble.VISIT, "part", "summary")
+    return _research(spark, sf_dir, inferred=True).chunk_summaries.select(*assemble.VISIT, "part", "summary")
 
 
 @query
@@ -322,17 +343,19 @@ def combined_summary(spark, sf_dir):
 
 @query
 def url_summaries(spark, sf_dir):
-    return _research(spark, sf_dir).url_summaries.select(*assemble.VISIT, "summary")
+    return _research(spark, sf_dir, inferred=True).url_summaries.select(*assemble.VISIT, "summary")
 
 
 @query
 def topic_summaries(spark, sf_dir):
-    return assemble.topic_summaries(given.table(spark, sf_dir, "documents"), ["doc_id"], "text", "lang")
+    calls = assemble.topic_calls(given.table(spark, sf_dir, "documents"), ["doc_id"], "text", "lang")
+    done = infer.complete_stored(calls, infer.extractive_completer(), new_folder(spark, "store"))
+    return done.select("doc_id", F.col("content").alias("summary"), "output")
 
 
 @query
 def reports(spark, sf_dir):
-    return _research(spark, sf_dir).reports.select("run_id", "report_type", "report")
+    return _research(spark, sf_dir, inferred=True).reports.select("run_id", "report_type", "report")
 
 
 # --- assembly -------------------------------------------------------------
@@ -425,6 +448,28 @@ def run_log(spark, sf_dir):
     return _research(spark, sf_dir).log(given.run_times(spark, sf_dir))
 
 
+@query
+def concept_log(spark, sf_dir):
+    return runlog.concept_lines(given.concept_replies(spark, sf_dir), ["doc_id"])
+
+
+@query
+def full_run(spark, sf_dir):
+    """From start messages to reports: roles and queries asked for, rejected requests kept."""
+    completer, store = infer.extractive_completer(), new_folder(spark, "store")
+    asked = requests.ingest(given.start_messages(spark, sf_dir)).select(
+        F.concat_ws("-", "conv_id", "turn").alias("run_id"), "task", "report_type", "agent", "error"
+    )
+    settled = stage(requests.validate(choose_agents(asked, completer, store)), "settled")
+    runs = plan_queries(settled.where("accepted"), completer, store)
+    run = ResearchRun(
+        stage(runs, "runs"), given.table(spark, sf_dir, "pages"), completer=completer, store=store, partitions=TASKS
+    )
+    path = outputs.report_path(F.col("run_id"), F.col("report_type"))
+    written = run.reports.select("run_id", "report_type", "report", path.alias("path"))
+    return settled.select("run_id", "agent", "accepted", "error").join(written, "run_id", "left")
+
+
 @query
 def run_duration(spark, sf_dir):
     return runlog.run_duration(given.run_times(spark, sf_dir))

@@ -50,7 +50,7 @@ def extract(text: str, question: str, keep: int = 3, separator: str = "'. '") ->
 
 REST = r"""(?:[^>=]+|=\s*"[^"]*"|=\s*'[^']*'|=)*"""
 BLOCKS = (
-    "p|h[1-6]|address|article|aside|blockquote|body|center|details|dialog|dir|div|dl|dd|dt|fieldset|"
+    "p|address|article|aside|blockquote|body|center|details|dialog|dir|div|dl|dd|dt|fieldset|"
     "figcaption|figure|footer|form|header|hgroup|hr|html|li|main|menu|nav|ol|pre|search|section|summary|table|ul"
 )
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -62,9 +62,10 @@ def sub(text: str, pattern: str, replacement: str, flags: str = "g") -> str:
 
 
 def entities(text: str) -> str:
+    """References that occur in the tables: a few names and numbers."""
     for name, char in (
         ("lt", "'<'"), ("gt", "'>'"), ("quot", "'\"'"), ("copy", "'©'"), ("middot", "'·'"),
-        ("nbsp", "chr(160)"), ("amp", "'&'"),
+        ("nbsp", "chr(160)"), ("#150", "'–'"), ("#146", "'’'"), ("#x3c", "'<'"), ("(?:amp|#0*38)", "'&'"),
     ):
         text = sub(text, f"&{name};?", char)
     return text
@@ -82,9 +83,11 @@ def text_ctes(source: str, name: str) -> str:
     """``name``(page_id, url, text) of the pages in ``source``."""
     return f"""
 {name}_1 AS (SELECT page_id, url, {sub(seen('html'), rf'(?is)^.*?<body(?:[\s/]{REST})?>', "''", '')} AS h FROM {source}),
-{name}_2 AS (SELECT page_id, url, {sub(sub('h', rf'(?i)<(?:p|h[1-5])(?:[\s/]{REST})?>', 'chr(1)'), rf'(?i)</?(?:{BLOCKS})(?:[\s/]{REST})?>', 'chr(2)')} AS h FROM {name}_1),
+{name}_2 AS (SELECT page_id, url, {sub(sub(sub(sub('h', rf'(?i)<p(?:[\s/]{REST})?>', 'chr(1)'), rf'(?i)<h[1-5](?:[\s/]{REST})?>', 'chr(1) || chr(4)'), rf'(?i)</h[1-6](?:[\s/]{REST})?>|<h6(?:[\s/]{REST})?>', 'chr(5)'), rf'(?i)</?(?:{BLOCKS})(?:[\s/]{REST})?>', 'chr(2)')} AS h FROM {name}_1),
 {name}_3 AS (SELECT page_id, url, string_split({sub('h', rf'(?i)<[a-z/!?]{REST}>', "''")}, chr(1))[2:] AS els FROM {name}_2),
-{name}_4 AS (SELECT page_id, url, {entities(f"array_to_string(list_transform(els, lambda e: split_part(e, chr(2), 1)), {NL} || {NL})")} AS t FROM {name}_3),
+{name}_e AS (SELECT page_id, url, list_transform(els, lambda e: CASE WHEN starts_with(e, chr(4)) THEN replace(split_part(substr(e, 2), chr(5), 1), chr(2), '')
+   ELSE split_part(split_part(e, chr(2), 1), chr(5), 1) END) AS els FROM {name}_3),
+{name}_4 AS (SELECT page_id, url, {entities(f"array_to_string(els, {NL} || {NL})")} AS t FROM {name}_e),
 {name} AS MATERIALIZED (SELECT page_id, url, array_to_string(list_filter(list_transform(
   regexp_split_to_array(t, {lit(BREAK)}), lambda l: {sub('l', f'^{SPACE}|{SPACE}$', "''")}), lambda l: l <> ''), {NL}) AS text FROM {name}_4)"""
 
@@ -167,28 +170,58 @@ deltas AS (SELECT run_id, seq - 1 AS seq, ds[seq] AS delta FROM (SELECT run_id,
 
 # --- a whole run ----------------------------------------------------------
 
-RUNS = f"""
-runs_w AS (SELECT item_id AS run_id, text AS task, string_split({sub('text', r'\s+', "' '")}, ' ') AS w FROM benchmark),
-runs AS MATERIALIZED (SELECT run_id, task, {choice(REPORT_TYPES, 'length(task)')} AS report_type, {choice(AGENTS, 'run_id')} AS agent,
-   list_transform(range(0, 4), lambda i: array_to_string(w[i * CAST(ceil(len(w) / 4.0) AS BIGINT) + 1 : (i + 1) * CAST(ceil(len(w) / 4.0) AS BIGINT)], ' ')) AS windows
+# Of what starts a run: RUN_TASKS for the given tasks, CONVERSATION_TASKS for start messages.
+# Both end in runs(run_id, task, report_type, agent, agent_role_prompt, reply, windows).
+RUN_TASKS = f"""
+runs_w AS (SELECT item_id AS run_id, text AS task, length(text) % 8 AS kind, string_split({sub('text', r'\s+', "' '")}, ' ') AS w FROM benchmark),
+runs_l AS (SELECT run_id, task, kind, {choice(REPORT_TYPES, 'length(task)')} AS report_type, {choice(AGENTS, 'run_id')} AS asked,
+   list_transform(range(0, 4), lambda i: array_to_string(w[i * CAST(ceil(len(w) / 4.0) AS BIGINT) + 1 : (i + 1) * CAST(ceil(len(w) / 4.0) AS BIGINT)], ' ')) AS ws
    FROM runs_w),
-queries AS MATERIALIZED (SELECT run_id, CAST(i AS BIGINT) AS query_idx, windows[i + 1] AS query FROM (SELECT run_id, windows, unnest(range(0, 4)) AS i FROM runs))"""
+runs AS MATERIALIZED (SELECT run_id, task, report_type, CASE asked WHEN {lit(fixed.AUTO_AGENT)} THEN 'Travel Agent' ELSE asked END AS agent,
+   CASE asked WHEN {lit(fixed.AUTO_AGENT)} THEN 'Guide: ' || task END AS agent_role_prompt,
+   CASE kind WHEN 0 THEN '[]' WHEN 1 THEN to_json(ws)::VARCHAR || ' as you asked.' ELSE to_json(ws)::VARCHAR END AS reply,
+   CASE kind WHEN 0 THEN [] WHEN 1 THEN NULL ELSE ws END AS windows FROM runs_l),
+reported AS (SELECT item_id AS run_id, CASE WHEN length(text) % 3 > 0 THEN 'https://absent.example.org/' || item_id END AS url FROM benchmark)"""
+
+CONVERSATION_TASKS = f"""{MESSAGES},
+settled AS (SELECT conv_id || '-' || turn AS run_id, task, report_type, error,
+   CASE agent WHEN {lit(fixed.AUTO_AGENT)} THEN 'Travel Agent' ELSE agent END AS agent,
+   CASE agent WHEN {lit(fixed.AUTO_AGENT)} THEN 'Guide: ' || task END AS agent_role_prompt FROM checked),
+started_w AS (SELECT *, list_filter(string_split({sub('task', SPACE, "' '")}, ' '), lambda x: x <> '') AS w FROM settled WHERE error IS NULL),
+runs AS MATERIALIZED (SELECT run_id, task, report_type, agent, agent_role_prompt, w,
+   list_transform(range(0, 4), lambda i: array_to_string(w[i * CAST(ceil(len(w) / 4.0) AS BIGINT) + 1 : (i + 1) * CAST(ceil(len(w) / 4.0) AS BIGINT)], ' ')) AS windows
+   FROM started_w),
+reported AS (SELECT NULL::VARCHAR AS run_id, NULL::VARCHAR AS url WHERE false)"""
+
 
-HITS = f"""{RUNS}, {text_ctes('pages', 'all_text')},
+def hits_of(tasks: str) -> str:
+    return f"""{tasks},
+researched AS (SELECT * FROM runs WHERE windows IS NOT NULL),
+queries AS MATERIALIZED (SELECT run_id, CAST(i AS BIGINT) AS query_idx, windows[i + 1] AS query FROM (SELECT run_id, windows, unnest(range(0, len(windows))) AS i FROM researched)),
+{text_ctes('pages', 'all_text')},
 corpus AS (SELECT page_id AS doc_key, text FROM all_text), {search_ctes('corpus', 'queries', 'run_id, query_idx', 'found')},
-hits AS MATERIALIZED (SELECT run_id, query_idx, rank, {sub('url', '#.*$', "''")} AS url, score FROM found JOIN pages ON doc_key = page_id),
+hits AS MATERIALIZED (SELECT run_id, query_idx, rank, url, score FROM found JOIN pages ON doc_key = page_id
+   UNION ALL SELECT run_id, query_idx, 5, reported.url, NULL FROM reported JOIN queries USING (run_id) WHERE query_idx = 0),
 visits AS MATERIALIZED (SELECT run_id, query_idx, rank, url, score FROM (
    SELECT *, row_number() OVER (PARTITION BY run_id, url ORDER BY query_idx, rank) AS o FROM hits) WHERE o = 1)"""
 
-LOOKUPS = f"""{HITS},
+
+HITS = hits_of(RUN_TASKS)
+
+
+def lookups_of(tasks: str) -> str:
+    return f"""{hits_of(tasks)},
 texts AS MATERIALIZED (SELECT page_id, url, text FROM all_text WHERE page_id IN (SELECT max(page_id) FROM pages GROUP BY url)),
 lookups AS MATERIALIZED (SELECT v.*, t.page_id, t.text,
-   CASE WHEN t.page_id IS NULL THEN 'no_page' WHEN t.text = '' THEN 'empty_text' ELSE 'ok' END AS status
+   CASE WHEN coalesce(url, '') = '' THEN 'no_url' WHEN t.page_id IS NULL THEN 'no_page' WHEN t.text = '' THEN 'empty_text' ELSE 'ok' END AS status
    FROM visits v LEFT JOIN texts t USING (url))"""
 
 
-def summaries(limit: int = 8192) -> str:
-    return f"""{LOOKUPS},
+LOOKUPS = lookups_of(RUN_TASKS)
+
+
+def summaries(limit: int = 8192, tasks: str = RUN_TASKS) -> str:
+    return f"""{lookups_of(tasks)},
 filled AS (SELECT url, text FROM texts WHERE text <> '' AND url IN (SELECT url FROM visits)), {chunk_ctes('filled', 'url', 'chunks', limit)},
 visit_chunks AS MATERIALIZED (SELECT v.run_id, v.query_idx, v.url, q.query, c.part, c.chunk
    FROM visits v JOIN queries q USING (run_id, query_idx) JOIN chunks c USING (url)),
@@ -197,31 +230,47 @@ combined AS MATERIALIZED (SELECT run_id, query_idx, url, string_agg(summary, {NL
    FROM chunk_summaries GROUP BY run_id, query_idx, url)"""
 
 
-FINDINGS = f"""{summaries()},
+def findings_of(tasks: str) -> str:
+    return f"""{summaries(tasks=tasks)},
 url_summaries AS MATERIALIZED (SELECT run_id, query_idx, url, {extract('combined', 'query')} AS summary
    FROM combined JOIN queries USING (run_id, query_idx)),
 findings AS MATERIALIZED (SELECT l.run_id, l.query_idx, l.rank, l.url,
    l.status,
-   CASE l.status WHEN 'no_page' THEN {fill(fixed.FINDING_ERROR, url='l.url', error="'page not found'")}
+   CASE l.status WHEN 'no_url' THEN {lit(fixed.NO_URL)} WHEN 'no_page' THEN {fill(fixed.FINDING_ERROR, url='l.url', error="'page not found'")}
      WHEN 'empty_text' THEN {fill(fixed.FINDING_OK, url='l.url', summary=lit(fixed.NO_TEXT))}
      ELSE {fill(fixed.FINDING_OK, url='l.url', summary='s.summary')} END AS content
    FROM lookups l LEFT JOIN url_summaries s USING (run_id, query_idx, url))"""
 
-RESEARCH = f"""{FINDINGS},
+
+FINDINGS = findings_of(RUN_TASKS)
+
+
+def research_of(tasks: str) -> str:
+    return f"""{findings_of(tasks)},
 results AS MATERIALIZED (SELECT q.run_id, q.query_idx, q.query, coalesce(string_agg(f.content, {NL} ORDER BY f.rank), '') AS result
    FROM queries q LEFT JOIN findings f USING (run_id, query_idx) GROUP BY q.run_id, q.query_idx, q.query),
-research AS MATERIALIZED (SELECT run_id, string_agg(result || {NL} || {NL}, '' ORDER BY query_idx) AS research_summary FROM results GROUP BY run_id)"""
+research AS MATERIALIZED (SELECT r.run_id, coalesce(string_agg(result || {NL} || {NL}, '' ORDER BY query_idx), '') AS research_summary
+   FROM researched r LEFT JOIN results USING (run_id) GROUP BY r.run_id)"""
+
+
+RESEARCH = research_of(RUN_TASKS)
 
 _report_case = " ".join(
     f"WHEN {lit(t)} THEN {fill(p, research_summary='research_summary', question='task')}"
     for t, p in fixed.REPORT_PROMPTS.items()
 )
 _known = ", ".join(lit(t) for t in fixed.REPORT_PROMPTS)
-REPORTS = f"""{RESEARCH},
+
+
+def reports_of(tasks: str) -> str:
+    return f"""{research_of(tasks)},
 reports AS MATERIALIZED (SELECT run_id, report_type, {extract('research_summary', 'task', 5, f"'.' || {NL}")} AS report
    FROM runs JOIN research USING (run_id) WHERE report_type IN ({_known}))"""
 
 
+REPORTS = reports_of(RUN_TASKS)
+
+
 def duration(micros: str) -> str:
     return (
         f"(CASE {micros} // 86400000000 WHEN 0 THEN '' WHEN 1 THEN '1 day, ' ELSE ({micros} // 86400000000) || ' days, ' END"
@@ -244,52 +293,38 @@ SELECT {keys}, 0::BIGINT AS pos, 'system' AS role, {system} AS content FROM {sou
 UNION ALL SELECT {keys}, 1, 'user', {user} FROM {source}"""
 
 
-def log_line(no: int, stage: str, source: str, output: str, query_idx="0", seq="0", kind="logs") -> str:
+def log_line(phase: int, no: int, stage: str, source: str, output: str, query_idx="0", seq="0", kind="logs") -> str:
     return (
-        f"SELECT run_id, {no}::INTEGER AS stage_no, '{stage}' AS stage, CAST({query_idx} AS BIGINT) AS query_idx, "
+        f"SELECT run_id, {phase}::INTEGER AS phase, {no}::INTEGER AS stage_no, '{stage}' AS stage, CAST({query_idx} AS BIGINT) AS query_idx, "
         f"CAST({seq} AS BIGINT) AS seq, '{kind}' AS type, {output} AS output FROM {source}"
     )
 
 
 def _log() -> str:
-    asked = "visits JOIN queries USING (run_id, query_idx)"
+    """Lines in the order in which one run sends them: its agent, its queries, each query with
+    all its pages, the count of words, and, for a report type that exists, the report."""
+    asked = "(SELECT v.run_id, v.query_idx, v.rank, coalesce(v.url, 'None') AS url, query FROM visits v JOIN queries USING (run_id, query_idx))"
+    sites = f"""(SELECT q.run_id, q.query_idx, coalesce(to_json(list(a.url ORDER BY a.rank) FILTER (a.url IS NOT NULL))::VARCHAR, '[]') AS urls
+       FROM queries q LEFT JOIN {asked} a USING (run_id, query_idx) GROUP BY q.run_id, q.query_idx)"""
     path = fill(fixed.REPORT_FILE, directory="run_id", report_type="report_type")
+    broken = f"(SELECT run_id, ls, unnest(range(1, len(ls))) AS i FROM (SELECT run_id, string_split(report, {NL}) AS ls FROM reports))"
     parts = [
-        log_line(0, "request", "runs", fill(fixed.LOG_INITIATED, agent="agent")),
-        log_line(1, "queries", "runs", fill(fixed.LOG_QUERIES, reply="to_json(windows)")),
-        log_line(2, "query", "queries", fill(fixed.LOG_QUERY, query="query"), "query_idx"),
-        log_line(3, "new_url", "visits", fill(fixed.LOG_NEW_URL, url="url"), "query_idx", "rank"),
-        log_line(
-            4,
-            "sites",
-            "(SELECT run_id, query_idx, to_json(list(url ORDER BY rank)) AS urls FROM visits GROUP BY run_id, query_idx)",
-            fill(fixed.LOG_SITES, urls="urls"),
-            "query_idx",
-        ),
-        log_line(5, "browse", asked, fill(fixed.LOG_BROWSE, url="url", query="query"), "query_idx", "rank"),
-        log_line(6, "finding", "findings WHERE status <> 'no_page'", "'📝 ' || content", "query_idx", "rank"),
-        log_line(
-            7,
-            "words",
-            "research",
-            fill(fixed.LOG_WORDS, n="len(string_split(research_summary, ' '))"),
-        ),
-        log_line(8, "writing", "runs", fill(fixed.LOG_WRITING, report_type="report_type", task="task")),
-        log_line(
-            9,
-            "report",
-            f"(SELECT run_id, ls, unnest(range(1, len(ls))) AS i FROM (SELECT run_id, string_split(report, {NL}) AS ls FROM reports))",
-            f"ls[i] || {NL}",
-            "0",
-            "i - 1",
-            "report",
-        ),
-        log_line(10, "path", "reports", f"replace(url_encode({path}), '%2F', '/')", kind="path"),
-        log_line(11, "end", "spans", fill(fixed.LOG_END, end="strftime(e, '%Y-%m-%d %H:%M:%S.%f')")),
-        log_line(12, "run_time", "spans", fill(fixed.LOG_RUN_TIME, duration=duration("us"))),
+        log_line(0, 0, "request", "runs", fill(fixed.LOG_INITIATED, agent="coalesce(agent, 'None')")),
+        log_line(1, 1, "queries", "runs", fill(fixed.LOG_QUERIES, reply="reply")),
+        log_line(2, 2, "query", "queries", fill(fixed.LOG_QUERY, query="query"), "query_idx"),
+        log_line(2, 3, "new_url", asked, fill(fixed.LOG_NEW_URL, url="url"), "query_idx", "rank"),
+        log_line(2, 4, "sites", sites, fill(fixed.LOG_SITES, urls="urls"), "query_idx"),
+        log_line(2, 5, "browse", asked, fill(fixed.LOG_BROWSE, url="url", query="query"), "query_idx", "rank"),
+        log_line(2, 6, "finding", "findings WHERE status IN ('ok', 'empty_text')", "'📝 ' || content", "query_idx", "rank"),
+        log_line(3, 7, "words", "research", fill(fixed.LOG_WORDS, n="len(string_split(research_summary, ' '))")),
+        log_line(4, 8, "writing", f"researched WHERE report_type IN ({_known})", fill(fixed.LOG_WRITING, report_type="report_type", task="task")),
+        log_line(4, 9, "report", broken, f"ls[i] || {NL}", "0", "i - 1", "report"),
+        log_line(5, 10, "path", "reports", f"replace(url_encode({path}), '%2F', '/')", kind="path"),
+        log_line(6, 11, "end", "spans", fill(fixed.LOG_END, end="strftime(e, '%Y-%m-%d %H:%M:%S.%f')")),
+        log_line(6, 12, "run_time", "spans", fill(fixed.LOG_RUN_TIME, duration=duration("us"))),
     ]
     spans = """spans AS (SELECT run_id, max(ts) AS e, date_diff('microsecond', min(ts), max(ts)) AS us
-   FROM events JOIN runs ON user_id = run_id GROUP BY run_id)"""
+   FROM events JOIN reports ON user_id = run_id GROUP BY run_id)"""
     return f"WITH RECURSIVE {REPORTS}, {spans} " + " UNION ALL ".join(parts)
 
 
@@ -299,6 +334,11 @@ wrapped AS (SELECT doc_id AS page_id, 'https://' || source || '.example.org/' ||
    || replace(replace(text, '&', '&amp;'), '<', '&lt;') || CASE lang WHEN 'en' THEN '</p>' ELSE '</td></tr></table>' END
    || '</body></html>' AS html FROM documents), {text_ctes('wrapped', 'wrapped_text')}"""
 
+_escaped = "replace(replace(text, '&', '&#00000038;'), '<', '&#x3c;')"
+ODD = f"""
+odd AS (SELECT doc_id AS page_id, '' AS url, '<html><body><h2><div>' || split_part({_escaped}, {NL}, 1)
+   || '</div> &#150; <ul><li>&#146;s</li></ul>tail</h2><p>' || {_escaped} || '<div>unseen</div></body></html>' AS html FROM documents)"""
+
 LINKS = f"""
 marked AS (SELECT page_id, url AS base, {sub(sub(seen('html'), rf'(?i)<a((?:[\s/]{REST})?)>', r"chr(1) || '\1' || chr(2)"), r'(?i)</a\s*>', 'chr(3)')} AS h FROM pages),
 split_links AS (SELECT page_id, base, list_filter(list_transform(string_split(h, chr(1))[2:], lambda a: {{
@@ -315,8 +355,7 @@ corpus AS (SELECT doc_id AS doc_key, text FROM documents), asked AS (SELECT item
 {search_ctes('corpus', 'asked', 'item_id', 'found')}"""
 
 _kept_roles = "coalesce(CASE WHEN agent_role_prompt <> '' THEN agent_role_prompt END, role_prompt, " + lit(fixed.NO_SUCH_AGENT) + ")"
-_run_roles = f"(SELECT r.*, coalesce(role_prompt, {lit(fixed.NO_SUCH_AGENT)}) AS role, research_summary FROM runs r JOIN research USING (run_id) LEFT JOIN roles USING (agent) WHERE report_type IN ({_known}))"
-_sentences = "list_filter(list_transform(regexp_split_to_array(chunk, '[.\\n]+'), lambda s: trim(s)), lambda s: s <> '')"
+_run_roles = f"(SELECT r.*, {_kept_roles} AS role, research_summary FROM runs r JOIN research USING (run_id) LEFT JOIN roles USING (agent) WHERE report_type IN ({_known}))"
 _messages = f"""WITH {DELTAS},
 grouped AS (SELECT *, coalesce(sum(CASE WHEN contains(delta, {NL}) THEN 1 ELSE 0 END)
    OVER (PARTITION BY run_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM deltas WHERE delta IS NOT NULL)
@@ -339,6 +378,7 @@ SELECT conv_id, turn, agent, agent_role_prompt, error IS NULL AS accepted, error
     "query_fanout": lines_of("conversations", "conv_id, turn", "role = 'assistant'", "query"),
     "concept_fanout": lines_of("documents", "doc_id", "lang = 'en'", "concept"),
     "page_text": f"WITH {text_ctes('pages', 'all_text')} SELECT * FROM all_text",
+    "odd_page_text": f"WITH {ODD}, {text_ctes('odd', 'odd_text')} SELECT page_id, text FROM odd_text",
     "page_links": f"WITH {LINKS} SELECT * FROM links",
     "page_top_links": f"WITH {LINKS} SELECT page_id, pos, {fill(fixed.LINK_LABEL, text='text', url='url')} AS label FROM links WHERE pos < 5",
     "text_chunks": f"WITH RECURSIVE {DOC_CHUNKS} SELECT * FROM doc_chunks",
@@ -368,7 +408,7 @@ SELECT run_id, query_idx, rank, url FROM (SELECT *, row_number() OVER (PARTITION
     + two_messages("ready", "run_id, report_type", "role", f"CASE report_type {_report_case} END"),
     "concept_prompts": f"WITH RECURSIVE {RESEARCH} SELECT run_id, {fill(fixed.CONCEPT_PROMPT, research_summary='research_summary', question='task')} AS prompt FROM runs JOIN research USING (run_id)",
     "completions": f"""WITH RECURSIVE {DOC_CHUNKS} SELECT doc_id, part, {call_id('chunk', 'source')} AS prompt_id,
-   array_to_string({_sentences}[1:3], '. ') AS content, NULL::VARCHAR AS error FROM doc_chunks JOIN documents USING (doc_id)""",
+   {extract('chunk', 'source')} AS content, NULL::VARCHAR AS error FROM doc_chunks JOIN documents USING (doc_id)""",
     "pending_prompts": f"""WITH RECURSIVE {DOC_CHUNKS}, calls AS (SELECT lang, {call_id('chunk', 'source')} AS prompt_id FROM doc_chunks JOIN documents USING (doc_id))
 SELECT DISTINCT prompt_id, 'gpt-3.5-turbo-16k' AS model, 1.0::DOUBLE AS temperature FROM calls
    WHERE prompt_id NOT IN (SELECT prompt_id FROM calls WHERE lang = 'en')""",
@@ -390,6 +430,10 @@ SELECT run_id, url, query_idx, status, coalesce(c, 0) AS n_chunks, coalesce(n, 0
     "report_messages_stream": _messages,
     "report_text": f"WITH {DELTAS} SELECT run_id, string_agg(delta, '' ORDER BY seq) AS report FROM deltas WHERE delta IS NOT NULL GROUP BY run_id",
     "run_log": _log(),
+    "concept_log": f"""SELECT doc_id, {fill(fixed.LOG_CONCEPTS, reply="CASE WHEN lang = 'en' THEN to_json(string_split(text, chr(10)))::VARCHAR ELSE text END")} AS output FROM documents""",
+    "full_run": f"""WITH RECURSIVE {reports_of(CONVERSATION_TASKS)}
+SELECT s.run_id, s.agent, s.error IS NULL AS accepted, s.error, r.report_type, r.report, replace(url_encode({fill(fixed.REPORT_FILE, directory='s.run_id', report_type='r.report_type')}), '%2F', '/') AS path
+FROM settled s LEFT JOIN reports r USING (run_id)""",
     "run_duration": f"""WITH d AS (SELECT user_id AS run_id, date_diff('microsecond', min(ts), max(ts)) AS micros FROM events GROUP BY user_id)
 SELECT run_id, micros, {fill(fixed.LOG_RUN_TIME, duration=duration('micros'))} AS output FROM d""",
     "memory_records": f"""WITH RECURSIVE {summaries()}

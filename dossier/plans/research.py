@@ -31,7 +31,7 @@ def choose_agents(
         settings.smart_model,
         replace(settings, temperature=0.0),
     )
-    replies = complete_stored(calls, completer, store)
+    replies = complete_stored(calls, completer, store, settings.tasks, settings.threads, settings.waves)
     return requests.settle_agents(asked, replies.withColumnRenamed("content", "reply"), ["run_id"])
 
 
@@ -44,7 +44,7 @@ def plan_queries(
     calls = prompts.call_table(
         roles.select("run_id", messages.alias("messages")), settings.smart_model, settings
     )
-    replies = complete_stored(calls, completer, store)
+    replies = complete_stored(calls, completer, store, settings.tasks, settings.threads, settings.waves)
     return accepted.join(replies.select("run_id", F.col("content").alias("reply")), "run_id")
 
 
@@ -61,7 +61,9 @@ class ResearchRun:
     ``completer`` the extractive stand-in writes all summaries, as column expressions.
 
     Where many batches run over one crawl, store ``pages.page_text(crawled)`` and the
-    ``search.postings`` of it once, and give them as ``texts`` and ``index``.
+    ``search.postings`` of it once, and give them as ``texts`` and ``index``.  ``more_hits`` (run_id,
+    query_idx, rank, url) are hits of another search; their URLs may be null or not crawled.
+    ``partitions`` deals a crawl of few files over that many tasks.
     """
 
     def __init__(
@@ -73,30 +75,65 @@ class ResearchRun:
         store: str | None = None,
         texts: DataFrame | None = None,
         index: DataFrame | None = None,
+        more_hits: DataFrame | None = None,
+        partitions: int | None = None,
     ):
         if completer is not None and store is None:
             raise ValueError("a completer needs a folder that stores its completions")
         self.runs = runs
-        self.crawled = spread(crawled, "page_id")
+        self.crawled = spread(crawled, "page_id", partitions)
+        self.partitions = partitions
+        self.more_hits = more_hits
         self.settings = settings
         self.completer = completer
         self.store = store
         self.extracted = texts
         self.index = index
 
+    def _completed(self, calls: DataFrame) -> DataFrame:
+        """Calls that may be sent are; the others come back with the reason they may not."""
+        checked = prompts.validate_calls(calls.withColumns({"stream": F.lit(False), "target": F.lit(None).cast("string")}))
+        checked = checked.withColumnRenamed("error", "_refused").drop("stream", "target", "accepted")
+        refused = checked.where(F.col("_refused").isNotNull())
+        sent = checked.where(F.col("_refused").isNull()).drop("_refused")
+        done = complete_stored(
+            sent, self.completer, self.store, self.settings.tasks, self.settings.threads, self.settings.waves
+        )
+        return done.unionByName(
+            refused.withColumnsRenamed({"_refused": "error"}).withColumn("content", F.lit(None).cast("string"))
+        )
+
+    @cached_property
+    def fanned(self) -> DataFrame:
+        return stage(requests.list_fanout(self.runs.select("run_id", "reply"), "query"), "fanned")
+
     @cached_property
     def queries(self) -> DataFrame:
-        fanned = requests.list_fanout(self.runs.select("run_id", "reply"), "query")
-        return fanned.where(F.col("error").isNull()).select("run_id", "query_idx", "query")
+        return self.fanned.where(F.col("error").isNull()).select("run_id", "query_idx", "query")
+
+    @cached_property
+    def rejected(self) -> DataFrame:
+        """(run_id, error) of runs whose reply is no list of queries; they end there."""
+        return self.fanned.where(F.col("error").isNotNull()).select("run_id", "error")
+
+    @cached_property
+    def researched(self) -> DataFrame:
+        """Runs that go on: an empty list of queries gives an empty research summary."""
+        return self.runs.join(self.rejected, "run_id", "left_anti")
+
+    @cached_property
+    def page_texts(self) -> DataFrame:
+        """Text of all pages, extracted once for search and lookup."""
+        if self.extracted is not None:
+            return self.extracted
+        return stage(pages.page_text(self.crawled), "all-text")
 
     @cached_property
     def hits(self) -> DataFrame:
-        """Search over the text of all pages.  A hit's URL has no fragment, as search
-        engines report them, so a page crawled under a fragment is not found again."""
-        extracted = pages.page_text(self.crawled) if self.extracted is None else self.extracted
+        """Search over the text of all pages, and hits from elsewhere for queries of these runs."""
         found = stage(
             search.search_topk(
-                extracted.select(F.col("page_id").alias("doc_key"), "text"),
+                self.page_texts.select(F.col("page_id").alias("doc_key"), "text"),
                 self.queries,
                 ["run_id", "query_idx"],
                 self.settings.hits_per_query,
@@ -104,12 +141,15 @@ class ResearchRun:
             ),
             "found",
         )
-        url = F.regexp_replace("url", "#.*$", "")
-        addresses = self.crawled.select(F.col("page_id").alias("doc_key"), url.alias("url"))
-        return stage(
-            found.join(addresses, "doc_key").select("run_id", "query_idx", "rank", "url", "score"),
-            "hits",
-        )
+        addresses = self.page_texts.select(F.col("page_id").alias("doc_key"), "url")
+        hits = found.join(addresses, "doc_key").select("run_id", "query_idx", "rank", "url", "score")
+        if self.more_hits is not None:
+            asked = self.queries.select("run_id", "query_idx")
+            more = self.more_hits.join(asked, ["run_id", "query_idx"], "left_semi")
+            hits = hits.unionByName(
+                more.select("run_id", "query_idx", "rank", "url", F.lit(None).cast("bigint").alias("score"))
+            )
+        return stage(hits, "hits")
 
     @cached_property
     def visits(self) -> DataFrame:
@@ -118,11 +158,8 @@ class ResearchRun:
     @cached_property
     def texts(self) -> DataFrame:
         """Text of the pages that were hit, staged: it is read for lookups and chunks."""
-        if self.extracted is None:
-            texts = pages.page_text(pages.latest_pages(self.crawled, self.hits))
-        else:
-            texts = pages.latest_pages(self.extracted, self.hits).select("page_id", "url", "text")
-        return spread(stage(texts, "page-text"), "page_id")
+        texts = pages.latest_pages(self.page_texts, self.hits).select("page_id", "url", "text")
+        return spread(stage(texts, "page-text"), "page_id", self.partitions)
 
     @cached_property
     def lookups(self) -> DataFrame:
@@ -153,12 +190,14 @@ class ResearchRun:
         calls = prompts.call_table(
             texts.select(*keys, messages.alias("messages")), self.settings.fast_model, self.settings
         )
-        done = complete_stored(calls, self.completer, self.store)
+        done = self._completed(calls)
         return done.select(*keys, F.col("content").alias("summary"), "error")
 
     @cached_property
     def chunk_summaries(self) -> DataFrame:
-        return self._summarised(self.visit_chunks, [*VISIT, "part"], "chunk")
+        """Staged where a completer writes them, as they are read for texts and for failures."""
+        made = self._summarised(self.visit_chunks, [*VISIT, "part"], "chunk")
+        return made if self.completer is None else stage(made, "chunk-summaries")
 
     @cached_property
     def combined(self) -> DataFrame:
@@ -194,15 +233,20 @@ class ResearchRun:
 
     @cached_property
     def research(self) -> DataFrame:
-        return assemble.research_summary(self.query_findings)
+        """Of every run that goes on; '' for one without queries."""
+        return self._of_all_runs(assemble.research_summary(self.query_findings), "research_summary", F.lit(""))
+
+    def _of_all_runs(self, found: DataFrame, column: str, default) -> DataFrame:
+        joined = self.researched.select("run_id").join(found, "run_id", "left")
+        return joined.select("run_id", F.coalesce(column, default).alias(column))
 
     @cached_property
     def word_counts(self) -> DataFrame:
-        return assemble.research_word_count(self.query_findings)
+        return self._of_all_runs(assemble.research_word_count(self.query_findings), "n_words", F.lit(1).cast("bigint"))
 
     @cached_property
     def report_prompts(self) -> DataFrame:
-        ready = requests.resolve_role(self.runs).join(self.research, "run_id")
+        ready = requests.resolve_role(self.researched).join(self.research, "run_id")
         return prompts.report_prompts(ready)
 
     @cached_property
@@ -222,53 +266,60 @@ class ResearchRun:
             self.settings.smart_model,
             self.settings,
         )
-        done = complete_stored(calls, self.completer, self.store)
+        done = self._completed(calls)
         return done.select("run_id", "report_type", F.col("content").alias("report"), "error")
 
     @cached_property
     def ledger(self) -> DataFrame:
         return visited.source_ledger(self.findings, self.page_chunks)
 
-    def log(self, run_times: DataFrame | None = None) -> DataFrame:
+    def log(self, run_times: DataFrame | None = None, asked: DataFrame | None = None) -> DataFrame:
         """All lines a run sends, in one table.
 
-        ``run_times`` (run_id, ts) adds end and total run time."""
+        ``run_times`` (run_id, ts) adds end and total run time, of runs that get to their report.
+        ``asked`` (run_id, agent) are all requests, where some were rejected: each gets its first line.
+        A run of an unknown report type ends before its report is begun."""
         row = runlog.log_rows
         column = F.col
+        shown = lambda c: F.coalesce(column(c), F.lit("None"))
         findings = self.findings
-        asked = self.visits.join(self.queries, ["run_id", "query_idx"])
-        sites = self.visits.groupBy("run_id", "query_idx").agg(
+        visits = self.visits.join(self.queries, ["run_id", "query_idx"]).withColumn("url", shown("url"))
+        sites = visits.groupBy("run_id", "query_idx").agg(
             F.array_sort(F.collect_list(F.struct("rank", "url"))).alias("_sites")
         )
-        urls = F.to_json(F.transform("_sites", lambda s: s["url"]))
-        words = self.word_counts
+        sites = self.queries.select("run_id", "query_idx").join(sites, ["run_id", "query_idx"], "left")
+        urls = F.coalesce(F.to_json(F.transform("_sites", lambda s: s["url"])), F.lit("[]"))
         reports = self.reports.where(F.col("report").isNotNull())
+        writing = prompts.resolve_report_type(self.researched).where("known")
         # A report is sent line by line as its breaks arrive; a tail without one is not.
         lines = F.posexplode(F.split("report", "(?<=\n)"))
         parts = [
-            row(self.runs, 0, "request", fill(fixed.LOG_INITIATED, agent=column("agent"))),
-            row(self.runs, 1, "queries", fill(fixed.LOG_QUERIES, reply=column("reply"))),
-            row(self.queries, 2, "query", fill(fixed.LOG_QUERY, query=column("query")), "query_idx"),
-            row(self.visits, 3, "new_url", fill(fixed.LOG_NEW_URL, url=column("url")), "query_idx", "rank"),
-            row(sites, 4, "sites", fill(fixed.LOG_SITES, urls=urls), "query_idx"),
-            row(asked, 5, "browse", fill(fixed.LOG_BROWSE, url=column("url"), query=column("query")), "query_idx", "rank"),
+            row(self.runs if asked is None else asked, 0, 0, "request", fill(fixed.LOG_INITIATED, agent=shown("agent"))),
+            row(self.runs, 1, 1, "queries", fill(fixed.LOG_QUERIES, reply=shown("reply"))),
+            row(self.queries, 2, 2, "query", fill(fixed.LOG_QUERY, query=column("query")), "query_idx"),
+            row(visits, 2, 3, "new_url", fill(fixed.LOG_NEW_URL, url=column("url")), "query_idx", "rank"),
+            row(sites, 2, 4, "sites", fill(fixed.LOG_SITES, urls=urls), "query_idx"),
+            row(visits, 2, 5, "browse", fill(fixed.LOG_BROWSE, url=column("url"), query=column("query")), "query_idx", "rank"),
             row(
                 findings.where(column("status").isin("ok", "empty_text")),
+                2,
                 6,
                 "finding",
                 fill(fixed.LOG_FINDING, finding=column("content")),
                 "query_idx",
                 "rank",
             ),
-            row(words, 7, "words", fill(fixed.LOG_WORDS, n=column("n_words"))),
+            row(self.word_counts, 3, 7, "words", fill(fixed.LOG_WORDS, n=column("n_words"))),
             row(
-                self.runs,
+                writing,
+                4,
                 8,
                 "writing",
                 fill(fixed.LOG_WRITING, report_type=column("report_type"), task=column("task")),
             ),
             row(
                 reports.select("run_id", lines.alias("seq", "line")).where(F.contains("line", F.lit("\n"))),
+                4,
                 9,
                 "report",
                 column("line"),
@@ -278,6 +329,7 @@ class ResearchRun:
             ),
             row(
                 reports,
+                5,
                 10,
                 "path",
                 report_path(column("run_id").cast("string"), column("report_type")),
@@ -288,10 +340,10 @@ class ResearchRun:
             spans = run_times.groupBy("run_id").agg(
                 F.max("ts").alias("end"), interval_micros(F.max("ts") - F.min("ts")).alias("micros")
             )
-            ended = self.runs.select("run_id").join(spans, "run_id")
+            ended = reports.select("run_id").join(spans, "run_id")
             stamp = F.date_format(column("end"), "yyyy-MM-dd HH:mm:ss.SSSSSS")
-            parts.append(row(ended, 11, "end", fill(fixed.LOG_END, end=stamp)))
+            parts.append(row(ended, 6, 11, "end", fill(fixed.LOG_END, end=stamp)))
             parts.append(
-                row(ended, 12, "run_time", fill(fixed.LOG_RUN_TIME, duration=duration_text(column("micros"))))
+                row(ended, 6, 12, "run_time", fill(fixed.LOG_RUN_TIME, duration=duration_text(column("micros"))))
             )
         return runlog.run_log(parts)

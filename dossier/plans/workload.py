@@ -103,7 +103,8 @@ def role_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(run_id, task, report_type, agent, agent_role_prompt, reply), one per task text.
 
-    The reply is a JSON array of four word windows that cover the whole text."""
+    The reply is a JSON array of four word windows that cover the whole text.  By the length
+    of their task some models reply with an empty list, and some with prose behind the list."""
     words = F.split(F.regexp_replace("text", r"\s+", " "), " ")
     tasks = table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("run_id"), F.col("text").alias("task"), words.alias("w")
@@ -112,13 +113,52 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     windows = F.transform(
         F.sequence(F.lit(0), F.lit(3)), lambda i: F.array_join(F.slice("w", i * per + 1, per), " ")
     )
+    kind = F.length("task") % 8
+    listed = F.to_json(windows)
     return tasks.select(
         "run_id",
         "task",
         _choice(REPORT_TYPES, F.length("task")).alias("report_type"),
         _choice(AGENTS, F.col("run_id")).alias("agent"),
         F.lit(None).cast("string").alias("agent_role_prompt"),
-        F.to_json(windows).alias("reply"),
+        F.when(kind == 0, "[]").when(kind == 1, F.concat(listed, F.lit(" as you asked."))).otherwise(listed).alias("reply"),
+    )
+
+
+def run_role_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(run_id, reply): a role for every task, with the task in its prompt."""
+    role = F.struct(F.lit("Travel Agent").alias("agent"), F.concat(F.lit("Guide: "), "text").alias("agent_role_prompt"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("run_id"), F.to_json(role).alias("reply"))
+
+
+def other_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(run_id, query_idx, rank, url): one more hit of each run's first query, without
+    a URL or with one that was not crawled, by the length of its task."""
+    absent = F.concat(F.lit("https://absent.example.org/"), F.col("item_id").cast("string"))
+    return table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("run_id"),
+        F.lit(0).cast("bigint").alias("query_idx"),
+        F.lit(5).alias("rank"),
+        F.when(F.length("text") % 3 > 0, absent).alias("url"),
+    )
+
+
+def odd_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, url, html): documents in markup that is valid but unusual: headings that hold
+    blocks, text behind them, and references by number with leading zeros or from Windows."""
+    docs = table(spark, sf_dir, "documents")
+    escaped = F.replace(F.replace("text", F.lit("&"), F.lit("&#00000038;")), F.lit("<"), F.lit("&#x3c;"))
+    first = F.substring_index(escaped, "\n", 1)
+    return docs.select(
+        F.col("doc_id").alias("page_id"),
+        F.concat(F.lit("https://"), "source", F.lit(".example.org/"), F.col("doc_id").cast("string")).alias("url"),
+        F.concat(
+            F.lit("<html><body><h2><div>"),
+            first,
+            F.lit("</div> &#150; <ul><li>&#146;s</li></ul>tail</h2><p>"),
+            escaped,
+            F.lit("<div>unseen</div></body></html>"),
+        ).alias("html"),
     )
 
 

@@ -14,6 +14,11 @@ class JobSettings:
     chunk_chars: int = 8192
     hits_per_query: int = 4
     links_per_page: int = 5
+    # Inference: tasks that call at once (None: as many as the cluster runs), calls that each
+    # keeps open, and parts in which a list of calls is made.
+    tasks: int | None = None
+    threads: int = 1
+    waves: int = 1
 
 
 DEFAULTS = JobSettings()

@@ -4,29 +4,49 @@ A written stage cuts lineage, so neither a lost executor nor a second consumer
 recomputes what came before it.  It also gives the optimizer the true size of
 the table: whether a later join broadcasts it is then decided by Spark's own
 threshold on the bytes on disk, with a shuffled join beyond that.
+
+All stages of a session lie in one folder, which :func:`release` deletes.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CONF = "spark.checkpoint.dir"
+RUN = "spark.dossier.run"
+OWN = "spark.dossier.folder"
+
 
 def shared_folder(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by ``spark.checkpoint.dir``.  Only a session that runs in one process, as in
+    tests, gets one of its own where none is named."""
+    folder = spark.conf.get(CONF, None)
     if folder:
         return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="dossier-")
-    spark.conf.set("spark.checkpoint.dir", folder)
+    if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+        raise ValueError(f"set {CONF} to a folder that every executor can reach")
+    folder = spark.conf.get(OWN, None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="dossier-")
+        spark.conf.set(OWN, folder)
     return folder
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The folder of this session's stages."""
+    name = spark.conf.get(RUN, None)
+    if not name:
+        name = uuid.uuid4().hex
+        spark.conf.set(RUN, name)
+    return f"{shared_folder(spark)}/dossier/{name}"
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/dossier/{name}-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -34,3 +54,9 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the stages of this session.  Tables built on them cannot be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

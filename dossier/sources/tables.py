@@ -13,16 +13,10 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.PAGE).parquet(path)
 
 
-def spread(table: DataFrame, key: str) -> DataFrame:
-    """Rows of a stored table over all cores, where its files would keep only a few busy.
-
-    For work that is heavy per row.  A table with at least as many partitions as
-    cores, so any large one, is left as it is and not shuffled.  Only for plain scans:
-    counting the partitions of a query with shuffles would run them."""
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    if table.rdd.getNumPartitions() >= cores:
-        return table
-    return table.repartition(cores, key)
+def spread(table: DataFrame, key: str, partitions: int | None) -> DataFrame:
+    """Rows over ``partitions`` tasks by key, for work that is heavy per row in a table of few
+    files; with None the table is read as it is stored."""
+    return table if partitions is None else table.repartition(partitions, key)
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
@@ -50,7 +44,8 @@ def read_txt_findings(
     spark: SparkSession, folders: str, run_pattern: str = r"([^/]+)/[^/]*$", terminated: bool = False
 ) -> DataFrame:
     """(run_id, all_text): the ``.txt`` files directly in the matching folders, in path
-    order, each followed by a line break.
+    order, each followed by a line break.  Numbers in a path count by their value, so the
+    file of query 10 follows that of query 9.
 
     ``folders`` may hold wildcards; ``run_pattern`` takes the run out of a file's path, by
     default its folder's name.  With ``terminated``, a file's last line break belongs
@@ -66,4 +61,8 @@ def read_txt_findings(
             F.concat(value, F.lit("\n")).alias("text"),
         )
     )
-    return ordered_concat(files, ["run_id"], "path", "text", "", "all_text")
+    padded = F.transform(
+        F.regexp_extract_all("path", F.lit(r"([0-9]+|[^0-9]+)"), F.lit(0)),
+        lambda part: F.when(part.rlike("^[0-9]"), F.lpad(part, 20, "0")).otherwise(part),
+    )
+    return ordered_concat(files.withColumn("path", F.array_join(padded, "")), ["run_id"], "path", "text", "", "all_text")

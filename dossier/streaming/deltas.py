@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import sys
 from collections.abc import Iterator
 
@@ -14,7 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 OUTPUT = "run_id string, msg_no bigint, output string"
-STATE = "buffer string, msg_no bigint"
+STATE = "buffer string, msg_no bigint, next_seq bigint, held string"
 
 
 def _flush(idle_ms: int | None):
@@ -24,23 +25,30 @@ def _flush(idle_ms: int | None):
         if state.hasTimedOut:
             state.remove()
             return
-        buffer, msg_no = state.get if state.exists else ("", 0)
-        rows = [row for f in frames for row in zip(f["seq"].tolist(), f["delta"].tolist(), f["is_end"].tolist())]
-        rows.sort(key=lambda row: row[0])
-        pieces, sent = [buffer], []
-        for _, delta, _ in rows:
+        buffer, msg_no, next_seq, stored = state.get if state.exists else ("", 0, 0, "[]")
+        # Deltas by number: those that came before their turn, then the new ones.
+        held = {seq: (delta, is_end) for seq, delta, is_end in json.loads(stored)}
+        for frame in frames:
+            for seq, delta, is_end in zip(frame["seq"].tolist(), frame["delta"].tolist(), frame["is_end"].tolist()):
+                if seq >= next_seq:
+                    held.setdefault(seq, (delta, is_end))
+        pieces, sent, ended = [buffer], [], False
+        while next_seq in held and not ended:
+            delta, ended = held.pop(next_seq)
+            next_seq += 1
             if delta is None:
                 continue
             pieces.append(delta)
             if "\n" in delta:
                 sent.append("".join(pieces))
                 pieces = []
-        if any(row[2] for row in rows):
+        if ended:
             # The tail without a line break is not sent.
             if state.exists:
                 state.remove()
         else:
-            state.update(("".join(pieces), msg_no + len(sent)))
+            waiting = json.dumps([(seq, delta, bool(is_end)) for seq, (delta, is_end) in sorted(held.items())])
+            state.update(("".join(pieces), msg_no + len(sent), next_seq, waiting))
             if idle_ms is not None:
                 state.setTimeoutDuration(idle_ms)
         if sent:
@@ -53,8 +61,9 @@ def _flush(idle_ms: int | None):
 def stream_report_messages(deltas: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """Messages of a delta stream (run_id, seq, delta, is_end).
 
-    Deltas of a run arrive in order over the micro-batches; within one they are sorted.
-    A run's state is at most one unfinished paragraph, and goes at its end marker.  A stream
+    Deltas of a run are numbered from 0 and may arrive in any order and more than once: one
+    that is early waits in the state for those before it.  A run's state is one unfinished
+    paragraph and what waits, and goes once all up to its end marker are in.  A stream
     that never stops should give ``idle_ms``, so that runs that break off are dropped
     too; a stream read with ``availableNow`` must not, as it would wait for them for ever.
     """

@@ -9,32 +9,39 @@ from dossier.functions.html import anchors, body_text, decode_entities
 from dossier.functions.urls import resolve_url
 from dossier.operators import pages
 
-HEADINGS = {"p", "h1", "h2", "h3", "h4", "h5"}
-BLOCKS = HEADINGS | set(
-    "h6 address article aside blockquote body center details dialog dir div dl dd dt fieldset figcaption "
+HEADINGS = {"h1", "h2", "h3", "h4", "h5"}
+# Elements that end an open paragraph.
+BLOCKS = set(
+    "p h1 h2 h3 h4 h5 h6 address article aside blockquote body center details dialog dir div dl dd dt fieldset figcaption "
     "figure footer form header hgroup hr html li main menu nav ol pre search section summary table ul".split()
 )
 
 
 class Reader(HTMLParser):
-    """Reads page text and links one event at a time."""
+    """Reads page text and links one event at a time: a block ends a paragraph, and only its own
+    end, another heading or a paragraph ends a heading."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.elements, self.links = [], []
-        self.open = self.link = False
+        self.open = None
+        self.link = False
         self.hidden = None
         self.in_body = False
 
+    def block(self, tag):
+        if self.open == "p" or (self.open and tag[:1] == "h" and tag[1:].isdigit()):
+            self.open = None
+
     def handle_starttag(self, tag, attrs):
         if tag in ("script", "style"):
             self.hidden = tag
         if tag == "body":
             self.in_body = True
         if tag in BLOCKS:
-            self.open = False
-        if tag in HEADINGS and self.in_body:
-            self.open = True
+            self.block(tag)
+        if (tag == "p" or tag in HEADINGS) and self.in_body:
+            self.open = tag
             self.elements.append("")
         if tag == "a":
             self.link = dict(attrs).get("href") is not None
@@ -45,7 +52,7 @@ class Reader(HTMLParser):
         if tag == self.hidden:
             self.hidden = None
         if tag in BLOCKS:
-            self.open = False
+            self.block(tag)
         if tag == "a":
             self.link = False
 
@@ -74,6 +81,8 @@ SAMPLES = [
     "<BODY><P>Upper</P><H2 id=q>Case</H2></BODY>",
     "<body><a href='/single?a=1&amp;b=2'>S <i>x</i></a><a href=/bare>B</a><a name=n>no</a><A class=\"k\" HREF=\"u\">U</A><a data-href='z'>no</a>",
     "<body><a href=\"\">empty</a><a title='x > y' href='/q'>quoted &copy; &#65;</a>",
+    "<body><h2><div>Title</div></h2><h3><section>Part <b>two</b></section> end</h3><h2>Lead<ul><li>x</li></ul>tail</h2>after",
+    "<body><h1>One<h2>Two<p>para<h6>no</h6>still no<h5><header>H</header></h5><p>a<h4>b</h3>c",
     "<p>no body tag</p>",
     "<body></body>",
 ]
@@ -114,6 +123,14 @@ def test_entities(one):
     ]
 
 
+def test_numeric_references(one):
+    numbers = [*range(0, 300), 0x80, 0x9F, 0xD7FF, 0xD800, 0xDFFF, 0xE000, 0xFDD0, 0xFDEF, 0xFFFE, 0xFFFF, 0x10000, 0x1FFFE, 0x10FFFF, 0x110000, 10**12]
+    texts = [f"a&#{n};b&#x{n:x};c&#X{n:X} d&#{n:020};e&#x{n:030x};" for n in numbers]
+    assert one(texts, decode_entities(F.col("t"))) == [html.unescape(t) for t in texts]
+    long_name = "&" + "a" * 100 + ";"
+    assert one([long_name], decode_entities(F.col("t"))) == [long_name]
+
+
 def test_query_parameters_are_not_entities(one):
     got = one(["<a href='/x?a=1&copy=2&amp;b=3'>t</a>"], anchors(F.col("t")))
     assert got[0][0]["href"] == "/x?a=1&copy=2&b=3"

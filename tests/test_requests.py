@@ -18,16 +18,20 @@ def test_ingest_and_validate(rows):
             (5, 'start {"task": "t", "agent": "a"}'),
             (6, "start []"),
             (7, "start"),
+            (8, "start " + json.dumps(full) + " xx"),
+            (9, "start " + json.dumps(full).replace('"', "'")),
+            (10, "start " + json.dumps(full) + ', {"task": "u"}'),
+            (11, "start " + json.dumps(full) + '}, "w": {'),
         ],
         "id int, message string",
     )
     got = {r.id: r for r in requests.validate(requests.ingest(messages)).collect()}
-    assert set(got) == {1, 3, 4, 5, 6, 7}
+    assert set(got) == {1, *range(3, 12)}
     assert (got[1].task, got[1].report_type, got[1].agent) == ("t", "research_report", "Default Agent")
     assert got[1].accepted and got[1].error is None
-    assert got[3].error == got[7].error == "malformed request"
+    assert {got[i].error for i in (3, 7, 8, 9, 10, 11)} == {"malformed request"}
     assert {got[i].error for i in (4, 5, 6)} == {fixed.NOT_ENOUGH_PARAMETERS}
-    assert not any(got[i].accepted for i in (3, 4, 5, 6, 7))
+    assert not any(got[i].accepted for i in range(3, 12))
 
 
 def test_role_lookup(rows):
@@ -49,12 +53,14 @@ def test_auto_role(rows):
             (3, None),
             (4, '{"agent": "A"}'),
             (5, "{}"),
+            (6, '{"agent": "A", "agent_role_prompt": "P"} I hope this helps.'),
+            (7, "{'agent': 'A'}"),
         ],
         "id int, reply string",
     )
     got = {r.id: (r.agent, r.agent_role_prompt) for r in requests.auto_role(replies).collect()}
     default = ("Default Agent", fixed.ROLE_PROMPTS["Default Agent"])
-    assert got == {1: ("A", "P"), 2: default, 3: default, 4: ("A", None), 5: (None, None)}
+    assert got == {1: ("A", "P"), 2: default, 3: default, 4: ("A", None), 5: (None, None), 6: default, 7: default}
 
 
 def test_settled_agents(rows):
@@ -73,7 +79,8 @@ def test_settled_agents(rows):
 
 def test_list_fanout(rows):
     replies = rows(
-        [(1, '["a", "", "b"]'), (2, "not json"), (3, "[]"), (4, '{"a": 1}'), (5, None), (6, '["x"')],
+        [(1, '["a", "", "b"]'), (2, "not json"), (3, "[]"), (4, '{"a": 1}'), (5, None), (6, '["x"'),
+         (7, '["a"] garbage'), (8, "['a','b']"), (9, '[{"x":1},2]'), (10, '["a", null]'), (11, ' ["c"]\n'), (12, '["a"], ["b"]'), (13, '["a", 3]')],
         "id int, reply string",
     )
     got = sorted(
@@ -83,7 +90,9 @@ def test_list_fanout(rows):
     bad = "malformed reply"
     assert got == [
         (1, 0, "a", None), (1, 1, "", None), (1, 2, "b", None),
-        (2, -1, None, bad), (4, -1, None, bad), (5, -1, None, bad), (6, -1, None, bad),
+        *((i, -1, None, bad) for i in (2, 4, 5, 6, 7, 8, 9, 10)),
+        (11, 0, "c", None),
+        *((i, -1, None, bad) for i in (12, 13)),
     ]
 
 

@@ -9,6 +9,7 @@ from dossier.plans import workload as given
 from dossier.operators.requests import list_fanout, validate
 from dossier.plans.research import ResearchRun, choose_agents, plan_queries
 from dossier.sinks import outputs
+from dossier.sinks import stage as stages
 from dossier.sinks.stage import new_folder, stage
 from dossier.sources.tables import read_txt_findings, spread
 
@@ -30,11 +31,10 @@ def test_first_visit_owns_the_url(rows):
         "run_id int, query_idx int, rank int, url string, score long",
     )
     got = {(r.run_id, r.url): (r.query_idx, r["rank"], r.score) for r in visited.first_visits(hits).collect()}
-    assert got == {(1, "u"): (0, 2, 5), (1, "v"): (1, 2, 3), (2, "u"): (1, 1, 2)}
-    assert visited.urlless_hits(hits).count() == 1
+    assert got == {(1, "u"): (0, 2, 5), (1, "v"): (1, 2, 3), (2, "u"): (1, 1, 2), (1, None): (1, 3, 1)}
     history = rows([(1, "u")], "run_id int, url string")
     fresh = {(r.run_id, r.url) for r in visited.unvisited(hits, history).collect()}
-    assert fresh == {(1, "v"), (2, "u")}
+    assert fresh == {(1, "v"), (2, "u"), (1, None)}
 
 
 def test_query_without_findings_keeps_its_row(rows):
@@ -110,19 +110,80 @@ def test_waves_make_each_call_once(spark, rows, tmp_path):
     assert [(r.content, r.error) for r in done if r.id == 7] == [(None, "refused")]
 
 
-def test_run_with_a_completer(spark, sf_dir):
-    runs = given.runs(spark, sf_dir)
+def test_calls_are_spread(spark, rows, tmp_path):
+    def completer(messages, model, temperature, max_tokens):
+        from pyspark import TaskContext
+
+        return str(TaskContext.get().partitionId())
+
+    calls = _calls(rows, [f"t{i}" for i in range(1000)])
+    done = infer.complete_stored(calls, completer, new_folder(spark, "store")).collect()
+    assert len({r.content for r in done}) >= spark.sparkContext.defaultParallelism > 1
+
+
+def test_a_second_writer_gives_no_second_row(spark, rows):
+    store = new_folder(spark, "store")
+    calls = _calls(rows, ["one", "two"])
+    answer = lambda text: lambda messages, model, temperature, max_tokens: text
+    infer.complete_stored(calls, answer("first"), store)
+    rival = new_folder(spark, "store")
+    infer.complete_stored(calls, answer("second"), rival)
+    spark.read.schema(infer.STORED).parquet(rival).write.mode("append").partitionBy("part").parquet(store)
+    again = infer.complete_stored(calls, answer("third"), store).collect()
+    assert sorted((r.id, r.content) for r in again) == [(0, "first"), (1, "first")]
+    assert infer.completion_store(spark, store).count() == 2
+
+
+def test_calls_that_may_not_be_sent_come_back(spark, rows):
+    run = ResearchRun(rows([], "run_id int"), rows([], "page_id int"), completer=infer.extractive_completer(), store=new_folder(spark, "store"))
+    calls = _calls(rows, ["one", "two"])
+    calls = calls.withColumn("max_tokens", F.when(F.col("id") == 1, 9000).cast("int"))
+    got = {r.id: (r.content is not None, r.error) for r in run._completed(calls).collect()}
+    assert got == {0: (True, None), 1: (False, "Max tokens cannot be more than 8001, but got 9000")}
+
+
+def _run(spark, sf_dir, **more):
     crawled = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return ResearchRun(given.runs(spark, sf_dir), crawled, more_hits=given.other_hits(spark, sf_dir), **more)
+
+
+def test_run_with_a_completer(spark, sf_dir):
     store = new_folder(spark, "store")
-    run = ResearchRun(runs, crawled, completer=infer.lead_sentences, store=store)
+    run = _run(spark, sf_dir, completer=infer.extractive_completer(), store=store)
     findings = run.findings.collect()
-    assert {f.status for f in findings} == {"ok", "no_page"}
+    assert {f.status for f in findings} == {"ok", "no_page", "no_url"}
+    assert {f.url for f in findings if f.status == "no_page"} == {
+        r.url for r in given.other_hits(spark, sf_dir).join(run.queries, ["run_id", "query_idx"]).collect() if r.url
+    }
     assert run.visits.count() == len(findings)
-    stored = spark.read.parquet(store).count()
-    assert stored > 0
+    assert infer.completion_store(spark, store).count() > 0
     reports = run.reports.collect()
-    assert len(reports) == runs.where("report_type <> 'poem'").count()
+    assert len(reports) == run.researched.where("report_type <> 'poem'").count()
     assert all(r.report is not None and r.error is None for r in reports)
+    # The completer and the expressions say the same.
+    assert set(findings) == set(_run(spark, sf_dir).findings.collect())
+
+
+def test_runs_without_queries(spark, rows, sf_dir):
+    base = rows(
+        [(1, "t", "research_report", "A", None, "[]"), (2, "t", "outline_report", "A", None, "no list"),
+         (3, "u", "poem", None, None, '["the"]')],
+        "run_id long, task string, report_type string, agent string, agent_role_prompt string, reply string",
+    )
+    run = ResearchRun(base, spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    assert [(r.run_id, r.error) for r in run.rejected.collect()] == [(2, "malformed reply")]
+    summaries = {r.run_id: r.research_summary for r in run.research.collect()}
+    assert set(summaries) == {1, 3} and summaries[1] == "" and summaries[3]
+    assert {r.run_id: r.n_words for r in run.word_counts.collect()}[1] == 1
+    assert {r.run_id for r in run.reports.collect()} == {1}
+    times = rows([(i, "2024-01-01 00:00:00") for i in (1, 2, 3)], "run_id long, ts string").withColumn("ts", F.to_timestamp("ts"))
+    asked = rows([(1, "A"), (2, "A"), (3, None), (4, "B")], "run_id long, agent string")
+    lines = run.log(times, asked).orderBy("run_id", "phase", "query_idx", "stage_no", "seq").collect()
+    sent = lambda i: list(dict.fromkeys(r.stage for r in lines if r.run_id == i))
+    assert sent(1) == ["request", "queries", "words", "writing", "path", "end", "run_time"]
+    assert sent(2) == ["request", "queries"] and sent(4) == ["request"]
+    assert sent(3) == ["request", "queries", "query", "new_url", "sites", "browse", "finding", "words"]
+    assert [r.output for r in lines if r.run_id == 3][0] == "Initiated an Agent: None"
 
 
 def test_from_request_to_queries(spark, rows):
@@ -160,6 +221,19 @@ def test_each_url_is_owned_once(spark, sf_dir):
     assert len(visits) == len(set(visits)) and set(visits) == hits
 
 
+def test_wide_columns_are_extracted_once(spark, sf_dir):
+    """Pages are looked up in the stored texts: no plan after the extraction reads markup."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        run = _run(spark, sf_dir)
+        for frame in (run.lookups, run.findings, run.research, run.ledger):
+            plan = frame._jdf.queryExecution().executedPlan().toString()
+            assert "html" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_findings_are_replaced_by_run(spark, rows):
     folder = new_folder(spark, "findings")
     make = lambda data: rows(data, "run_id int, query_idx int, query string, result string")
@@ -190,13 +264,49 @@ def test_reports_and_log_are_written(spark, rows):
     back = spark.read.text(folder, wholetext=True).first()
     assert (back.value, back.run_id, back.report_type) == ("# T\n\nx\n", 1, "research_report")
     log = new_folder(spark, "log")
-    line = runlog.log_rows(rows([(1,)], "run_id int"), 0, "request", F.lit("hello"))
+    line = runlog.log_rows(rows([(1,)], "run_id int"), 0, 0, "request", F.lit("hello"))
     outputs.append_run_log(line, log)
     outputs.append_run_log(line, log)
     assert spark.read.parquet(log).count() == 2
 
 
-def test_spread_leaves_wide_tables_alone(spark):
-    wide = spark.range(0, 100, 1, 16)
-    assert spread(wide, "id").rdd.getNumPartitions() == 16
-    assert spread(spark.range(0, 100, 1, 1), "id").rdd.getNumPartitions() == 4
+def test_findings_of_many_queries_are_in_order(spark, rows):
+    folder = new_folder(spark, "texts")
+    results = rows([(7, i, "q", f"r{i}") for i in range(12)], "run_id int, query_idx int, query string, result string")
+    outputs.write_findings_text(results, folder)
+    back = read_txt_findings(spark, f"{folder}/run_id=*/query_idx=*", r"run_id=([^/]+)/", terminated=True)
+    assert back.first().all_text == "".join(f"r{i}\n" for i in range(12))
+
+
+def test_spread(spark):
+    assert spread(spark.range(0, 100, 1, 16), "id", None).rdd.getNumPartitions() == 16
+    assert spread(spark.range(0, 100, 1, 1), "id", 5).rdd.getNumPartitions() == 5
+
+
+def test_stage_folders(spark, rows):
+    kept = spark.conf.get(stages.RUN, None)
+    spark.conf.set(stages.RUN, "trial")
+    try:
+        table = stage(rows([(1,)], "x int"), "t")
+        assert table.inputFiles()[0].count("/dossier/trial/t-") == 1
+        stages.release(spark)
+        assert not spark._jvm.java.io.File(stages.run_folder(spark).removeprefix("file:")).exists()
+    finally:
+        spark.conf.set(stages.RUN, kept) if kept else spark.conf.unset(stages.RUN)
+
+    class Session:
+        def __init__(self, master):
+            self.conf, self.values = self, {"spark.master": master}
+
+        def get(self, key, *default):
+            return self.values.get(key, *default)
+
+        def set(self, key, value):
+            self.values[key] = value
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            stages.shared_folder(Session(master))
+    for master in ("local", "local[4]", "local[*]"):
+        alone = Session(master)
+        assert stages.shared_folder(alone) == stages.shared_folder(alone)

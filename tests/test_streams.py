@@ -56,13 +56,20 @@ def test_batch_messages_and_text(rows, block):
         assert (whole.get(run) or "") == "".join(sent) + tail
 
 
+@pytest.mark.parametrize("order", ["forward", "reversed", "mixed"])
 @pytest.mark.parametrize("cut", [3, 11, 1000])
-def test_stream_equals_batch(spark, rows, cut):
+def test_stream_equals_batch(spark, rows, cut, order):
     data = runs(cut)
     source, out, state = (new_folder(spark, n) for n in ("deltas", "messages", "state"))
     deltas = table(rows, data)
     longest = max(map(len, data.values()))
-    for start in range(0, longest, cut):
+    starts = list(range(0, longest, cut))
+    if order == "reversed":
+        starts.reverse()
+    elif order == "mixed":
+        random.Random(1).shuffle(starts)
+        starts.append(starts[0])  # one file comes twice
+    for start in starts:
         part = deltas.where(F.col("seq").between(start, start + cut - 1)).coalesce(1)
         part.write.mode("append").parquet(source)
     sent = stream_report_messages(stream_deltas(spark, source, files_per_trigger=1))
@@ -79,7 +86,7 @@ def test_log_stream(spark, tmp_path):
     (tmp_path / "a.txt").write_text("one\ntwo\n")
     messages = stream_messages(spark, str(tmp_path)).select(F.col("message").alias("run_id"))
     log, state = new_folder(spark, "log"), new_folder(spark, "state")
-    lines = log_rows(messages, 0, "request", F.lit("hello"))
+    lines = log_rows(messages, 0, 0, "request", F.lit("hello"))
     for _ in range(2):  # a second start finds nothing new and appends nothing
         stream_run_log(lines, log, state).awaitTermination()
     assert {r.run_id for r in spark.read.parquet(log).collect()} == {"one", "two"}

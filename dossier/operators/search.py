@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from dossier.functions.text import tokens
+from dossier.functions.text import let, tokens
 from dossier.settings import DEFAULTS
 from dossier.sinks.stage import stage
 
-# The term of the one row per document that carries its length.  No token is empty.
-DOC_TERM = ""
 SCALE = 1_000_000
 
 
@@ -25,29 +23,75 @@ def query_terms(queries: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def counted_terms(words: Column) -> Column:
+    """``array<struct<term, tf>>`` of a list of words, counted within its row.
+
+    In the sorted list each run of one word starts where the word before differs."""
+
+    def runs(ranked: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(ranked) - 1)
+        starts = F.filter(places, lambda i: (i == 0) | (ranked[i] != ranked[i - 1]))
+
+        def each(begins: Column) -> Column:
+            end = lambda k: F.coalesce(F.get(begins, k + 1), F.size(ranked))
+            return F.transform(
+                begins, lambda i, k: F.struct(ranked[i].alias("term"), (end(k) - i).cast("bigint").alias("tf"))
+            )
+
+        return let(starts, each)
+
+    none = F.array().cast("array<struct<term:string,tf:bigint>>")
+    return F.when(F.size(words) == 0, none).otherwise(let(F.array_sort(words), runs))
+
+
 def postings(corpus: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """(doc_key, dl, term, tf) rows, plus one row with an empty term per document.
+    """(doc_key, dl, term, tf) rows, without a shuffle: a document's words are counted in its row.
 
-    With ``terms``, tokens outside that table are dropped before the shuffle; the
-    table is a written stage, so Spark broadcasts it only if its size allows.
-    The tokens of a document are counted in the task that reads it, so the shuffle
-    carries one row per document and distinct term.
+    With ``terms``, only rows of those terms stay.  The table is a written stage: Spark
+    broadcasts it if its size allows, and beyond that moves one row per document and distinct word, so a
+    word of every document is a key with one row per document, which adaptive execution splits.
     """
-    # The length is settled before the explode, so that no exploded row carries the words.
-    exploded = (
-        corpus.select("doc_key", tokens(F.col("text")).alias("words"))
-        .select("doc_key", "words", F.size("words").cast("bigint").alias("dl"))
-        .select("doc_key", "dl", F.explode(F.array_append("words", F.lit(DOC_TERM))).alias("term"))
-    )
-    if terms is not None:
-        exploded = of_terms(exploded, terms)
-    return exploded.groupBy("doc_key", "dl", "term").agg(F.count("*").alias("tf"))
+    words = corpus.select("doc_key", tokens(F.col("text")).alias("words"))
+    counted = words.select("doc_key", F.size("words").cast("bigint").alias("dl"), counted_terms(F.col("words")).alias("terms"))
+    rows = counted.select("doc_key", "dl", F.explode_outer("terms").alias("t")).where(F.col("t").isNotNull())
+    rows = rows.select("doc_key", "dl", "t.term", "t.tf")
+    return rows if terms is None else of_terms(rows, terms)
 
 
 def of_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """Rows of the given terms, and the one of each document that carries its length."""
-    document_row = terms.sparkSession.range(1).select(F.lit(DOC_TERM).alias("term"))
-    return rows.join(terms.select("term").union(document_row), "term", "left_semi")
+    """Rows of the given terms; of a stored index only the parts that hold them are read."""
+    if "part" in rows.columns:
+        held = terms.select(_part().alias("part")).distinct().collect()  # at most PARTS numbers
+        rows = rows.where(F.col("part").isin([row["part"] for row in held])).drop("part")
+    return rows.join(terms.select("term"), "term", "left_semi")
+
+
+def lengths(corpus: DataFrame) -> DataFrame:
+    """(doc_key, dl) of every document, those without words too."""
+    return corpus.select("doc_key", F.size(tokens(F.col("text"))).cast("bigint").alias("dl"))
+
+
+def corpus_size(sizes: DataFrame) -> DataFrame:
+    """One row: n_docs and avg_dl of a table of lengths."""
+    return sizes.agg(F.count("*").alias("n_docs"), (F.sum("dl") / F.count("*")).alias("avg_dl"))
+
+
+PARTS = 256
+
+
+def _part() -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(PARTS)).cast("int")
+
+
+def store_index(corpus: DataFrame, path: str) -> None:
+    """Postings by part of a term's hash, sorted by term, and lengths, for many batches of queries."""
+    rows = postings(corpus).withColumn("part", _part()).hint("rebalance", F.col("part"))
+    rows.sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+    lengths(corpus).write.mode("overwrite").parquet(f"{path}/lengths")
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")
 
 
 def _weight(idf: Column, tf: Column, dl: Column, average: Column) -> Column:
@@ -55,32 +99,25 @@ def _weight(idf: Column, tf: Column, dl: Column, average: Column) -> Column:
 
 
 def term_stats(index: DataFrame) -> DataFrame:
-    """Per term: document frequency, occurrences, weight and an upper bound of any
-    document's score for it; every row carries the corpus size and mean length."""
-    documents = index.where(F.col("term") == DOC_TERM).agg(
-        F.count("*").alias("n_docs"), (F.sum("dl") / F.count("*")).alias("avg_dl")
-    )
+    """(term, df, occurrences) of all postings."""
+    return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
+
+
+def weighted_terms(index: DataFrame, size: DataFrame) -> DataFrame:
+    """Per term: document frequency, weight and an upper bound of any document's score for
+    it, with the mean length.  ``size`` is one row."""
     counted = (
-        index.where(F.col("term") != DOC_TERM)
-        .withColumn("avg_dl", documents.select("avg_dl").scalar())
+        index.withColumn("avg_dl", size.select("avg_dl").scalar())
         .groupBy("term", "avg_dl")
         .agg(
             F.count("*").alias("df"),
-            F.sum("tf").alias("occurrences"),
             F.max(_weight(F.lit(1.0), F.col("tf"), F.col("dl"), F.col("avg_dl"))).alias("_top"),
         )
-        .withColumn("n_docs", documents.select("n_docs").scalar())
+        .withColumn("n_docs", size.select("n_docs").scalar())
     )
     idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return counted.withColumn("idf", idf).select(
-        "term",
-        "df",
-        "occurrences",
-        "n_docs",
-        "avg_dl",
-        "idf",
-        (F.ceil(F.col("idf") * F.col("_top") * SCALE) + 1).cast("bigint").alias("bound"),
-    )
+    bound = (F.ceil(F.col("idf") * F.col("_top") * SCALE) + 1).cast("bigint")
+    return counted.withColumn("idf", idf).select("term", "df", "avg_dl", "idf", bound.alias("bound"))
 
 
 def _scored(matches: DataFrame, keys: list[str]) -> DataFrame:
@@ -118,13 +155,13 @@ def search_topk(
     k: int = DEFAULTS.hits_per_query,
     seed_postings: int = 4096,
     weak_share: float = 0.5,
-    index: DataFrame | None = None,
+    index: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """At most ``k`` best documents per query: keys, doc_key, score, rank.
 
     ``corpus`` has ``doc_key`` (unique) and ``text``; ``queries`` has the key
-    columns and ``query``.  For many batches of queries over one corpus, store
-    ``postings(corpus)`` once and give it as ``index`` instead of the corpus.
+    columns and ``query``.  For many batches of queries over one corpus, store its index once
+    (:func:`store_index`) and give what :func:`read_index` reads instead of the corpus.
 
     A word found in most documents would pair each query that holds it with most of the
     corpus.  So the search is pruned, with an exact result:
@@ -145,14 +182,17 @@ def search_topk(
     if not 0 <= weak_share <= 1:
         raise ValueError("weak_share must lie between 0 and 1")
     wanted = stage(query_terms(queries, keys), "query-terms")
-    index = stage(
-        postings(corpus, wanted) if index is None else of_terms(index, wanted), "postings"
-    )
+    if index is None:
+        rows, sizes = postings(corpus, wanted), lengths(corpus)
+    else:
+        rows, sizes = of_terms(index[0], wanted), index[1]
+    index = stage(rows, "postings")
+    size = stage(corpus_size(sizes), "corpus-size")
     # Rarest words first: enough of them to fill k places, more while they stay few.
     rare = W.partitionBy(*keys).orderBy("df", "term").rowsBetween(W.unboundedPreceding, -1)
     before = F.coalesce(F.sum("df").over(rare), F.lit(0))
     terms = stage(
-        wanted.join(term_stats(index).drop("occurrences", "n_docs"), "term")
+        wanted.join(weighted_terms(index, size), "term")
         .withColumn("seed", (before < 4 * k) | (before + F.col("df") <= seed_postings)),
         "terms",
     )

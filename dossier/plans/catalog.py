@@ -171,10 +171,11 @@ def empty_text_findings(spark, sf_dir):
 
 @query
 def term_stats(spark, sf_dir):
-    docs = _documents(spark, sf_dir)
-    index = stage(search.postings(docs.select(F.col("doc_id").alias("doc_key"), "text")), "postings")
-    return search.term_stats(index).select(
-        "term", "df", "occurrences", "n_docs", F.round("avg_dl", 6).alias("avg_dl")
+    """Document frequency and occurrences per word, with the corpus size and mean length."""
+    docs = _documents(spark, sf_dir).select(F.col("doc_id").alias("doc_key"), "text")
+    size = search.corpus_size(search.lengths(docs))
+    return search.term_stats(search.postings(docs)).select(
+        "*", size.select("n_docs").scalar().alias("n_docs"), F.round(size.select("avg_dl").scalar(), 6).alias("avg_dl")
     )
 
 

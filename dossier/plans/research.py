@@ -61,7 +61,7 @@ class ResearchRun:
     ``completer`` the extractive stand-in writes all summaries, as column expressions.
 
     Where many batches run over one crawl, store ``pages.page_text(crawled)`` and the
-    ``search.postings`` of it once, and give them as ``texts`` and ``index``.  ``more_hits`` (run_id,
+    index of it (``search.store_index``) once, and give them as ``texts`` and ``index``.  ``more_hits`` (run_id,
     query_idx, rank, url) are hits of another search; their URLs may be null or not crawled.
     ``partitions`` deals a crawl of few files over that many tasks.
     """
@@ -74,7 +74,7 @@ class ResearchRun:
         completer: Completer | None = None,
         store: str | None = None,
         texts: DataFrame | None = None,
-        index: DataFrame | None = None,
+        index: tuple[DataFrame, DataFrame] | None = None,
         more_hits: DataFrame | None = None,
         partitions: int | None = None,
     ):

@@ -209,8 +209,9 @@ def test_from_request_to_queries(spark, rows):
 def test_stored_texts_and_index_give_the_same_run(spark, sf_dir):
     runs, crawled = given.runs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/pages.parquet")
     texts = stage(pages.page_text(crawled), "texts")
-    index = stage(search.postings(texts.select(F.col("page_id").alias("doc_key"), "text")), "index")
-    stored = ResearchRun(runs, crawled, texts=texts, index=index)
+    path = new_folder(spark, "index")
+    search.store_index(texts.select(F.col("page_id").alias("doc_key"), "text"), path)
+    stored = ResearchRun(runs, crawled, texts=texts, index=search.read_index(spark, path))
     assert set(stored.findings.collect()) == set(ResearchRun(runs, crawled).findings.collect())
 
 

@@ -266,6 +266,17 @@ def lesson_prompts(spark, sf_dir):
     )
 
 
+@query
+def lessons(spark, sf_dir):
+    """A lesson on every concept, written by calls of the smart model and stored."""
+    concepts = requests.list_fanout(given.concept_replies(spark, sf_dir), "concept").where(F.col("error").isNull())
+    role = F.lit(fixed.ROLE_PROMPTS[fixed.DEFAULT_AGENT])
+    messages = prompts.role_messages(role, prompts.lesson_prompt(F.col("concept")))
+    calls = prompts.call_table(concepts.select("doc_id", "concept_idx", messages.alias("messages")), DEFAULTS.smart_model)
+    done = infer.complete_stored(calls, infer.extractive_completer(), new_folder(spark, "store"))
+    return done.select("doc_id", "concept_idx", F.col("content").alias("lesson"), "error")
+
+
 @query
 def prompt_validate(spark, sf_dir):
     return prompts.validate_calls(given.model_calls(spark, sf_dir)).select("doc_id", "accepted", "error")

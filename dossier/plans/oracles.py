@@ -399,6 +399,9 @@ SELECT run_id, query_idx, rank, url FROM (SELECT *, row_number() OVER (PARTITION
     + two_messages("auto", "conv_id, turn", lit(fixed.ROLE_CHOICE_PROMPT), fill(fixed.ROLE_CHOICE_TASK, task="task")),
     "lesson_prompts": f"""SELECT doc_id, concept_idx, {fill(fixed.LESSON_PROMPT, concept='concept')} AS prompt
    FROM ({lines_of('documents', 'doc_id', "lang = 'en'", 'concept')}) WHERE error IS NULL""",
+    "lessons": f"""SELECT doc_id, concept_idx, {extract('prompt', 'prompt')} AS lesson, NULL::VARCHAR AS error
+   FROM (SELECT doc_id, concept_idx, {fill(fixed.LESSON_PROMPT, concept='concept')} AS prompt
+   FROM ({lines_of('documents', 'doc_id', "lang = 'en'", 'concept')}) WHERE error IS NULL)""",
     "prompt_validate": f"""SELECT doc_id, error IS NULL AS accepted, error FROM (SELECT doc_id, CASE WHEN lang = 'es' THEN {lit(fixed.MODEL_MISSING)}
    WHEN lang <> 'fr' AND n_chars > 8001 THEN {fill(fixed.MAX_TOKENS_OVER, max_tokens='n_chars')}
    WHEN lang NOT IN ('en', 'fr') THEN {lit(fixed.STREAM_TARGET_MISSING)} END AS error FROM documents)""",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossier.functions import fixed_values as fixed
-from dossier.functions.text import duration_text, extractive_summary, fill, interval_micros
+from dossier.functions.text import duration_text, extractive_summary, fill, interval_micros, word_count
 from dossier.operators import assemble, pages, prompts, requests, runlog, search, visited
 from dossier.operators.infer import Completer, complete_stored
 from dossier.settings import DEFAULTS, JobSettings
@@ -63,6 +63,8 @@ class ResearchRun:
     Where many batches run over one crawl, store ``pages.page_text(crawled)`` and the
     index of it (``search.store_index``) once, and give them as ``texts`` and ``index``.  ``more_hits`` (run_id,
     query_idx, rank, url) are hits of another search; their URLs may be null or not crawled.
+    ``saved`` (run_id, all_text) are findings of earlier runs, as ``sources.tables.read_txt_findings`` reads them: such a run
+    takes up at its report, without queries, hits or calls for pages.
     ``partitions`` deals a crawl of few files over that many tasks.
     """
 
@@ -76,6 +78,7 @@ class ResearchRun:
         texts: DataFrame | None = None,
         index: tuple[DataFrame, DataFrame] | None = None,
         more_hits: DataFrame | None = None,
+        saved: DataFrame | None = None,
         partitions: int | None = None,
     ):
         if completer is not None and store is None:
@@ -84,6 +87,7 @@ class ResearchRun:
         self.crawled = spread(crawled, "page_id", partitions)
         self.partitions = partitions
         self.more_hits = more_hits
+        self.saved = None if saved is None else saved.where(F.coalesce("all_text", F.lit("")) != "")
         self.settings = settings
         self.completer = completer
         self.store = store
@@ -103,9 +107,14 @@ class ResearchRun:
             refused.withColumnsRenamed({"_refused": "error"}).withColumn("content", F.lit(None).cast("string"))
         )
 
+    @cached_property
+    def fresh(self) -> DataFrame:
+        """Runs without saved findings."""
+        return self.runs if self.saved is None else self.runs.join(self.saved, "run_id", "left_anti")
+
     @cached_property
     def fanned(self) -> DataFrame:
-        return stage(requests.list_fanout(self.runs.select("run_id", "reply"), "query"), "fanned")
+        return stage(requests.list_fanout(self.fresh.select("run_id", "reply"), "query"), "fanned")
 
     @cached_property
     def queries(self) -> DataFrame:
@@ -234,7 +243,10 @@ class ResearchRun:
     @cached_property
     def research(self) -> DataFrame:
         """Of every run that goes on; '' for one without queries."""
-        return self._of_all_runs(assemble.research_summary(self.query_findings), "research_summary", F.lit(""))
+        made = assemble.research_summary(self.query_findings)
+        if self.saved is not None:
+            made = made.unionByName(self.saved.select("run_id", F.col("all_text").alias("research_summary")))
+        return self._of_all_runs(made, "research_summary", F.lit(""))
 
     def _of_all_runs(self, found: DataFrame, column: str, default) -> DataFrame:
         joined = self.researched.select("run_id").join(found, "run_id", "left")
@@ -242,7 +254,10 @@ class ResearchRun:
 
     @cached_property
     def word_counts(self) -> DataFrame:
-        return self._of_all_runs(assemble.research_word_count(self.query_findings), "n_words", F.lit(1).cast("bigint"))
+        made = assemble.research_word_count(self.query_findings)
+        if self.saved is not None:
+            made = made.unionByName(self.saved.select("run_id", word_count(F.col("all_text")).alias("n_words")))
+        return self._of_all_runs(made, "n_words", F.lit(1).cast("bigint"))
 
     @cached_property
     def report_prompts(self) -> DataFrame:
@@ -295,7 +310,7 @@ class ResearchRun:
         lines = F.posexplode(F.split("report", "(?<=\n)"))
         parts = [
             row(self.runs if asked is None else asked, 0, 0, "request", fill(fixed.LOG_INITIATED, agent=shown("agent"))),
-            row(self.runs, 1, 1, "queries", fill(fixed.LOG_QUERIES, reply=shown("reply"))),
+            row(self.fresh, 1, 1, "queries", fill(fixed.LOG_QUERIES, reply=shown("reply"))),
             row(self.queries, 2, 2, "query", fill(fixed.LOG_QUERY, query=column("query")), "query_idx"),
             row(visits, 2, 3, "new_url", fill(fixed.LOG_NEW_URL, url=column("url")), "query_idx", "rank"),
             row(sites, 2, 4, "sites", fill(fixed.LOG_SITES, urls=urls), "query_idx"),

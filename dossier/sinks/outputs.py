@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.functions import fixed_values as fixed
@@ -52,6 +52,13 @@ def report_path(directory: Column, report_type: Column) -> Column:
     return quoted_path(fill(fixed.REPORT_FILE, directory=directory, report_type=report_type))
 
 
+def report_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """(run_id, report_type, path, stored): which stored file holds the report whose path a run was told."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder)
+    path = report_path(F.col("run_id").cast("string"), F.col("report_type"))
+    return files.select("run_id", "report_type", path.alias("path"), F.col("path").alias("stored"))
+
+
 def append_run_log(log: DataFrame, path: str) -> None:
     log.write.mode("append").parquet(path)
 

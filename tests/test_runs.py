@@ -186,6 +186,20 @@ def test_runs_without_queries(spark, rows, sf_dir):
     assert [r.output for r in lines if r.run_id == 3][0] == "Initiated an Agent: None"
 
 
+def test_saved_runs_take_up_at_their_report(spark, rows, sf_dir):
+    base = rows(
+        [(1, "t", "research_report", "A", None, '["the"]'), (2, "t", "research_report", "A", None, None), (3, "t", "research_report", "A", None, '["the"]')],
+        "run_id long, task string, report_type string, agent string, agent_role_prompt string, reply string",
+    )
+    saved = rows([(2, "kept words\nhere"), (3, "")], "run_id long, all_text string")
+    run = ResearchRun(base, spark.read.parquet(f"{sf_dir}/pages.parquet"), saved=saved)
+    assert {r.run_id for r in run.queries.collect()} == {1, 3} and not run.rejected.collect()
+    assert {r.run_id: r.research_summary for r in run.research.collect()}[2] == "kept words\nhere"
+    assert {r.run_id: r.n_words for r in run.word_counts.collect()}[2] == 2
+    assert {r.run_id for r in run.reports.collect()} == {1, 2, 3}
+    assert [r.stage for r in run.log().where("run_id = 2").orderBy("phase", "stage_no").collect()][:3] == ["request", "words", "writing"]
+
+
 def test_from_request_to_queries(spark, rows):
     def model(messages, model, temperature, max_tokens):
         if temperature == 0.0:
@@ -264,6 +278,9 @@ def test_reports_and_log_are_written(spark, rows):
     outputs.write_reports(rows([(1, "research_report", "# T\n\nx")], "run_id int, report_type string, report string"), folder)
     back = spark.read.text(folder, wholetext=True).first()
     assert (back.value, back.run_id, back.report_type) == ("# T\n\nx\n", 1, "research_report")
+    told = outputs.report_manifest(spark, folder).first()
+    assert (told.run_id, told.report_type, told.path) == (1, "research_report", "./outputs/1/research_report.pdf")
+    assert spark.read.text(told.stored, wholetext=True).first().value == back.value
     log = new_folder(spark, "log")
     line = runlog.log_rows(rows([(1,)], "run_id int"), 0, 0, "request", F.lit("hello"))
     outputs.append_run_log(line, log)

@@ -20,8 +20,7 @@ ORACLE_SQL = None
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    judged = quality.quality_rules(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    return judged.where("_kept").select(*docs.columns)
+    return quality.good_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

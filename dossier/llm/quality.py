@@ -97,10 +97,10 @@ def base_statistics(text: str, numbers: np.ndarray) -> tuple[int, int, int, int,
     )
 
 
-def measured(docs: DataFrame, model_path: str, text_col: str = "text", name: str = "_measured") -> DataFrame:
-    """``docs`` with a struct of word statistics and fertility of the whole text."""
-    columns = docs.columns
-    at = columns.index(text_col)
+def measured(docs: DataFrame, model_path: str, text_col: str, keep: list[str], name: str = "_measured") -> DataFrame:
+    """The ``keep`` columns of ``docs`` with a struct of word statistics and fertility of the whole text."""
+    at = docs.columns.index(text_col)
+    kept = [docs.columns.index(column) for column in keep]
     kinds = [pa.int64()] * 7 + [pa.float64()]
     names = [part.split()[0] for part in f"{BASE}, {FERTILITY}".split(", ")]
 
@@ -115,10 +115,10 @@ def measured(docs: DataFrame, model_path: str, text_col: str = "text", name: str
                     rows.append((*base_statistics(text, own), *tool.measure(own)))
             values = zip(*rows) if rows else [[]] * len(kinds)
             struct = pa.StructArray.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names)
-            yield pa.RecordBatch.from_arrays([*batch.columns, struct], [*columns, name])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), struct], [*keep, name])
 
     inner = T.StructType([T.StructField(n, T.DoubleType() if pa.types.is_float64(k) else T.LongType()) for n, k in zip(names, kinds)])
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, inner)])
+    schema = T.StructType([*(docs.schema[column] for column in keep), T.StructField(name, inner)])
     return docs.mapInArrow(run, schema)
 
 
@@ -135,7 +135,7 @@ def base_failed(m: str) -> Column:
     return (F.col(f"{m}.n_words") < 50) | (100 * F.col(f"{m}.n_repeat_words") > 50 * F.col(f"{m}.n_words"))
 
 
-def quality_rules(
+def _judged(
     docs: DataFrame,
     model_path: str,
     width: float = 8.0,
@@ -143,34 +143,25 @@ def quality_rules(
     text_col: str = "text",
     lang_col: str | None = "lang",
     max_byte_share: float = 0.2,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """``docs`` with ``_measured``, ``_base_failed`` and ``_kept``.
-
-    A text that passes the base rules is judged by three bands of its language (of its script
-    where the language is null or has fewer than ``least_docs`` such texts): characters per
-    token and entropy must lie within ``width`` median deviations of the median, over all texts
-    that pass the base rules, and no more than ``max_byte_share`` of the tokens may
-    stand for single bytes.  Characters per token scatter less in longer texts, so their
-    deviation counts times the root of the number of tokens; entropy grows with the length, so it is
-    compared with the logarithm of the number of tokens.  A group whose texts are all alike has bands
-    with a floor of 2 % of the median.  A null text counts as empty and fails the base
-    rules.  Rows are independent: repeated rows and null ids stay as they are.
-    """
     m = "_measured"
+    keep = docs.columns if keep is None else keep
     lang = F.lower(F.col(lang_col)) if lang_col else F.lit(None).cast("string")
-    table = staged(
-        measured(docs, model_path, text_col, m).select(
-            "*", base_failed(m).alias("_base_failed"), lang.alias("_lang"), script_of(F.coalesce(F.col(text_col), F.lit(""))).alias("_script")
-        ),
-        "quality",
-    )
+    grouped = docs.select("*", lang.alias("_lang"), script_of(F.coalesce(F.col(text_col), F.lit(""))).alias("_script"))
+    rows = measured(grouped, model_path, text_col, [*keep, "_lang", "_script"], m)
+    table = staged(rows.withColumn("_base_failed", base_failed(m)), "quality")
     entropy = F.col(f"{m}.piece_entropy") / F.log2(F.col(f"{m}.n_pieces") + 1)
     ratio = F.col(f"{m}.word_chars") / F.col(f"{m}.n_pieces")
     passed = table.where(~F.col("_base_failed")).select("_lang", "_script", f"{m}.n_pieces", ratio.alias("r"), entropy.alias("e"))
 
     def bands(key: str) -> DataFrame:
-        middle = passed.where(F.col(key).isNotNull()).groupBy(key).agg(
-            F.percentile_approx("r", 0.5, 10_000).alias("r0"), F.percentile_approx("e", 0.5, 10_000).alias("e0"), F.count("*").alias("n")
+        # Stored, so that its true size decides how the rows of a frequent language meet it.
+        middle = staged(
+            passed.where(F.col(key).isNotNull()).groupBy(key).agg(
+                F.percentile_approx("r", 0.5, 10_000).alias("r0"), F.percentile_approx("e", 0.5, 10_000).alias("e0"), F.count("*").alias("n")
+            ),
+            f"medians{key}",
         )
         off = (
             passed.join(middle, key)
@@ -194,4 +185,45 @@ def quality_rules(
         & (F.col(f"{m}.byte_pieces") <= max_byte_share * F.col(f"{m}.n_pieces"))
     )
     kept = ~F.col("_base_failed") & F.coalesce(usual, F.lit(True))
-    return judged.select(*docs.columns, m, "_base_failed", kept.alias("_kept"))
+    return judged.select(*keep, m, "_base_failed", kept.alias("_kept"))
+
+
+def _plain(docs: DataFrame, settings: dict) -> tuple[DataFrame, dict]:
+    """``docs`` with columns named by their place, so that no name clashes with ours."""
+    place = {name: f"_c{i}" for i, name in enumerate(docs.columns)}
+    settings = {"text_col": "text", "lang_col": "lang"} | settings
+    for key in ("text_col", "lang_col"):
+        settings[key] = place[settings[key]] if settings[key] else None
+    return docs.toDF(*place.values()), settings
+
+
+def quality_rules(docs: DataFrame, model_path: str, id_col: str = "doc_id", **settings) -> DataFrame:
+    """``doc_id``, the base statistics, the fertility, ``base_failed`` and ``kept`` of every row.
+
+    A text that passes the base rules is judged by three bands of its language (of its script
+    where the language is null or has fewer than ``least_docs`` such texts): characters per
+    token and entropy must lie within ``width`` median deviations of the median, over all texts
+    that pass the base rules, and no more than ``max_byte_share`` of the tokens may
+    stand for single bytes.  Characters per token scatter less in longer texts, so their
+    deviation counts times the root of the number of tokens; entropy grows with the length, so it is
+    compared with the logarithm of the number of tokens.  A group whose texts are all alike has bands
+    with a floor of 2 % of the median.  A null text counts as empty and fails the base
+    rules.  Rows are independent: repeated rows and null ids stay as they are.  An empty table gives an
+    empty one.  ``settings`` are ``width``, ``least_docs``, ``max_byte_share``, ``text_col`` and ``lang_col`` (None: scripts
+    only).
+    """
+    plain, settings = _plain(docs, settings)
+    own_id = f"_c{docs.columns.index(id_col)}"
+    judged = _judged(plain, model_path, keep=[own_id], **settings)
+    return judged.select(
+        F.col(own_id).cast("long").alias("doc_id"),
+        "_measured.*",
+        F.col("_base_failed").alias("base_failed"),
+        F.col("_kept").alias("kept"),
+    )
+
+
+def good_documents(docs: DataFrame, model_path: str, **settings) -> DataFrame:
+    """The rows of ``docs`` that :func:`quality_rules` keeps, with their own columns."""
+    plain, settings = _plain(docs, settings)
+    return _judged(plain, model_path, **settings).where("_kept").select(*plain.columns).toDF(*docs.columns)

@@ -91,16 +91,4 @@ def op6_token_files(spark, sf_dir):
 @query
 def op9_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    judged = quality.quality_rules(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    return judged.select(
-        "doc_id",
-        "_measured.n_words",
-        "_measured.word_chars",
-        "_measured.n_symbols",
-        "_measured.n_dup_lines",
-        "_measured.n_repeat_words",
-        F.col("_base_failed").alias("base_failed"),
-        F.col("_kept").alias("kept"),
-        "_measured.n_pieces",
-        "_measured.byte_pieces",
-    )
+    return quality.quality_rules(docs, public_tokenizers.path("piece_bpe_32k.model"))

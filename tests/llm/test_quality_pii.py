@@ -35,19 +35,25 @@ def sample_texts():
 
 def test_base_statistics(spark):
     given = [*enumerate(sample_texts()), (None, "a b"), (3, "again")]
-    frame = spark.createDataFrame([(i, t, "en") for i, t in given], "doc_id long, text string, lang string").selectExpr("*", "1 AS n_words", "2 AS r")
-    rows = quality.quality_rules(frame, MODEL).select("doc_id", "text", "_measured.*", "_base_failed", "_kept").collect()
+    frame = spark.createDataFrame([(i, t, "en") for i, t in enumerate(t for _, t in given)], "doc_id long, text string, lang string")
+    frame = frame.selectExpr("*", "1 AS n_words", "2 AS r", "3 AS _kept", "4 AS _lang")
+    rows = quality.quality_rules(frame, MODEL).collect()
     assert len(rows) == len(given)
     model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     for row in rows:
-        want = brute(row.text or "")
+        text = given[row.doc_id][1] or ""
+        want = brute(text)
         assert (row.n_words, row.word_chars, row.n_symbols, row.n_dup_lines, row.n_repeat_words) == want
-        assert row._base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0])
-        assert not (row._base_failed and row._kept)
+        assert row.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+        assert not (row.base_failed and row.kept)
         if want[0] < 100:
-            ids = [i for w in re.findall(f"[^{SPACE}]+", row.text or "") for i in model.encode(w)]
+            ids = [i for w in re.findall(f"[^{SPACE}]+", text) for i in model.encode(w)]
             assert (row.n_pieces, row.byte_pieces) == (len(ids), sum(map(model.is_byte, ids)))
     assert quality.quality_rules(frame.limit(0), MODEL).collect() == []
+    nameless = frame.withColumn("doc_id", F.lit(None).cast("long"))
+    assert quality.quality_rules(nameless.unionAll(nameless), MODEL).count() == 2 * len(given)
+    good = quality.good_documents(frame, MODEL)
+    assert good.columns == frame.columns and good.count() == sum(r.kept for r in rows)
 
 
 def test_odd_fertility_is_rejected(spark):
@@ -60,7 +66,7 @@ def test_odd_fertility_is_rejected(spark):
     }
     given = [(i, prose(), "en") for i in range(60)] + [(i, t, "en") for i, t in odd.items()] + [(800, prose(), None), (801, prose(), "xx")]
     frame = spark.createDataFrame(given, "doc_id long, text string, lang string")
-    kept = {r.doc_id for r in quality.quality_rules(frame, MODEL).where("_kept").collect()}
+    kept = {r.doc_id for r in quality.quality_rules(frame, MODEL).where("kept").collect()}
     assert kept == {*range(60), 800, 801}
 
 

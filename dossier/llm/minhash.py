@@ -234,7 +234,8 @@ def verified(pairs: DataFrame, texts: DataFrame, weights, threshold: float) -> D
                 keep.append(shared >= threshold * (weight.sum() - shared) * (1 - 1e-12))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
-    both = pairs.join(own, "a").join(other, "b").select("a", "b", "text_a", "text_b")
+    # Always by a shuffle of both sides, as it has to be in a large corpus.
+    both = pairs.hint("merge").join(own, "a").hint("merge").join(other, "b").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(run, "a long, b long")
 
 
@@ -306,6 +307,9 @@ def node_classes(texts: DataFrame, threshold: float = 0.8) -> DataFrame:
     measures = (F.min("node").alias("centre"), F.count("*").alias("size"), F.sum("chars").alias("chars"))
     centres = staged(members.groupBy("bucket").agg(*measures).where("size > 1"), "near-buckets")
     shared = staged(members.drop("chars").join(centres, "bucket"), "near-members")
+    # Texts that share a bucket with another are set apart once; only those are compared.
+    meeting = shared.select("node").distinct().hint("merge")
+    met = staged(texts.select("node", "text").join(meeting, "node", "left_semi"), "near-met")
     # A pair of a similarity at the threshold agrees in fewer samples once in some thousand times.
     least = int(SAMPLES * threshold - 4 * (SAMPLES * threshold * (1 - threshold)) ** 0.5)
     star = shared.where(F.col("node") != F.col("centre")).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
@@ -319,7 +323,7 @@ def node_classes(texts: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     sketched = star.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sketch_a", "sketch_b")
     likely = staged(sketched.mapInArrow(agree, "a long, b long"), "near-likely")
-    links = staged(verified(likely, texts, weights, threshold), "near-links")
+    links = staged(verified(likely, met, weights, threshold), "near-links")
     first = staged(components(links), "near-components")
 
     # Pairs across components that the stars did not settle.
@@ -327,7 +331,7 @@ def node_classes(texts: DataFrame, threshold: float = 0.8) -> DataFrame:
     placed = staged(placed.select("bucket", "node", "component", "size", "chars"), "near-placed")
     mixed_buckets = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     open_members = staged(placed.join(staged(mixed_buckets.select("bucket"), "near-open"), "bucket"), "near-open-members")
-    rest = block_links(open_members.join(texts.select("node", "text"), "node"), weights, threshold)
+    rest = block_links(open_members.join(met, "node"), weights, threshold)
     more = staged(rest, "near-more")
     if more.isEmpty():
         return first

@@ -8,6 +8,7 @@ total length.  Bodies are framed by HTTP chunked transfer coding.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -124,8 +125,9 @@ def write_archive(
             yield pa.record_batch([pa.array(part, pa.binary())], names=["value"])
 
     written = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
-    # The text writer puts out the bytes as they are.
-    written.write.mode("overwrite").option("maxRecordsPerFile", RECORDS_PER_FILE).text(out)
+    # The text writer puts out the bytes as they are, and compresses each file.
+    files = written.write.mode("overwrite").option("maxRecordsPerFile", RECORDS_PER_FILE)
+    files.option("compression", "gzip").text(out)
 
 
 def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -147,6 +149,7 @@ def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """``record_type, page_id, url, refers_to, digest, block`` of every record, segments put together.
+    Files may be compressed as a whole or not.
 
     A group of segments with a gap, without its first or last one, or of another length than it states
     raises an error.
@@ -156,7 +159,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for data in batch.column(0).to_pylist():
                 part, held = [], 0
-                for fields, block in parsed(data):
+                for fields, block in parsed(gzip.decompress(data) if data.startswith(b"\x1f\x8b") else data):
                     number, total = fields.get("warc-segment-number"), fields.get("warc-segment-total-length")
                     page, refers = fields.get("x-page-id"), fields.get("x-refers-to-page-id")
                     part.append(

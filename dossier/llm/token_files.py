@@ -44,6 +44,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: st
                 [batch.column(0), pa.array(lengths, pa.int64()), pa.array(rows, pa.binary())],
                 names=["doc_id", "n_tokens", "ids"],
             )
+        codec.forget()
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return narrow.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
@@ -59,10 +60,12 @@ def token_counts(ids: DataFrame) -> DataFrame:
     def run(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for raw, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen = np.bincount(unpacked(raw, n), minlength=len(total))
-                seen[: len(total)] += total
-                total = seen
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            if not batch.num_rows:
+                continue
+            seen = np.bincount(np.concatenate([unpacked(raw, n) for raw, n in rows]), minlength=len(total))
+            seen[: len(total)] += total
+            total = seen
         used = np.flatnonzero(total)
         yield pa.record_batch([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
 

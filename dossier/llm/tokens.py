@@ -22,6 +22,8 @@ PLAIN = re.compile(r"[ -~\nÀ-ÖØ-öø-ÿ]*")
 PIECES = re.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^ \nA-Za-z0-9À-ÖØ-öø-ÿ]+|[ \n]+(?![^ \n])|[ \n]+"
 ).findall
+# The common shape of a stretch after a space: a word with or without punctuation behind it.
+WORD_AND_MARKS = re.compile(r"([A-Za-z]+)([!-/:-@\[-`{-~]*)").fullmatch
 OTHER_SPACE = [c for c in WHITE_SPACE if c not in " \n"]
 # A stretch is a run without white space and the one white space character before it,
 # or white space that no such run takes along.
@@ -36,13 +38,21 @@ class ByteCodec:
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = {b: c for b, c in enumerate(byte_alphabet())}
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Free what the distinct words of a task took; workers live on between tasks."""
         # Stretches after a space (which the key leaves out), and stretches as they stand.
         self.spaced, self.bare, self.pieces = Interner(), Interner(), Interner()
         self.spaced_ids, self.bare_ids, self.piece_ids = (Ragged(np.int32) for _ in range(3))
 
+    def _cut_spaced(self, stretch: str) -> list[str]:
+        """Pieces of a stretch that a space precedes."""
+        if common := WORD_AND_MARKS(stretch):
+            word, marks = common.groups()
+            return ["Ġ" + word, marks] if marks else ["Ġ" + word]
+        return self._cut(" " + stretch)
+
     def _cut(self, stretch: str) -> list[str]:
         if PLAIN.fullmatch(stretch):
             pieces = PIECES(stretch)
@@ -53,11 +63,14 @@ class ByteCodec:
 
     def _work_out(self) -> None:
         tokenize = self.tokenizer.model.tokenize
-        for interner, table, space in ((self.spaced, self.spaced_ids, " "), (self.bare, self.bare_ids, "")):
+        for interner, table, cutter in (
+            (self.spaced, self.spaced_ids, self._cut_spaced),
+            (self.bare, self.bare_ids, self._cut),
+        ):
             new = interner.take_new()
             if not new:
                 continue
-            cut = [self._cut(space + stretch) for stretch in new]
+            cut = list(map(cutter, new))
             counts = np.fromiter(map(len, cut), np.int64, len(cut))
             numbers = self.pieces.numbers([piece for pieces in cut for piece in pieces])
             ids = [[token.id for token in tokenize(piece)] for piece in self.pieces.take_new()]
@@ -76,7 +89,7 @@ class ByteCodec:
         """(text, table, stretch numbers, first stretch) of each text; a text that spells a
         special token has no numbers and is left to the library as a whole."""
         if len(self.spaced) + len(self.bare) > KEEP:
-            self._forget()
+            self.forget()
         odd = [any(mark in text for mark in self.special) for text in part]
         simple = [not o and self._simple(text) for o, text in zip(odd, part)]
         numbers, starts = numbered_parts([t for s, t in zip(simple, part) if s], self.spaced)

@@ -150,9 +150,10 @@ class WordCodec:
         self.to_byte = {c: b for b, c in enumerate(byte_alphabet())}
         # How the vocabulary cuts lower-cased text, for PLAIN characters.
         self.cut = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+").findall
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Free what the distinct words of a task took; workers live on between tasks."""
         self.chunks, self.pieces = Interner(), Interner()
         self.chunk_ids, self.piece_ids = Ragged(np.int32), Ragged(np.int32)
 
@@ -193,7 +194,7 @@ class WordCodec:
         """Ids of each text in order."""
         for part in slices(texts):
             if len(self.chunks) > KEEP:
-                self._forget()
+                self.forget()
             numbers, starts = numbered_words(part, self.chunks)
             self._work_out()
             for start, end in zip(starts.tolist(), starts[1:].tolist()):
@@ -231,6 +232,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        codec.forget()
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return narrow.mapInArrow(run, f"doc_id long, {SCHEMA}")
@@ -246,6 +248,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             yield pa.record_batch(
                 [batch.column(0), pa.array([i.tolist() for i in ids], pa.list_(pa.int32()))], names=["doc_id", "ids"]
             )
+        codec.forget()
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return narrow.mapInArrow(run, "doc_id long, ids array<int>")

@@ -59,7 +59,7 @@ class Shingler:
     def shingles(self, part: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct shingles of each text in ascending order, their number in the text, and
         where each text starts, with the end at last."""
-        if len(self.words) > KEEP:
+        if len(self.words) > KEEP // 2:
             self._forget()
         numbers, starts = numbered_words(part, self.words)
         new = [xxhash.xxh64_intdigest(NOT_WORD.sub("", w.lower()) or w) for w in self.words.take_new()]

@@ -35,11 +35,15 @@ class Fertility:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         size = self.model.get_piece_size()
         self.is_byte = np.array([self.model.is_byte(i) or self.model.is_unknown(i) for i in range(size)])
+        self.forget()
+
+    def forget(self) -> None:
+        """Free what the distinct words of a task took; workers live on between tasks."""
         self.words, self.pieces = Interner(), Ragged(np.int32)
 
     def number(self, part: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.words) > KEEP:
-            self.words, self.pieces = Interner(), Ragged(np.int32)
+            self.forget()
         numbers, starts = numbered_words(part, self.words)
         new = self.words.take_new()
         if new:
@@ -116,6 +120,7 @@ def measured(docs: DataFrame, model_path: str, text_col: str, keep: list[str], n
             values = zip(*rows) if rows else [[]] * len(kinds)
             struct = pa.StructArray.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), struct], [*keep, name])
+        tool.forget()
 
     inner = T.StructType([T.StructField(n, T.DoubleType() if pa.types.is_float64(k) else T.LongType()) for n, k in zip(names, kinds)])
     schema = T.StructType([*(docs.schema[column] for column in keep), T.StructField(name, inner)])

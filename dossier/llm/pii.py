@@ -3,11 +3,13 @@
 Entities are found by one pattern; each distinct entity of the corpus gets one surrogate of its own
 type and shape, so all its mentions stay linked.  A surrogate is derived from a secret key.  If
 two entities draw the same one, or a surrogate is itself an entity of the corpus, the later
-entity draws again.
+entity draws again, after some draws from a space that each further draw makes larger.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +48,8 @@ ENTITY = "|".join(f"(?:{shape})" for shape in SHAPES.values())
 # What a text must hold to have any entity at all.
 HINT = rf"[0-9@]|(?i:{SECRET_WORD}\s{{0,3}}[=:])|\b(?:{FEMALE_TITLES}|{MALE_TITLES})\.?[ ]\p{{Lu}}"
 LATIN_LETTERS, HEX = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
+# What a secret may hold besides letters and digits.
+SIGNS = "!#$%&*+-=?@^_~"
 
 
 def kind_of(entity: Column) -> Column:
@@ -99,6 +103,7 @@ def same_shape(value: Column, seed: Column, hexadecimal: bool = False) -> Column
             .when(char.rlike(r"\p{IsCyrillic}"), F.when(char == F.upper(char), F.upper(_pick(cyrillic, draw))).otherwise(_pick(cyrillic, draw)))
             .when(char.rlike(r"\p{Lu}"), _pick(LATIN_LETTERS.upper(), draw))
             .when(char.rlike(r"\p{L}"), _pick(LATIN_LETTERS, draw))
+            .when(char.rlike(r"\p{N}"), _pick("0123456789", draw))
             .otherwise(char)
         )
 
@@ -118,26 +123,35 @@ def _word(words: str, draw: Column) -> Column:
     return F.element_at(listed, (draw % len(words.split()) + 1).cast("int"))
 
 
-def _person(entity: Column, seed: Column) -> Column:
-    """Title, then as many names as before, of the title's gender and the name's script."""
+def _drawn_word(letters: str, seed: Column, length: int) -> Column:
+    if not length:
+        return F.lit("")
+    return F.array_join(F.transform(_draws(F.concat(seed, F.lit("/+")), F.lit(length)), lambda draw: _pick(letters, draw)), "")
+
+
+def _person(entity: Column, seed: Column, wider: int) -> Column:
+    """Title, then as many names as before, of the title's gender and the name's script; the
+    family name has ``wider`` more parts, each after a hyphen."""
     title = F.regexp_extract(entity, rf"^((?:{FEMALE_TITLES}|{MALE_TITLES})\.?[ ])", 1)
     names = F.size(F.split(F.substring(entity, F.length(title) + 1, F.length(entity)), " "))
     female, cyrillic = entity.rlike(rf"^(?:{FEMALE_TITLES})\b"), entity.rlike(r"\p{IsCyrillic}\p{L}*$")
-    draws = _draws(seed, F.lit(4))
+    draws = _draws(seed, F.lit(4 + 3 * wider))
 
     def by(table_f: str, table_m: str, script: str) -> Column:
         first = F.when(female, _word(table_f, draws[0])).otherwise(_word(table_m, draws[0]))
         # Two drawn parts and a drawn middle vowel make family names plenty.
-        vowel = _pick("aeiou" if script == "latin" else "аеиоу", draws[3])
-        family = F.concat(_word(FAMILY[script], draws[1]), vowel, _word(ENDINGS[script], draws[2]))
+        vowels = "aeiou" if script == "latin" else "аеиоу"
+        part = lambda a, b, c: F.concat(_word(FAMILY[script], draws[a]), _pick(vowels, draws[c]), _word(ENDINGS[script], draws[b]))
+        family = F.concat_ws("-", part(1, 2, 3), *(part(i, i + 1, i + 2) for i in range(4, 4 + 3 * wider, 3)))
         return F.when(names > 1, F.concat(first, F.lit(" "), family)).otherwise(family)
 
     latin = by(NAMES["female", "latin"], NAMES["male", "latin"], "latin")
     return F.concat(title, F.when(cyrillic, by(NAMES["female", "cyrillic"], NAMES["male", "cyrillic"], "cyrillic")).otherwise(latin))
 
 
-def surrogate(entity: Column, kind: Column, key: str, attempt: Column) -> Column:
-    """The surrogate of one entity at its ``attempt``-th draw."""
+def surrogate(entity: Column, kind: Column, key: str, attempt: Column, wider: int = 0) -> Column:
+    """The surrogate of one entity at its ``attempt``-th draw, longer by ``wider`` parts: some
+    thousand times as many surrogates are possible for each."""
     head = F.when(kind == "secret", F.regexp_extract(entity, f"^({SECRET_HEAD})", 1)).otherwise(F.lit(""))
     value = F.substring(entity, F.length(head) + 1, F.length(entity))
     seed = F.concat(F.lit(key + "/"), kind, F.lit("/"), value, F.lit("/"), attempt.cast("string"))
@@ -147,25 +161,40 @@ def surrogate(entity: Column, kind: Column, key: str, attempt: Column) -> Column
     octets = F.array_join(F.transform(_draws(seed, F.lit(4)), lambda d: (d % 254 + 1).cast("string")), ".")
     country = F.regexp_extract(entity, r"^(\+\d{1,3}(?=[ .(-])|[A-Z]{2}(?=\d)|(?:AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-|AIza))", 1)
     keeping = F.concat(country, F.substring(shaped, F.length(country) + 1, F.length(entity)))
+    mail = F.concat(F.substring(shaped, F.lit(1), F.length(entity) - F.length(ending)), ending)
+    more = _drawn_word("0123456789", seed, 4 * wider)
+    if wider:
+        # A mailbox has 64 characters at most, and there are no more addresses of four numbers.
+        box = F.concat(_drawn_word(LATIN_LETTERS, seed, 3 * wider), F.substring_index(mail, "@", 1))
+        mail = F.concat(F.substring(box, 1, 64), F.lit("@"), F.substring_index(mail, "@", -1))
+        octets = F.concat(F.lit("2001:db8:"), F.array_join(F.transform(_draws(seed, F.lit(6)), lambda d: F.lower(F.hex(d))), ":"))
+    # A value without any letter or digit, as a masked one, keeps no sign of its own.
+    signs = F.array_join(F.transform(_draws(seed, F.length(value)), lambda d: _pick(SIGNS, d)), "")
+    secret = (
+        F.when(value.rlike("^[0-9a-f]+$"), same_shape(value, seed, True)).when(~value.rlike(r"[\p{L}\p{N}]"), signs).otherwise(shaped)
+    )
     return (
-        F.when(kind == "email", F.concat(F.substring(shaped, F.lit(1), F.length(entity) - F.length(ending)), ending))
+        F.when(kind == "email", mail)
         .when(kind == "ip", octets)
-        .when(kind == "card", _checked(shaped))
-        .when(kind == "name", _person(entity, seed))
-        .when(kind == "secret", F.concat(head, F.when(value.rlike("^[0-9a-f]+$"), same_shape(value, seed, True)).otherwise(shaped)))
-        .when(kind.isin("phone", "iban", "key"), keeping)
-        .otherwise(shaped)
+        .when(kind == "card", _checked(F.concat(shaped, more)))
+        .when(kind == "name", _person(entity, seed, wider))
+        .when(kind == "secret", F.concat(head, secret, more))
+        .when(kind.isin("phone", "iban", "key"), F.concat(keeping, more))
+        .otherwise(F.concat(shaped, more))
     )
 
 
-def surrogate_table(found: DataFrame, key: str, most_draws: int = 64) -> DataFrame:
+def surrogate_table(found: DataFrame, key: str, own_shape_draws: int = 4) -> DataFrame:
     """(entity, surrogate) of all distinct entities; surrogates are distinct and none of
-    them is an entity.  In a clash the least entity keeps its draw."""
+    them is an entity.  In a clash the least entity keeps its draw.  What still clashes after
+    ``own_shape_draws`` draws gets a longer surrogate, by one part more at each further draw, so
+    all entities settle, however few surrogates their own shape has."""
     open_ = staged(found.select("entity").distinct().withColumn("kind", kind_of(F.col("entity"))), "entities")
     real = open_.select(F.col("entity").alias("surrogate"))
     settled: DataFrame | None = None
-    for attempt in range(most_draws):
-        drawn = staged(open_.withColumn("surrogate", surrogate(F.col("entity"), F.col("kind"), key, F.lit(attempt))), "drawn")
+    for attempt in count():
+        wider = max(0, attempt + 1 - own_shape_draws)
+        drawn = staged(open_.withColumn("surrogate", surrogate(F.col("entity"), F.col("kind"), key, F.lit(attempt), wider)), "drawn")
         first = drawn.groupBy("surrogate").agg(F.min("entity").alias("entity"))
         good = first.join(real, "surrogate", "left_anti")
         if settled is not None:
@@ -175,7 +204,6 @@ def surrogate_table(found: DataFrame, key: str, most_draws: int = 64) -> DataFra
         open_ = staged(drawn.select("entity", "kind").join(good.select("entity"), "entity", "left_anti"), "clashing")
         if open_.isEmpty():
             return settled
-    raise ValueError(f"surrogates of some shape run out after {most_draws} draws")
 
 
 def replaced(text: Column, table: Column) -> Column:

@@ -121,6 +121,23 @@ def test_clashes_are_drawn_again(spark):
     assert all(re.fullmatch(r"[a-z]\d?@[a-z]\.co", s) for s in table.values())
 
 
+def test_shapes_that_run_out(spark):
+    """Values without letters or digits, every mail of a shape, and more names than drawn ones."""
+    masked = ["password: ********", "token = ______", "pwd=!@#$%^&*", "secret: ١٢٣٤٥٦", "_@-.co", "xoxb-----------"]
+    mails = [f"{a}@{b}.co" for a in pii.LATIN_LETTERS for b in pii.LATIN_LETTERS]
+    names = [f"Mr. N{a}{b}{c}" for a in pii.LATIN_LETTERS for b in pii.LATIN_LETTERS for c in "abcde"]
+    found = [*masked, *mails, *names]
+    table = {r.entity: r.surrogate for r in pii.surrogate_table(spark.createDataFrame([(e,) for e in found], "entity string"), "k").collect()}
+    assert set(table) == set(found)
+    assert len(set(table.values())) == len(found) and not set(table.values()) & set(found)
+    assert all(re.fullmatch(r"[a-z]{2,64}@[a-z]\.co", table[m]) for m in mails)
+    assert all(re.fullmatch(r"Mr\. [A-Z][a-z]+(-[A-Z][a-z]+)*", table[n]) for n in names)
+    assert re.fullmatch(r"password: \S{8,}", table[masked[0]]) and "!@#$%^&*" not in table[masked[2]] and "١" not in table[masked[3]]
+    docs = spark.createDataFrame([(1, "my password: ******** is masked")], "doc_id long, text string")
+    row = pii.pseudonymised(docs).first()
+    assert row._n_entities == 1 and re.fullmatch(r"my password: \S{8,} is masked", row.text) and "********" not in row.text
+
+
 def test_luhn(spark):
     for number, right in (("4041894974608795", True), ("4041894974608796", False), ("0000000000000", True)):
         assert spark.range(1).select(pii.luhn_valid(F.lit(number))).first()[0] == right

@@ -158,13 +158,16 @@ def _judged(
     table = staged(rows.withColumn("_base_failed", base_failed(m)), "quality")
     entropy = F.col(f"{m}.piece_entropy") / F.log2(F.col(f"{m}.n_pieces") + 1)
     ratio = F.col(f"{m}.word_chars") / F.col(f"{m}.n_pieces")
-    passed = table.where(~F.col("_base_failed")).select("_lang", "_script", f"{m}.n_pieces", ratio.alias("r"), entropy.alias("e"))
+    bytes_ = F.col(f"{m}.byte_pieces") / F.col(f"{m}.n_pieces")
+    passed = table.where(~F.col("_base_failed")).select(
+        "_lang", "_script", f"{m}.n_pieces", ratio.alias("r"), entropy.alias("e"), bytes_.alias("b")
+    )
 
     def bands(key: str) -> DataFrame:
         # Stored, so that its true size decides how the rows of a frequent language meet it.
         middle = staged(
             passed.where(F.col(key).isNotNull()).groupBy(key).agg(
-                F.percentile_approx("r", 0.5, 10_000).alias("r0"), F.percentile_approx("e", 0.5, 10_000).alias("e0"), F.count("*").alias("n")
+                *(F.percentile_approx(c, 0.5, 10_000).alias(f"{c}0") for c in "reb"), F.count("*").alias("n")
             ),
             f"medians{key}",
         )
@@ -174,10 +177,11 @@ def _judged(
             .agg(
                 F.percentile_approx(F.abs(F.col("r") - F.col("r0")) * F.sqrt("n_pieces"), 0.5, 10_000).alias("rd"),
                 F.percentile_approx(F.abs(F.col("e") - F.col("e0")), 0.5, 10_000).alias("ed"),
+                F.percentile_approx(F.abs(F.col("b") - F.col("b0")), 0.5, 10_000).alias("bd"),
             )
         )
         floor = lambda d, v: F.greatest(F.col(d), 0.02 * F.col(v))
-        band = F.struct("r0", floor("rd", "r0").alias("rd"), "e0", floor("ed", "e0").alias("ed"))
+        band = F.struct("r0", floor("rd", "r0").alias("rd"), "e0", floor("ed", "e0").alias("ed"), "b0", "bd")
         return middle.join(off, key).select(key, "n", band.alias(f"{key}_band"))
 
     langs = staged(bands("_lang").where(F.col("n") >= least_docs).drop("n"), "bands-lang")
@@ -187,7 +191,7 @@ def _judged(
     usual = (
         (F.abs(ratio - band["r0"]) * F.sqrt(f"{m}.n_pieces") <= width * band["rd"])
         & (F.abs(entropy - band["e0"]) <= width * band["ed"])
-        & (F.col(f"{m}.byte_pieces") <= max_byte_share * F.col(f"{m}.n_pieces"))
+        & (F.abs(bytes_ - band["b0"]) <= F.greatest(width * band["bd"], F.lit(max_byte_share)))
     )
     kept = ~F.col("_base_failed") & F.coalesce(usual, F.lit(True))
     return judged.select(*keep, m, "_base_failed", kept.alias("_kept"))
@@ -207,9 +211,9 @@ def quality_rules(docs: DataFrame, model_path: str, id_col: str = "doc_id", **se
 
     A text that passes the base rules is judged by three bands of its language (of its script
     where the language is null or has fewer than ``least_docs`` such texts): characters per
-    token and entropy must lie within ``width`` median deviations of the median, over all texts
-    that pass the base rules, and no more than ``max_byte_share`` of the tokens may
-    stand for single bytes.  Characters per token scatter less in longer texts, so their
+    token, entropy and the share of tokens that stand for single bytes must lie within ``width``
+    median deviations of the median, over all texts that pass the base rules; the byte share may
+    differ from it by ``max_byte_share`` in any case, so in a language free of such tokens that is the most.  Characters per token scatter less in longer texts, so their
     deviation counts times the root of the number of tokens; entropy grows with the length, so it is
     compared with the logarithm of the number of tokens.  A group whose texts are all alike has bands
     with a floor of 2 % of the median.  A null text counts as empty and fails the base

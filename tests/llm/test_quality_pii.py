@@ -70,6 +70,17 @@ def test_odd_fertility_is_rejected(spark):
     assert kept == {*range(60), 800, 801}
 
 
+def test_languages_spelled_in_bytes_are_kept(spark):
+    draw = random.Random(6)
+    words = "አማርኛ ቋንቋ ነው ሰላም ዓለም ውሃ ቤት ትልቅ ወንዝ ብርሃን ጊዜ ሰው ልጅ መንገድ".split()
+    prose = lambda: " ".join(draw.choice(words) for _ in range(300))
+    given = [(i, prose(), "am") for i in range(40)] + [(100 + i, prose(), None) for i in range(10)]
+    frame = spark.createDataFrame(given, "doc_id long, text string, lang string")
+    rows = quality.quality_rules(frame, MODEL).collect()
+    assert all(r.byte_pieces > 0.5 * r.n_pieces for r in rows)
+    assert all(r.kept for r in rows)
+
+
 TEXTS = {
     1: "mail Jo.doe+x@mail8.example.com, card 4041894974608795 not 4041894974608796",
     2: "call +1 (988) 555-2485 or (212) 555-0100 from 42.144.35.254.",

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -101,8 +103,36 @@ def base_statistics(text: str, numbers: np.ndarray) -> tuple[int, int, int, int,
     )
 
 
+@lru_cache(maxsize=1)
+def letter_scripts() -> tuple[np.ndarray, list[str]]:
+    """The number of each code point's script, 0 for all but letters, and the scripts' names.
+
+    A letter's script is the first word of its Unicode name, that of its plain form if it has one.
+    """
+    numbers, table = {"none": 0}, np.zeros(sys.maxunicode + 1, np.uint8)
+    for code in range(len(table)):
+        if unicodedata.category(chr(code))[0] == "L":
+            script = unicodedata.name(unicodedata.normalize("NFKC", chr(code))[0], "none").split()[0].lower()
+            script = {"cjk": "han", "hiragana": "kana", "katakana": "kana"}.get(script, script)
+            table[code] = numbers.setdefault(script, len(numbers))
+    return table, list(numbers)
+
+
+def script_of(text: str) -> str:
+    """The script of most letters of the whole text, "none" without letters.  Han and kana count
+    together, as Japanese mixes them: "kana" if a tenth of both is kana, else "han"."""
+    table, names = letter_scripts()
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    counts = np.bincount(table[codes], minlength=len(names))
+    counts[0] = 0
+    han, kana = names.index("han"), names.index("kana")
+    both, of_kana = counts[han] + counts[kana], counts[kana]
+    counts[han], counts[kana] = (0, both) if 10 * of_kana >= both else (both, 0)
+    return names[int(counts.argmax())]
+
+
 def measured(docs: DataFrame, model_path: str, text_col: str, keep: list[str], name: str = "_measured") -> DataFrame:
-    """The ``keep`` columns of ``docs`` with a struct of word statistics and fertility of the whole text."""
+    """The ``keep`` columns of ``docs``, ``_script``, and a struct of word statistics and fertility of the whole text."""
     at = docs.columns.index(text_col)
     kept = [docs.columns.index(column) for column in keep]
     kinds = [pa.int64()] * 7 + [pa.float64()]
@@ -111,31 +141,23 @@ def measured(docs: DataFrame, model_path: str, text_col: str, keep: list[str], n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = fertility(model_path)
         for batch in batches:
-            rows = []
+            rows, scripts = [], []
             for part in slices([text or "" for text in batch.column(at).to_pylist()]):
                 numbers, starts = tool.number(part)
+                scripts += map(script_of, part)
                 for text, start, end in zip(part, starts.tolist(), starts[1:].tolist()):
                     own = numbers[start:end]
                     rows.append((*base_statistics(text, own), *tool.measure(own)))
             values = zip(*rows) if rows else [[]] * len(kinds)
             struct = pa.StructArray.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), struct], [*keep, name])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(scripts, pa.string()), struct], [*keep, "_script", name])
         tool.forget()
 
     inner = T.StructType([T.StructField(n, T.DoubleType() if pa.types.is_float64(k) else T.LongType()) for n, k in zip(names, kinds)])
-    schema = T.StructType([*(docs.schema[column] for column in keep), T.StructField(name, inner)])
+    schema = T.StructType([*(docs.schema[column] for column in keep), T.StructField("_script", T.StringType()), T.StructField(name, inner)])
     return docs.mapInArrow(run, schema)
 
 
-SCRIPTS = {"latin": r"[A-Za-zÀ-ɏ]", "cyrillic": r"[Ѐ-ӿ]", "greek": r"[Ͱ-Ͽ]", "arabic": r"[؀-ۿ]", "han": r"[぀-ヿ㐀-鿿]", "hangul": r"[가-힯]"}
-
-
-def script_of(text: Column) -> Column:
-    """The first script of the list that has a letter in the text; "other" if none."""
-    found = [F.when(text.rlike(pattern), F.lit(script)) for script, pattern in SCRIPTS.items()]
-    return F.coalesce(*found, F.lit("other"))
-
-
 def base_failed(m: str) -> Column:
     return (F.col(f"{m}.n_words") < 50) | (100 * F.col(f"{m}.n_repeat_words") > 50 * F.col(f"{m}.n_words"))
 
@@ -153,8 +175,7 @@ def _judged(
     m = "_measured"
     keep = docs.columns if keep is None else keep
     lang = F.lower(F.col(lang_col)) if lang_col else F.lit(None).cast("string")
-    grouped = docs.select("*", lang.alias("_lang"), script_of(F.coalesce(F.col(text_col), F.lit(""))).alias("_script"))
-    rows = measured(grouped, model_path, text_col, [*keep, "_lang", "_script"], m)
+    rows = measured(docs.select("*", lang.alias("_lang")), model_path, text_col, [*keep, "_lang"], m)
     table = staged(rows.withColumn("_base_failed", base_failed(m)), "quality")
     entropy = F.col(f"{m}.piece_entropy") / F.log2(F.col(f"{m}.n_pieces") + 1)
     ratio = F.col(f"{m}.word_chars") / F.col(f"{m}.n_pieces")

@@ -81,6 +81,28 @@ def test_languages_spelled_in_bytes_are_kept(spark):
     assert all(r.kept for r in rows)
 
 
+def test_main_script_of_a_text():
+    texts = {
+        "none": "12 -", "latin": "Hello мир", "cyrillic": "Это длинный русский текст на www.example.org", "han": "这是一个很长很长的中文句子，重量五 kg", "kana": "漢字とかなの文 km",
+        "arabic": "هذا نص عربي طويل kg", "devanagari": "यह हिन्दी का वाक्य है km", "thai": "ภาษาไทยเป็นภาษา kg", "hebrew": "זה משפט בעברית kg", "georgian": "ქართული ენა km",
+        "ethiopic": "አማርኛ ቋንቋ ነው km", "hangul": "한국어 문장입니다 kg", "greek": "ελληνικά µ km",
+    }
+    assert {script: quality.script_of(text) for script, text in texts.items()} == {script: script for script in texts}
+
+
+def test_a_latin_letter_leaves_the_script(spark):
+    """Texts of no language, judged with those of their own script, whatever else they name."""
+    draw = random.Random(5)
+    words = "the and of people water time house light river under never small great letter morning".split()
+    prose = lambda: " ".join(draw.choice(words) + draw.choice(["", "s", "ly"]) for _ in range(300))
+    common = "的一是不了人我在有他这中大来上国个到说们"
+    han = lambda: " ".join("".join(draw.choice(common) for _ in range(6)) for _ in range(200)) + " kg"
+    given = [(i, prose(), None) for i in range(60)] + [(100 + i, han(), None) for i in range(20)]
+    frame = spark.createDataFrame(given, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in quality.quality_rules(frame, MODEL).where("kept").collect()}
+    assert kept >= {*range(100, 120)}
+
+
 TEXTS = {
     1: "mail Jo.doe+x@mail8.example.com, card 4041894974608795 not 4041894974608796",
     2: "call +1 (988) 555-2485 or (212) 555-0100 from 42.144.35.254.",

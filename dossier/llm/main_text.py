@@ -58,16 +58,17 @@ GOOD, BAD, NEAR, SHORT = "good", "bad", "near", "short"
 
 
 class Block:
-    __slots__ = ("text", "links", "area", "heading", "label", "group")
+    __slots__ = ("text", "links", "area", "heading", "label", "group", "form", "core")
 
-    def __init__(self, text: str, links: int, area: str, heading: bool, group: int) -> None:
+    def __init__(self, text: str, links: int, area: str, heading: bool, group: int, form: int = 0) -> None:
         self.text, self.links, self.area, self.heading, self.group = text, links, area, heading, group
-        self.label = ""
+        self.label, self.form = "", form
+        self.core = area in ("main", "outer", "title")
 
 
 def _area(name: str, attributes: str, inside: str) -> str:
-    """The kind of area that an element opens: bad, comments, main, title (the head of
-    an article), or what surrounds it."""
+    """The kind of area that an element opens: bad, comments, main, boxed (an article in a
+    bad box), title (the head of an article), or what surrounds it."""
     marked = ""
     if attributes.strip():
         for key, *values in ATTRIBUTE.findall(attributes):
@@ -91,17 +92,22 @@ def _area(name: str, attributes: str, inside: str) -> str:
         return "title" if inside == "main" else "bad"
     if marked:
         return marked
+    if name == "article" and inside == "bad":
+        return "boxed"
     if name in ("article", "main") and inside in ("", "bad", "main", "outer"):
         return "main" if name == "article" else "outer"
     return inside
 
 
-def blocks_of(html: str) -> list[Block]:
-    """Blocks of a page in order, with white space tidied and references decoded."""
+def blocks_of(html: str, plain_form: int = 0) -> list[Block]:
+    """Blocks of a page in order, with white space tidied and references decoded.
+
+    The form of number ``plain_form`` is an element like any other: one that holds most of
+    the page's text."""
     out: list[Block] = []
     stack: list[tuple[str, str]] = []
     buffer: list[str] = []
-    links = group = depth_a = 0
+    links = group = depth_a = depth_form = forms = form = 0
     heading = False
 
     def flush() -> None:
@@ -109,17 +115,19 @@ def blocks_of(html: str) -> list[Block]:
         if buffer:
             text = " ".join(unescape("".join(buffer)).split())
             if text:
-                out.append(Block(text, links, stack[-1][1] if stack else "", heading, group))
+                out.append(Block(text, links, stack[-1][1] if stack else "", heading, group, form))
         buffer, links = [], 0
 
     def close(name: str) -> bool:
         """Close the innermost open ``name``, not through a section that holds it."""
-        nonlocal depth_a, group
+        nonlocal depth_a, group, depth_form, form
         for at in range(len(stack) - 1, -1, -1):
             if stack[at][0] == name:
                 for gone, area in stack[at:]:
                     depth_a -= gone == "a"
                     group += gone == "article"
+                    depth_form -= gone == "form"
+                form = form if depth_form else 0
                 del stack[at:]
                 return True
             if stack[at][0] in SECTIONS and name not in SECTIONS:
@@ -171,7 +179,12 @@ def blocks_of(html: str) -> list[Block]:
             continue
         group += name == "article"
         attributes = token["attributes"] or ""
-        stack.append((name, _area(name, attributes, stack[-1][1] if stack else "")))
+        inside = stack[-1][1] if stack else ""
+        if name == "form":
+            forms += 1
+            form = form or forms
+            depth_form += 1
+        stack.append((name, inside if name == "form" and forms == plain_form else _area(name, attributes, inside)))
         depth_a += name == "a"
     if end < len(html):
         tail = html[end:]
@@ -179,21 +192,53 @@ def blocks_of(html: str) -> list[Block]:
         if depth_a > 0:
             links += len(tail)
     flush()
+    sizes: dict[int, int] = {}
+    for block in out:
+        if block.area != "hidden":
+            sizes[block.form] = sizes.get(block.form, 0) + len(block.text)
+    largest = max(sizes, key=sizes.__getitem__, default=0)
+    if largest and not plain_form and 2 * sizes[largest] > sum(sizes.values()):
+        return blocks_of(html, largest)
     return out
 
 
+def _measures(block: Block) -> tuple[int, float, float]:
+    """Length, link density and stop-word density."""
+    size = len(block.text)
+    words = [w.strip("\"'.,;:!?()[]{}#*$%&|<>-–—«»“”„…").lower() for w in block.text.split()]
+    return size, min(block.links / size, 1.0), sum(w in STOP_WORDS for w in words) / len(words)
+
+
+def _container(blocks: list[Block], measures: list[tuple[int, float, float]]) -> str:
+    """The innermost of article, main and page that holds most of the good text."""
+    good = dict.fromkeys(("main", "outer", "", "boxed"), 0)
+    for block, (size, density, stops) in zip(blocks, measures):
+        if block.area in good and size > 140 and density <= 0.33 and stops >= 0.3:
+            good[block.area] += size
+    article, main, page = good["main"], good["outer"], good[""]
+    if good["boxed"] and not (article or main or page):
+        for block in blocks:
+            if block.area == "boxed":
+                block.area = "main"
+        return "main"
+    areas = {b.area for b in blocks}
+    if "main" in areas and 2 * article >= article + main + page:
+        return "main"
+    return "outer" if "outer" in areas and article + main >= page else ""
+
+
 def first_labels(blocks: list[Block]) -> None:
     """Pass one: what a block's own measures decide."""
-    areas = {b.area for b in blocks}
-    inner = "main" if "main" in areas else "outer" if "outer" in areas else ""
-    for block in blocks:
-        size = len(block.text)
-        density = min(block.links / size, 1.0)
-        words = [w.strip("\"'.,;:!?()[]{}#*$%&|<>-–—«»“”„…").lower() for w in block.text.split()]
-        stops = sum(w in STOP_WORDS for w in words) / len(words)
-        if block.area == "title" and inner:
+    measures = [_measures(block) for block in blocks]
+    chosen = _container(blocks, measures)
+    # Text of <main> beside its articles, and articles beside more text, count by their own measures.
+    beside = {"main": ("outer",), "outer": ("main",), "": ("main", "outer")}[chosen]
+    for block, (size, density, stops) in zip(blocks, measures):
+        inner = chosen if block.area == chosen else ""
+        block.core = bool(inner) or (block.area == "title" and chosen == "main")
+        if block.area == "title":
             block.label = SHORT if block.heading else BAD
-        elif block.area != inner or (inner == "" and block.area):
+        elif block.area != chosen and block.area not in beside:
             block.label = BAD
         elif density > 0.5 or (density > 0.33 and not inner) or ("©" in block.text and size < 200 and not inner):
             block.label = BAD
@@ -222,8 +267,7 @@ def final_labels(blocks: list[Block]) -> list[bool]:
         if decided[at]:
             out.append(block.label == GOOD)
             continue
-        main = block.area in ("main", "outer", "title")
-        edge = main
+        main = edge = block.core
         before, after = at - 1, at + 1
         while before >= 0 and not decided[before] and blocks[before].group == block.group:
             before -= 1

@@ -44,6 +44,21 @@ def test_main_text(html, text):
     assert text is None or found == text
 
 
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        (f"<main><div><p>{LONG}</p><p>1 {LONG}</p></div><div class=related><article><p>2 {LONG}</p></article></div></main>", f"{LONG}\n\n1 {LONG}"),
+        (f"<main><p>1 {LONG}</p><article><p>{LONG}</p><p>2 {LONG}</p></article><p>Share</p></main>", f"1 {LONG}\n\n{LONG}\n\n2 {LONG}"),
+        (f"<div><p>1 {LONG}</p><p>2 {LONG}</p></div><article>Teaser</article>", f"1 {LONG}\n\n2 {LONG}"),
+        (f"<body><form id=f><nav>menu</nav><div><p>{LONG}</p></div></form>", LONG),
+        (f"<body><form><article><p>{LONG}</p></article></form>", LONG),
+        (f"<div class=widget><article><p>{LONG}</p></article></div>", LONG),
+    ],
+)
+def test_areas_are_evidence(html, text):
+    assert main_text.main_text(html) == text
+
+
 def test_undecided_blocks_follow_their_neighbours():
     make = lambda label: main_text.Block("x", 0, "", False, 0)
     blocks = []

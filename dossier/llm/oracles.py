@@ -89,4 +89,36 @@ degree AS (SELECT a AS r, count(*) AS n FROM links GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept
 FROM v JOIN least USING (r) LEFT JOIN degree USING (r)"""
 
-ORACLES = {"op3_url_templates": URL_TEMPLATES, "op5_warc": WARC, "op8_embeddings": EMBEDDINGS}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+STREAM_DEDUP = f"""
+WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
+g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY t)
+SELECT doc_id, keep_id, group_size, coalesce(doc_id = keep_id, false) AS kept, sha256(t) AS text_sha256 FROM t JOIN g USING (t)"""
+
+_hex = "strpos('0123456789ABCDEF', substr(h, 2 * i + {at}, 1)) - 1"
+# Two words are one edit apart if one is the other less a character, or both are the same less a character at the same place.
+SPELLING = f"""
+WITH RECURSIVE crc_table AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, b: xor(c >> 1, (c & 1) * 3988292384)) ORDER BY i) AS tbl
+   FROM (SELECT unnest(range(0, 256)) AS i)),
+runs AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(
+   translate(text, '{UPPER}', '{LOWER}'), '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents) GROUP BY ALL),
+hexed AS (SELECT run, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS h FROM runs WHERE length(run) >= 6),
+summed AS (SELECT run, n, xor(list_reduce([4294967295] || list_transform(range(0, length(h) // 2), lambda i: ({_hex.format(at=1)}) * 16 + {_hex.format(at=2)}),
+   lambda c, b: xor(c >> 8, tbl[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM hexed, crc_table),
+named AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM summed),
+words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM named WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+less AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM words, range(1, 200) AS r(i) WHERE i <= length(word)),
+near AS MATERIALIZED (SELECT DISTINCT * FROM (
+   SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+   UNION ALL SELECT a.word, a.n, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+   UNION ALL SELECT b.word, b.n, a.word, a.n FROM less a JOIN words b ON a.rest = b.word)),
+best AS (SELECT word, n, count(*) AS n_near, max(other_n) AS top FROM near GROUP BY ALL),
+formed AS MATERIALIZED (SELECT b.word, b.n_near, CASE WHEN top >= 5 * b.n THEN min(other) END AS form, CASE WHEN top >= 5 * b.n THEN top END AS form_n
+   FROM best b JOIN near x ON x.word = b.word AND x.other_n = b.top GROUP BY b.word, b.n, b.n_near, top),
+walk AS (SELECT word, form AS stop FROM formed WHERE form IS NOT NULL
+   UNION ALL SELECT walk.word, formed.form FROM walk JOIN formed ON formed.word = walk.stop WHERE formed.form IS NOT NULL),
+ends AS (SELECT walk.word, stop FROM walk LEFT JOIN formed ON formed.word = walk.stop WHERE formed.form IS NULL)
+SELECT word, form, coalesce(stop, word) AS root, n, coalesce(n_near, 0) AS n_near, form_n FROM words LEFT JOIN formed USING (word) LEFT JOIN ends USING (word)"""
+
+ORACLES = {"op12_stream_dedup": STREAM_DEDUP, "op13_spelling": SPELLING, "op3_url_templates": URL_TEMPLATES, "op5_warc": WARC, "op8_embeddings": EMBEDDINGS}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import bpe, embeddings, main_text, minhash, packing, pii, quality, token_files, url_templates, warc
+from dossier.llm import bpe, embeddings, main_text, minhash, packing, pii, quality, spelling, stream_dedup, token_files, url_templates, warc, whitening
 from dossier.llm.oracles import ORACLES, RULES
 from dossier.llm.shipping import ship
 from dossier.sinks.stage import new_folder
@@ -92,3 +92,21 @@ def op6_token_files(spark, sf_dir):
 def op9_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return quality.quality_rules(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op11_whitening(spark, sf_dir):
+    """``deviation`` as a long; null where it does not fit."""
+    found = whitening.whitened(table(spark, sf_dir, "embeddings"), keep=8)
+    return found.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
+@query
+def op12_stream_dedup(spark, sf_dir):
+    return stream_dedup.deduplicated(spark, f"{sf_dir}/documents.parquet", new_folder(spark, "stream-dedup"))
+
+
+@query
+def op13_spelling(spark, sf_dir):
+    words = spelling.counted_words(table(spark, sf_dir, "documents"), least_length=6, least_count=5, slips=199)
+    return spelling.variants(words, ratio=5)

@@ -26,7 +26,7 @@ def test_query(spark, sf_dir, name):
 
 def test_there_is_one_query_of_each_operator():
     numbers = [int(n[2:].split("_")[0]) for n in queries.QUERIES]
-    assert sorted(numbers) == list(range(1, 11))
+    assert sorted(numbers) == list(range(1, 14))
 
 
 def test_pipeline_stages(spark, sf_dir):

@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,11 +28,15 @@ from dossier.llm.stages import staged
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEEN = "doc_id long, file string, place long, digest binary"
 
-# Settings of the state: RocksDB keeps it on the executors' disks and its changes in the checkpoint folder.
+# Settings of the state: RocksDB keeps it on the executors' disks and its changes in the checkpoint folder; a store is
+# closed after its task, so an executor's disk and memory hold the stores in use and not all of them.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
+# Hits whose texts are read at once: their locators are broadcast, some 60 MB at most.
+HITS = 400_000
 
 
 @contextmanager
@@ -143,20 +148,49 @@ class StreamDedup:
         are written down, with a class per text."""
         hit = self._stored().where((F.col("batch") > before) & (F.col("n") > 1)).select("key").distinct()
         rows = staged(self.seen().withColumn("key", self.key).join(hit, "key").select("key", "file", "place"), "hits")
-        contents = _located(self.spark.read.parquet(self.source), self.id_col, self.text_col)
-        normal = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER).alias("text")
-        texts = contents.join(rows, ["file", "place"]).select("key", normal, "doc_id", "file", "place")
-        # One row per task and text passes on: whole texts are the grouping key, so equal groups are equal bytes.
-        kinds = texts.groupBy("key", "text").agg(F.count("*").alias("n"))
+        kinds = self._texts(rows)
         mixed = staged(kinds.groupBy("key").agg(F.count("*").alias("kinds")).where(F.col("kinds") > 1).select("key"), "mixed-digests")
         if not mixed.head(1):
             return
-        own = texts.join(mixed, "key")
-        keep = F.max(F.struct("doc_id", "file", "place")).alias("keep")
-        each = own.groupBy("key", "text").agg(keep, F.count("*").alias("n"))
-        split = own.select("key", "text", "file", "place").join(each, ["key", "text"]).drop("text")
+        # The few digests of several texts are gone through once more, row by row.
+        own = staged(rows.join(mixed, "key"), "mixed-rows")
+        each = self._texts(own).select("key", "text", "keep", "n")
+        split = self._contents(own).select("key", "text", "file", "place").join(each, ["key", "text"]).drop("text")
         split.withColumn("run", F.lit(before)).write.mode("overwrite").parquet(f"{self.work}/split/at={before + 1}")
 
+    def _contents(self, rows: DataFrame) -> DataFrame:
+        """(key, text normalised, doc_id, file, place): the contents that the locators of ``rows`` name."""
+        contents = _located(self.spark.read.parquet(self.source), self.id_col, self.text_col)
+        normal = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER).alias("text")
+        return contents.join(rows, ["file", "place"]).select("key", normal, "doc_id", "file", "place")
+
+    def _texts(self, rows: DataFrame) -> DataFrame:
+        """(key, text, keep, n): the different texts of each key, told apart by all their bytes.
+
+        Source files are taken in parts of at most ``HITS`` hits, so only the files of hits are read, each once, and only texts of hits
+        are moved: the locators of a part go to the files.  A file with more hits than that is joined as Spark sees fit.
+        A text is the grouping key and is combined per task, so one that many rows share moves once per task."""
+        counted = rows.groupBy("file").count().orderBy("file").collect()  # one row per source file
+        parts: list[tuple[list, int]] = []
+        for row in counted:
+            if parts and parts[-1][1] + row["count"] <= HITS:
+                parts[-1] = (parts[-1][0] + [row["file"]], parts[-1][1] + row["count"])
+            else:
+                parts.append(([row["file"]], row["count"]))
+        keep = F.max(F.struct("doc_id", "file", "place")).alias("keep")
+        found = []
+        for files, hits in parts:
+            near = rows.where(F.col("file").isin(files)) if len(parts) > 1 else rows
+            texts = self._contents(F.broadcast(near) if hits <= HITS else near)
+            if len(parts) > 1:
+                texts = texts.where(F.col("file").isin(files))
+            found.append(texts.groupBy("key", "text").agg(keep, F.count("*").alias("n")))
+        if len(found) == 1:
+            return found[0]
+        shape = "key binary, text string, keep struct<doc_id:long,file:string,place:long>, n long"
+        stored = [staged(part, "hit-texts") for part in found] or [self.spark.createDataFrame([], shape)]
+        return reduce(DataFrame.unionByName, stored).groupBy("key", "text").agg(F.max("keep").alias("keep"), F.sum("n").alias("n"))
+
     def _split(self) -> DataFrame:
         """(file, place, keep, n) of rows whose digest has several texts; the last check of a row counts."""
         shape = "key binary, file string, place long, keep struct<doc_id:long,file:string,place:long>, n long, run int, at int"

@@ -212,8 +212,9 @@ def random_rows(seed, size):
 
 
 @pytest.mark.parametrize("digest_bytes", [1, 32])
-def test_stream_goes_on_with_new_files(spark, digest_bytes):
-    """With keys of one byte most classes share a key; full texts tell them apart."""
+def test_stream_goes_on_with_new_files(spark, monkeypatch, digest_bytes):
+    """With keys of one byte most classes share a key; full texts tell them apart, read here in several parts."""
+    monkeypatch.setattr(stream_dedup, "HITS", 60)
     source, work = (os.path.join(tempfile.mkdtemp(prefix="dedup-"), "t") for _ in range(2))
     rows = random_rows(1, 150)
     write(spark, source, rows)

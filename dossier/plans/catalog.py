@@ -25,8 +25,10 @@ from dossier.plans.research import ResearchRun, choose_agents, plan_queries
 from dossier.settings import DEFAULTS
 from dossier.sinks import outputs
 from dossier.sinks.stage import new_folder, stage
-from dossier.sources.tables import read_txt_findings, spread, stream_deltas
+from dossier.sources.tables import read_findings, read_txt_findings, spread, stream_deltas
 from dossier.streaming.deltas import stream_report_messages
+from dossier.streaming.runs import ResearchStream
+from dossier.streaming.state import disk_state
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -433,21 +435,31 @@ def report_messages(spark, sf_dir):
     return reporting.report_messages(given.deltas(spark, sf_dir))
 
 
+def _sent(spark: SparkSession, source: str, files_per_trigger: int) -> DataFrame:
+    """Messages of the delta files in ``source``, streamed to their end."""
+    out, state = new_folder(spark, "messages"), new_folder(spark, "stream-state")
+    sent = stream_report_messages(stream_deltas(spark, source, files_per_trigger))
+    writer = sent.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+    with disk_state(spark):
+        writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(sent.schema).parquet(out)
+
+
 @query
 def report_messages_stream(spark, sf_dir):
     """The same messages from a stream of delta files, run to its end."""
-    source, out, state = (new_folder(spark, n) for n in ("deltas", "messages", "stream-state"))
+    source = new_folder(spark, "deltas")
     given.deltas(spark, sf_dir).write.parquet(source)
-    sent = stream_report_messages(stream_deltas(spark, source))
-    (
-        sent.writeStream.format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", state)
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
-    )
-    return spark.read.schema(sent.schema).parquet(out)
+    return _sent(spark, source, 1000)
+
+
+@query
+def report_messages_replayed(spark, sf_dir):
+    """The same again where all deltas are delivered once more, after all runs have ended."""
+    source = new_folder(spark, "deltas")
+    for _ in range(2):
+        given.deltas(spark, sf_dir).coalesce(1).write.mode("append").parquet(source)
+    return _sent(spark, source, 1)
 
 
 @query
@@ -482,6 +494,55 @@ def full_run(spark, sf_dir):
     return settled.select("run_id", "agent", "accepted", "error").join(written, "run_id", "left")
 
 
+@query
+def run_stream(spark, sf_dir):
+    """The same from a stream of message files: each batch goes through to its reports and is committed as one."""
+    source, out = new_folder(spark, "messages"), new_folder(spark, "run-stream")
+    messages = given.start_messages(spark, sf_dir).select(F.concat_ws("-", "conv_id", "turn").alias("run_id"), "message")
+    messages.repartition(2, "run_id").write.parquet(source)
+    crawled = given.table(spark, sf_dir, "pages")
+    texts = stage(pages.page_text(spread(crawled, "page_id", TASKS)), "all-text")
+    index = new_folder(spark, "index")
+    search.store_index(texts.select(F.col("page_id").alias("doc_key"), "text"), index)
+    runs = ResearchStream(
+        spark,
+        crawled,
+        infer.extractive_completer(),
+        new_folder(spark, "store"),
+        out,
+        texts=texts,
+        index=search.read_index(spark, index),
+        partitions=TASKS,
+    )
+    stream = spark.readStream.schema("run_id string, message string").option("maxFilesPerTrigger", 1).parquet(source)
+    runs.start(stream, new_folder(spark, "stream-state")).awaitTermination()
+    written = runs.results.read("reports").select("run_id", "report_type", "report", "path")
+    return runs.results.read("requests").select("run_id", "agent", "accepted", "error").join(written, "run_id", "left")
+
+
+@query
+def findings_overwrite(spark, sf_dir):
+    """Query results stored by run; the runs of a second write replace their old rows, others stay."""
+    folder = new_folder(spark, "findings")
+    found = _research(spark, sf_dir).query_findings
+    outputs.write_findings(found, folder)
+    again = found.where(F.col("run_id") % 2 == 1).withColumn("result", F.concat(F.lit("again: "), "result"))
+    outputs.write_findings(again.where(F.col("query_idx") > 0), folder)
+    return read_findings(spark, folder)
+
+
+@query
+def run_log_stored(spark, sf_dir):
+    """The run log as stored by a stream, started a second time over the same input."""
+    source, out, state = (new_folder(spark, n) for n in ("log-lines", "log", "stream-state"))
+    _research(spark, sf_dir).log(given.run_times(spark, sf_dir)).write.parquet(source)
+    lines = spark.read.parquet(source)
+    for _ in range(2):
+        stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 8).parquet(source)
+        outputs.stream_run_log(stream, out, state).awaitTermination()
+    return outputs.read_run_log(spark, out)
+
+
 @query
 def run_duration(spark, sf_dir):
     return runlog.run_duration(given.run_times(spark, sf_dir))

@@ -362,6 +362,11 @@ grouped AS (SELECT *, coalesce(sum(CASE WHEN contains(delta, {NL}) THEN 1 ELSE 0
 SELECT run_id, CAST(g AS BIGINT) AS msg_no, string_agg(delta, '' ORDER BY seq) AS output FROM grouped GROUP BY run_id, g
 HAVING contains(string_agg(delta, '' ORDER BY seq), {NL})"""
 
+_full_run = f"""WITH RECURSIVE {reports_of(CONVERSATION_TASKS)}
+SELECT s.run_id, s.agent, s.error IS NULL AS accepted, s.error, r.report_type, r.report, replace(url_encode({fill(fixed.REPORT_FILE, directory='s.run_id', report_type='r.report_type')}), '%2F', '/') AS path
+FROM settled s LEFT JOIN reports r USING (run_id)"""
+
+
 ORACLES: dict[str, str] = {
     "request_ingest": f"WITH {MESSAGES} SELECT * FROM ingested",
     "request_validate": f"WITH {MESSAGES} SELECT conv_id, turn, error IS NULL AS accepted, error FROM checked",
@@ -431,12 +436,15 @@ SELECT run_id, url, query_idx, status, coalesce(c, 0) AS n_chunks, coalesce(n, 0
     "report_path": f"SELECT doc_id, replace(url_encode({fill(fixed.REPORT_FILE, directory='source', report_type='text')}), '%2F', '/') AS path FROM documents",
     "report_messages": _messages,
     "report_messages_stream": _messages,
+    "report_messages_replayed": _messages,
+    "findings_overwrite": f"""WITH RECURSIVE {RESEARCH} SELECT run_id, query_idx, result FROM results WHERE run_id % 2 = 0
+UNION ALL SELECT run_id, query_idx, 'again: ' || result FROM results WHERE run_id % 2 = 1 AND query_idx > 0""",
+    "run_log_stored": _log(),
     "report_text": f"WITH {DELTAS} SELECT run_id, string_agg(delta, '' ORDER BY seq) AS report FROM deltas WHERE delta IS NOT NULL GROUP BY run_id",
     "run_log": _log(),
     "concept_log": f"""SELECT doc_id, {fill(fixed.LOG_CONCEPTS, reply="CASE WHEN lang = 'en' THEN to_json(string_split(text, chr(10)))::VARCHAR ELSE text END")} AS output FROM documents""",
-    "full_run": f"""WITH RECURSIVE {reports_of(CONVERSATION_TASKS)}
-SELECT s.run_id, s.agent, s.error IS NULL AS accepted, s.error, r.report_type, r.report, replace(url_encode({fill(fixed.REPORT_FILE, directory='s.run_id', report_type='r.report_type')}), '%2F', '/') AS path
-FROM settled s LEFT JOIN reports r USING (run_id)""",
+    "full_run": _full_run,
+    "run_stream": _full_run,
     "run_duration": f"""WITH d AS (SELECT user_id AS run_id, date_diff('microsecond', min(ts), max(ts)) AS micros FROM events GROUP BY user_id)
 SELECT run_id, micros, {fill(fixed.LOG_RUN_TIME, duration=duration('micros'))} AS output FROM d""",
     "memory_records": f"""WITH RECURSIVE {summaries()}

@@ -59,17 +59,43 @@ def report_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("run_id", "report_type", path.alias("path"), F.col("path").alias("stored"))
 
 
+# A run's log lies in one part of the stored log, whatever number of batches wrote it.
+LOG_PARTS = 64
+
+
+def _log_part(run_id: Column) -> Column:
+    return F.pmod(F.xxhash64(run_id.cast("string")), F.lit(LOG_PARTS)).cast("int").alias("part")
+
+
+def _clustered(log: DataFrame) -> DataFrame:
+    """Rows of a part come from one task, so a write adds one file a part and not one a task and part."""
+    return log.withColumn("part", _log_part(F.col("run_id"))).repartition(LOG_PARTS, "part")
+
+
 def append_run_log(log: DataFrame, path: str) -> None:
-    log.write.mode("append").parquet(path)
+    _clustered(log).write.mode("append").partitionBy("part").parquet(path)
 
 
 def stream_run_log(log: DataFrame, path: str, checkpoint: str):
-    """Append a streaming run log; returns the started query."""
+    """Append a streaming run log; returns the started query.
+
+    The sink's own log names the files of each batch, so a batch that is written again is read once."""
     return (
-        log.writeStream.outputMode("append")
+        _clustered(log)
+        .writeStream.outputMode("append")
         .format("parquet")
         .option("path", path)
+        .partitionBy("part")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+
+
+def read_run_log(spark: SparkSession, path: str, run_id: str | int | None = None) -> DataFrame:
+    """The stored log, or that of one run, which is read from its own part."""
+    log = spark.read.parquet(path)
+    if run_id is not None:
+        part = spark.range(1).select(_log_part(F.lit(str(run_id)))).head()[0]
+        log = log.where((F.col("part") == part) & (F.col("run_id").cast("string") == str(run_id)))
+    return log.drop("part")

@@ -40,6 +40,14 @@ def stream_deltas(spark: SparkSession, path: str, files_per_trigger: int = 1000)
     )
 
 
+def read_findings(spark: SparkSession, path: str, run_type: str = "bigint") -> DataFrame:
+    """(run_id, query_idx, result) as ``sinks.outputs.write_findings`` stored them; ``run_id`` is a folder's
+    name there, so its type is given."""
+    return spark.read.schema(f"query_idx bigint, result string, run_id {run_type}").parquet(path).select(
+        "run_id", "query_idx", "result"
+    )
+
+
 def read_txt_findings(
     spark: SparkSession, folders: str, run_pattern: str = r"([^/]+)/[^/]*$", terminated: bool = False
 ) -> DataFrame:

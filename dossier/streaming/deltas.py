@@ -1,75 +1,113 @@
-"""Report deltas as a stream: paragraph messages from a per-run buffer."""
+"""Report deltas as a stream: paragraph messages from a state per run."""
 
 from __future__ import annotations
 
-import json
 import sys
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, Row
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-# The functions below travel with the job, so executors need no copy of this package.
+# The processor below travels with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 OUTPUT = "run_id string, msg_no bigint, output string"
-STATE = "buffer string, msg_no bigint, next_seq bigint, held string"
 
 
-def _flush(idle_ms: int | None):
-    def flush(
-        key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+class Paragraphs(StatefulProcessor):
+    """Per run: where it stands, deltas that came early, and whether it is over.
+
+    ``early`` is a map by number, so a delta that waits is written once and not with every batch again.
+    ``over`` is what remains of an ended run; it expires, if at all, by its own time to live."""
+
+    def __init__(self, idle_ms: int | None, remember_ms: int | None) -> None:
+        self.idle_ms, self.remember_ms = idle_ms, remember_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.place = handle.getValueState("place", "buffer string, msg_no bigint, next_seq bigint, waiting bigint")
+        self.early = handle.getMapState("early", "seq bigint", "delta string, is_end boolean")
+        self.over = handle.getValueState("over", "broken boolean", self.remember_ms)
+
+    def _close(self, had_place: bool, waited: int, broken: bool) -> None:
+        if waited:
+            self.early.clear()
+        if had_place:
+            self.place.clear()
+        self.over.update((broken,))
+
+    def _wake(self, now: int) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(now + self.idle_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        stored = self.place.get() if self.place.exists() else None
+        if stored is None and self.over.exists():
+            for _ in rows:  # sent again, or sent after the run was given up
+                pass
             return
-        buffer, msg_no, next_seq, stored = state.get if state.exists else ("", 0, 0, "[]")
-        # Deltas by number: those that came before their turn, then the new ones.
-        held = {seq: (delta, is_end) for seq, delta, is_end in json.loads(stored)}
-        for frame in frames:
-            for seq, delta, is_end in zip(frame["seq"].tolist(), frame["delta"].tolist(), frame["is_end"].tolist()):
-                if seq >= next_seq:
-                    held.setdefault(seq, (delta, is_end))
-        pieces, sent, ended = [buffer], [], False
-        while next_seq in held and not ended:
-            delta, ended = held.pop(next_seq)
-            next_seq += 1
-            if delta is None:
-                continue
-            pieces.append(delta)
-            if "\n" in delta:
-                sent.append("".join(pieces))
-                pieces = []
+        buffer, msg_no, next_seq, waited = stored or ("", 0, 0, 0)
+        waiting, pieces, ended, held = waited, [buffer], False, {}
+        for row in rows:
+            if row.seq >= next_seq:
+                held.setdefault(row.seq, (row.delta, bool(row.is_end)))
+            while not ended:
+                if next_seq in held:
+                    delta, ended = held.pop(next_seq)
+                elif waiting and (kept := self.early.getValue((next_seq,))) is not None:
+                    delta, ended = kept
+                    self.early.removeKey((next_seq,))
+                    waiting -= 1
+                else:
+                    break
+                next_seq += 1
+                if delta is None:
+                    continue
+                pieces.append(delta)
+                if "\n" in delta:
+                    yield Row(run_id=key[0], msg_no=msg_no, output="".join(pieces))
+                    msg_no, pieces = msg_no + 1, []
         if ended:
             # The tail without a line break is not sent.
-            if state.exists:
-                state.remove()
-        else:
-            waiting = json.dumps([(seq, delta, bool(is_end)) for seq, (delta, is_end) in sorted(held.items())])
-            state.update(("".join(pieces), msg_no + len(sent), next_seq, waiting))
-            if idle_ms is not None:
-                state.setTimeoutDuration(idle_ms)
-        if sent:
-            numbers = list(range(msg_no, msg_no + len(sent)))
-            yield pd.DataFrame({"run_id": [key[0]] * len(sent), "msg_no": numbers, "output": sent})
+            self._close(stored is not None, waiting, False)
+            if self.idle_ms is not None:
+                for timer in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(timer)
+            return
+        for seq, value in held.items():
+            # Numbers passed meanwhile are repeats; of a number that waits already the first stays.
+            if seq >= next_seq and not (waited and self.early.containsKey((seq,))):
+                self.early.updateValue((seq,), value)
+                waiting += 1
+        self.place.update(("".join(pieces), msg_no, next_seq, waiting))
+        if self.idle_ms is not None:
+            self._wake(timerValues.getCurrentProcessingTimeInMs())
 
-    return flush
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if self.place.exists():
+            _, msg_no, _, waiting = self.place.get()
+            self._close(True, waiting, True)
+            yield Row(run_id=key[0], msg_no=msg_no, output=None)
 
 
-def stream_report_messages(deltas: DataFrame, idle_ms: int | None = None) -> DataFrame:
-    """Messages of a delta stream (run_id, seq, delta, is_end).
+def stream_report_messages(
+    deltas: DataFrame, idle_ms: int | None = None, remember_ms: int | None = None
+) -> DataFrame:
+    """Messages of a delta stream (run_id, seq, delta, is_end): run_id, msg_no, output.
 
     Deltas of a run are numbered from 0 and may arrive in any order and more than once: one
     that is early waits in the state for those before it.  A run's state is one unfinished
-    paragraph and what waits, and goes once all up to its end marker are in.  A stream
-    that never stops should give ``idle_ms``, so that runs that break off are dropped
-    too; a stream read with ``availableNow`` must not, as it would wait for them for ever.
+    paragraph and what waits.  Once all up to its end marker are in, one flag remains, so that deltas that
+    are delivered again send nothing; ``remember_ms`` bounds how long (None: for good).
+    A stream that never stops should give ``idle_ms`` too: a run without deltas for so long is given up.
+    One row with a null output and the number of the message that was due says so; its state goes, and what it sends later is ignored
+    like the deltas of an ended run.  A stream read with ``availableNow`` must give neither, as one that keeps time never ends.
+
+    Start it under :func:`dossier.streaming.state.disk_state`: the state needs a store on disk.
     """
-    timeout = (
-        GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    )
-    return deltas.groupBy("run_id").applyInPandasWithState(
-        _flush(idle_ms), OUTPUT, STATE, "append", timeout
+    timed = idle_ms is not None or remember_ms is not None
+    return deltas.groupBy("run_id").transformWithState(
+        Paragraphs(idle_ms, remember_ms), OUTPUT, "append", "ProcessingTime" if timed else "None"
     )

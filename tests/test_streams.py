@@ -1,17 +1,24 @@
 import json
+import os
 import random
+import time
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from dossier import schemas
+from dossier.operators.infer import extractive_completer
 from dossier.operators.runlog import log_rows
 from dossier.operators.report_text import report_messages, report_text
-from dossier.sinks.outputs import stream_run_log
+from dossier.sinks.batches import BatchTables
+from dossier.sinks.outputs import append_run_log, read_run_log, stream_run_log
 from dossier.sinks.stage import new_folder
 from dossier.sources.tables import stream_deltas, stream_messages
 from dossier.streaming.deltas import stream_report_messages
 from dossier.streaming.requests import run_requests
+from dossier.streaming.runs import ResearchStream
+from dossier.streaming.state import disk_state
 
 
 def plain_messages(deltas):
@@ -73,11 +80,11 @@ def test_stream_equals_batch(spark, rows, cut, order):
         part = deltas.where(F.col("seq").between(start, start + cut - 1)).coalesce(1)
         part.write.mode("append").parquet(source)
     sent = stream_report_messages(stream_deltas(spark, source, files_per_trigger=1))
-    started = (
-        sent.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
-        .trigger(availableNow=True).start()
-    )
-    started.awaitTermination()
+    with disk_state(spark):
+        (
+            sent.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+            .trigger(availableNow=True).start().awaitTermination()
+        )
     got = {(m.run_id, m.msg_no, m.output) for m in spark.read.schema(sent.schema).parquet(out).collect()}
     assert got == {(m.run_id, m.msg_no, m.output) for m in report_messages(deltas).collect()}
 
@@ -107,3 +114,111 @@ def test_requests_stream(spark, tmp_path):
     got = spark.read.parquet(folder)
     assert {r.task for r in got.collect()} == {"t1", "t2"}
     assert got.columns == ["task", "report_type", "agent", "batch"]
+
+
+def started(rows, spark, batches, **times):
+    """A running stream over files that the caller adds, one batch each."""
+    source, out, state = (new_folder(spark, n) for n in ("deltas", "messages", "state"))
+    rows([], schemas.DELTA).write.parquet(source)
+    sent = stream_report_messages(stream_deltas(spark, source), **times)
+    with disk_state(spark):
+        query = (
+            sent.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+            .trigger(processingTime="100 milliseconds").start()
+        )
+
+    def arrive(data):
+        rows(data, schemas.DELTA).coalesce(1).write.mode("append").parquet(source)
+        query.processAllAvailable()
+
+    def messages():
+        return sorted((m.run_id, m.msg_no, m.output) for m in spark.read.schema(sent.schema).parquet(out).collect())
+
+    return query, arrive, messages
+
+
+def test_an_ended_run_sends_nothing_again(rows, spark):
+    query, arrive, messages = started(rows, spark, 3)
+    deltas = [("r", 0, "a", False), ("r", 1, "b\n", False), ("r", 2, "c\n", True)]
+    try:
+        for data in ([deltas[2]], deltas[:2], deltas, [("r", 3, "late\n", False)]):
+            arrive(data)
+        assert messages() == [("r", 0, "ab\n"), ("r", 1, "c\n")]
+    finally:
+        query.stop()
+
+
+def test_a_silent_run_is_given_up(rows, spark):
+    query, arrive, messages = started(rows, spark, 3, idle_ms=3000, remember_ms=600_000)
+    try:
+        arrive([("r", 0, "a\n", False), ("r", 1, "b", False), ("r", 5, "f\n", False)])
+        arrive([("s", 0, "x\n", True)])
+        until = time.time() + 60
+        while len(messages()) < 3 and time.time() < until:
+            time.sleep(0.5)
+        arrive([("r", 2, "c\n", False), ("r", 3, "d\n", True)])
+        assert messages() == [("r", 0, "a\n"), ("r", 1, None), ("s", 0, "x\n")]
+    finally:
+        query.stop()
+
+
+def run_stream(spark, sf_dir, calls):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    answer = extractive_completer()
+
+    def completer(messages, model, temperature, max_tokens):
+        with open(os.path.join(calls, uuid.uuid4().hex), "w"):
+            return answer(messages, model, temperature, max_tokens)
+
+    return ResearchStream(spark, pages, completer, new_folder(spark, "store"), new_folder(spark, "out"))
+
+
+def start_message(task, **more):
+    return "start " + json.dumps({"task": task, "report_type": "research_report", "agent": "Default Agent"} | more)
+
+
+def test_a_batch_handed_over_twice_leaves_one_result(rows, spark, sf_dir, tmp_path, monkeypatch):
+    stream = run_stream(spark, sf_dir, str(tmp_path))
+    first = rows([("a", start_message("and the of things")), ("b", "hello"), ("c", start_message("x", report_type=""))], "run_id string, message string")
+    commit = stream.results._commit
+
+    def broken(batch, attempt):
+        raise OSError("lost")
+
+    monkeypatch.setattr(stream.results, "_commit", broken)
+    with pytest.raises(OSError):
+        stream.run_batch(first, 0)
+    monkeypatch.setattr(stream.results, "_commit", commit)
+    made = len(os.listdir(tmp_path))
+    assert made > 0 and not stream.results.done(0)
+    assert stream.run_batch(first, 0) is True
+    assert len(os.listdir(tmp_path)) == made  # the calls of the lost attempt were stored
+    assert stream.run_batch(first, 0) is False
+    assert [r.run_id for r in stream.results.read("reports").collect()] == ["a"]
+    told = {r.run_id: r.accepted for r in stream.results.read("requests").collect()}
+    assert told == {"a": True, "c": False}
+    assert stream.results.read("requests").count() == 2
+    assert stream.results.read("log").where("stage = 'path'").count() == 1
+    second = rows([("d", start_message("and the of things"))], "run_id string, message string")
+    assert stream.run_batch(second, 1) is True
+    assert sorted(r.run_id for r in stream.results.read("reports").collect()) == ["a", "d"]
+
+
+def test_of_two_commits_of_a_batch_one_counts(rows, spark):
+    tables = BatchTables(spark, new_folder(spark, "out"))
+    assert tables.put(3, {"t": rows([(1,)], "x int"), "u": rows([], "y int")})
+    assert not tables.put(3, {"t": rows([(2,)], "x int")})
+    rows([(2,)], "x int").write.parquet(f"{tables.path}/tables/t/batch=3/attempt=try-zz")
+    assert [r.x for r in tables.read("t").collect()] == [1]
+    tables._commit(3, "try-zz")
+    assert [r.x for r in tables.read("t").collect()] == [1] and tables.read("u").collect() == []
+
+
+def test_a_stored_log_lies_by_run(spark, rows):
+    log = new_folder(spark, "log")
+    lines = log_rows(rows([(f"r{i % 40}",) for i in range(400)], "run_id string"), 0, 0, "request", F.lit("hello"))
+    append_run_log(lines, log)
+    append_run_log(lines, log)
+    assert read_run_log(spark, log).count() == 800
+    one = read_run_log(spark, log, "r7")
+    assert one.count() == 20 and len({f for f in one.select("_metadata.file_path").distinct().collect()}) <= 2

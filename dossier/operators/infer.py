@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import inspect
 import json
 import re
 import sys
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -13,9 +15,13 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from dossier import schemas
 from dossier.functions import fixed_values as fixed
+from dossier.operators.prompts import validate_calls
+from dossier.settings import DEFAULTS, JobSettings
+from dossier.sinks.completions import CompletionStore, block, merged_rows
 from dossier.sinks.stage import stage
 
 # The functions below travel with the job, so executors need no copy of this package.
@@ -31,25 +37,47 @@ def pending(prompts: DataFrame, stored: DataFrame) -> DataFrame:
     return new.dropDuplicates(["prompt_id"])
 
 
+def prompt_chars() -> Column:
+    """Characters of a call's messages: what its time and cost grow with."""
+    return F.aggregate("messages", F.lit(0).cast("bigint"), lambda n, m: n + F.coalesce(F.length(m["content"]), F.lit(0)))
+
+
+def dealt(ids: DataFrame, width: int) -> DataFrame:
+    """(block, task): which of ``width`` tasks calls the prompts of a block.
+
+    ``ids`` has prompt_id and chars.  Blocks of a hash are taken in order and cut where their running length passes another
+    share of the whole, so a task has at most the mean and one block more.  A block holds prompts of one part of the store.
+    The table has one row per block, a fixed number at most, whatever the number of prompts."""
+    sizes = ids.groupBy(block().alias("block")).agg(F.sum(F.col("chars") + 1).alias("size"))
+    before = F.sum("size").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+    whole = F.sum("size").over(W.partitionBy())
+    place = F.coalesce(before, F.lit(0)).cast("decimal(38,0)") * width / whole
+    return sizes.select("block", F.least(F.floor(place), F.lit(width - 1)).cast("int").alias("task"))
+
+
 def complete(
     prompts: DataFrame,
     completer: Completer,
     tasks: int | None = None,
     threads: int = 1,
+    lengths: DataFrame | None = None,
 ) -> DataFrame:
-    """(prompt_id, content, error) of each prompt.
+    """(prompt_id, content, error) of each prompt of a stored table.
 
     ``tasks`` sets how many tasks call at once, by default as many as the cluster runs, and
-    ``threads`` how many calls each keeps open.  The number is fixed, so small prompts are not merged into few tasks.
+    ``threads`` how many calls each keeps open.  Prompts are dealt by their length (:func:`dealt`), not by their number.
     A call that raises gives a row with its error; the others go on.  The function may
-    retry by itself.
+    retry by itself.  One with a parameter ``attempt`` is told the how-manieth try of its prompt it is, by the column ``attempt``.
+    ``lengths`` (prompt_id, chars), where it is stored already, saves reading the messages once for their length.
     """
+    counted = "attempt" in inspect.signature(completer).parameters
 
     def call(row) -> tuple:
         try:
             messages = [{"role": m["role"], "content": m["content"]} for m in row.messages]
             limit = None if pd.isna(row.max_tokens) else int(row.max_tokens)
-            return row.prompt_id, completer(messages, row.model, row.temperature, limit), None
+            more = {"attempt": int(row.attempt)} if counted else {}
+            return row.prompt_id, completer(messages, row.model, row.temperature, limit, **more), None
         except Exception as failure:  # one failing call must not end the job
             return row.prompt_id, None, str(failure)
 
@@ -59,68 +87,96 @@ def complete(
                 done = list(pool.map(call, frame.itertuples(index=False)))
                 yield pd.DataFrame(done, columns=["prompt_id", "content", "error"])
 
-    calls = prompts.select("prompt_id", "messages", "model", "temperature", "max_tokens")
-    # By a key of its own: dealt by prompt_id, the rows would be taken as dealt already.
-    width = tasks or calls.sparkSession.sparkContext.defaultParallelism
-    calls = calls.repartition(width, F.xxhash64("prompt_id"))
-    return calls.mapInPandas(batches, schemas.COMPLETION)
-
-
-# Stored rows also name the batch of calls that made them and a part of the store.
-STORED = "prompt_id string, content string, error string, batch string, part int"
-PARTS = 64
+    width = tasks or prompts.sparkSession.sparkContext.defaultParallelism
+    calls = prompts.select(
+        "prompt_id", "messages", "model", "temperature", "max_tokens",
+        (F.col("attempt") if "attempt" in prompts.columns else F.lit(1)).alias("attempt"), block().alias("block"),
+    )
+    if lengths is None:
+        lengths = prompts.select("prompt_id", prompt_chars().alias("chars"))
+    places = dealt(lengths, width)
+    # At most PARTS * BLOCKS rows of two numbers.
+    placed = calls.join(F.broadcast(places), "block").repartitionById(width, "task").drop("block", "task")
+    return placed.mapInPandas(batches, schemas.COMPLETION)
 
 
-def _part() -> Column:
-    return F.pmod(F.xxhash64("prompt_id"), F.lit(PARTS)).cast("int")
+# A store of more segments is compacted before it is used.
+SEGMENTS = 16
 
 
-def _stored_rows(spark: SparkSession, path: str) -> DataFrame:
-    """All stored rows; a store that does not exist yet is created empty."""
-    spark.createDataFrame([], STORED).write.mode("ignore").partitionBy("part").parquet(path)
-    return spark.read.schema(STORED).parquet(path)
+def completion_store(spark: SparkSession, path: str) -> DataFrame:
+    """The stored completions, one row per prompt_id."""
+    return CompletionStore(spark, path).completions()
 
 
-def completion_store(spark: SparkSession, path: str) -> DataFrame:
-    """The stored completions, one row per prompt_id whatever number of writers made it."""
-    good = _stored_rows(spark, path).where(F.col("error").isNull())
-    return good.groupBy("prompt_id").agg(F.min("content").alias("content"), F.min("error").alias("error"))
+def complete_stored(prompts: DataFrame, completer: Completer, path: str, cap: int = DEFAULTS.max_tokens_cap, **calling) -> DataFrame:
+    """``prompts`` with content and error.  Calls that may be sent (:func:`prompts.validate_calls`) are completed as
+    :func:`complete_valid` says, which takes ``calling``; the others come back with the reason they may not."""
+    checked = validate_calls(
+        prompts.withColumns({"stream": F.lit(False), "target": F.lit(None).cast("string")}), JobSettings(max_tokens_cap=cap)
+    )
+    checked = checked.withColumnRenamed("error", "_refused").drop("stream", "target", "accepted")
+    done = complete_valid(checked.where(F.col("_refused").isNull()).drop("_refused"), completer, path, **calling)
+    refused = checked.where(F.col("_refused").isNotNull())
+    return done.unionByName(
+        refused.withColumnsRenamed({"_refused": "error"}).withColumn("content", F.lit(None).cast("string"))
+    )
 
 
-def complete_stored(
+def complete_valid(
     prompts: DataFrame,
     completer: Completer,
     path: str,
     tasks: int | None = None,
     threads: int = 1,
     waves: int = 1,
+    attempts: int = 1,
+    pause: float = 1.0,
+    give_up: int | None = None,
 ) -> DataFrame:
     """Complete what ``path`` does not hold, append it there, and return ``prompts``
     with content and error.
 
     Prompts are staged, so they are worked out once.  Calls are written to the store as soon as
-    they are made, failed ones too; what follows reads what was written.  A long list of calls can
-    be made in several ``waves``, each stored before the next starts, so that a job that ends early
-    keeps what it has paid for.  A failed call comes back with its error from this batch only, so a
-    later run sends it again.  The store is split by a hash of prompt_id; which prompts are new
-    is found on their ids alone.
+    they are made, failed ones too; what follows reads what was written, and only the parts of the store that the
+    prompts' ids fall in.  A long list of calls can be made in several ``waves``, each stored before the next starts, so
+    that a job that ends early keeps what it has paid for.
+
+    A failed call is sent again up to ``attempts`` times in all, in rounds after a ``pause`` in seconds that doubles
+    each time.  The store counts failures over all runs.  After ``give_up`` of them a prompt is a dead letter
+    (``CompletionStore.dead_letters``): it is not sent any more and comes back with its last error.  Other failed calls come back
+    with their error of this run, and a later run sends them again.
     """
     spark = prompts.sparkSession
-    batch = uuid.uuid4().hex
+    store = CompletionStore(spark, path)
+    if len(store.segments()) > SEGMENTS:
+        store.compact()
+    run = f"{time.time_ns():020}-{uuid.uuid4().hex}"  # later runs sort behind earlier ones
     asked = stage(prompts, "prompts")
-    new = pending(asked, _stored_rows(spark, path).where(F.col("error").isNull()))
-    if waves > 1:
-        new = stage(new, "pending-prompts")
-    for wave in range(waves):
-        due = new.where(F.pmod(F.xxhash64("prompt_id"), F.lit(waves)) == wave) if waves > 1 else new
-        made = complete(due, completer, tasks, threads).select("*", F.lit(batch).alias("batch"), _part().alias("part"))
-        made.write.mode("append").partitionBy("part").parquet(path)
-    # After its waves each prompt has a completion in the store or a failure of this batch.
-    rows = _stored_rows(spark, path).where(F.col("error").isNull() | (F.col("batch") == batch))
-    known = rows.groupBy("prompt_id").agg(
-        F.min(F.when(F.col("error").isNull(), F.col("content"))).alias("content"),
-        F.when(F.count_if(F.col("error").isNull()) == 0, F.min("error")).alias("error"),
-    )
+    parts = store.parts_of(asked)
+    ids = asked.select("prompt_id", prompt_chars().alias("chars")).dropDuplicates(["prompt_id"])
+    for turn in range(max(1, attempts)):
+        known = store.rows(parts)
+        open_ids = pending(ids, known.where(F.col("error").isNull()))
+        tried = known.where(F.col("error").isNotNull()).groupBy("prompt_id").agg(
+            F.count_distinct("batch").alias("failed"), F.max(F.col("batch").startswith(run)).alias("mine")
+        )
+        open_ids = open_ids.join(tried, "prompt_id", "left").withColumn("failed", F.coalesce("failed", F.lit(0)))
+        if give_up is not None:
+            open_ids = open_ids.where(F.col("failed") < give_up)
+        if turn:
+            open_ids = open_ids.where("mine")
+        due = stage(open_ids.select("prompt_id", "chars", (F.col("failed") + 1).alias("attempt")), "pending-ids")
+        if turn:
+            if not due.head(1):
+                break
+            time.sleep(pause * 2 ** (turn - 1))
+        for wave in range(waves):
+            now = due.where(F.pmod(F.xxhash64("prompt_id", F.lit("wave")), F.lit(waves)) == wave) if waves > 1 else due
+            calls = asked.join(now.drop("chars"), "prompt_id").dropDuplicates(["prompt_id"])
+            made = complete(calls, completer, tasks, threads, now.select("prompt_id", "chars"))
+            store.append(made.withColumn("batch", F.lit(f"{run}-{turn:04}")))
+    known = merged_rows(store.rows(parts), run).select("prompt_id", "content", "error")
     return asked.join(known, "prompt_id", "left")
 
 

@@ -24,6 +24,7 @@ from dossier.plans import workload as given
 from dossier.plans.research import ResearchRun, choose_agents, plan_queries
 from dossier.settings import DEFAULTS
 from dossier.sinks import outputs
+from dossier.sinks.completions import CompletionStore
 from dossier.sinks.stage import new_folder, stage
 from dossier.sources.tables import read_findings, read_txt_findings, spread, stream_deltas
 from dossier.streaming.deltas import stream_report_messages
@@ -329,6 +330,23 @@ def completions(spark, sf_dir):
     return done.select("doc_id", "part", "prompt_id", "content", "error")
 
 
+@query
+def retried_completions(spark, sf_dir):
+    """All chunks of all documents by a completer that fails by the prompt's length: some calls at first, some for good.
+    Each is sent three times at most, in rounds; what has failed so often is a dead letter."""
+    answer = infer.extractive_completer()
+
+    def completer(messages, model, temperature, max_tokens, attempt):
+        if attempt < (1, 2, 3, 9)[len(messages[0]["content"]) % 4]:
+            raise RuntimeError(f"busy at try {attempt}")
+        return answer(messages, model, temperature, max_tokens)
+
+    path = new_folder(spark, "store")
+    done = infer.complete_stored(_document_calls(spark, sf_dir), completer, path, attempts=3, pause=0.1, give_up=3)
+    dead = CompletionStore(spark, path).dead_letters(3).select("prompt_id", F.col("tries").cast("bigint").alias("tries"))
+    return done.join(dead, "prompt_id", "left").select("doc_id", "part", "content", "error", F.coalesce("tries", F.lit(0).cast("bigint")).alias("tries"))
+
+
 @query
 def pending_prompts(spark, sf_dir):
     """Prompts still to send where a store holds those of the English documents."""

@@ -417,6 +417,10 @@ SELECT run_id, query_idx, rank, url FROM (SELECT *, row_number() OVER (PARTITION
     "concept_prompts": f"WITH RECURSIVE {RESEARCH} SELECT run_id, {fill(fixed.CONCEPT_PROMPT, research_summary='research_summary', question='task')} AS prompt FROM runs JOIN research USING (run_id)",
     "completions": f"""WITH RECURSIVE {DOC_CHUNKS} SELECT doc_id, part, {call_id('chunk', 'source')} AS prompt_id,
    {extract('chunk', 'source')} AS content, NULL::VARCHAR AS error FROM doc_chunks JOIN documents USING (doc_id)""",
+    "retried_completions": f"""WITH RECURSIVE {DOC_CHUNKS}, calls AS (SELECT doc_id, part, chunk, source, length({fill(fixed.SUMMARY_PROMPT, chunk='chunk', question='source')}) % 4 = 3 AS dead
+   FROM doc_chunks JOIN documents USING (doc_id))
+SELECT doc_id, part, CASE WHEN NOT dead THEN {extract('chunk', 'source')} END AS content, CASE WHEN dead THEN 'busy at try 3' END AS error,
+   CASE WHEN dead THEN 3 ELSE 0 END::BIGINT AS tries FROM calls""",
     "pending_prompts": f"""WITH RECURSIVE {DOC_CHUNKS}, calls AS (SELECT lang, {call_id('chunk', 'source')} AS prompt_id FROM doc_chunks JOIN documents USING (doc_id))
 SELECT DISTINCT prompt_id, 'gpt-3.5-turbo-16k' AS model, 1.0::DOUBLE AS temperature FROM calls
    WHERE prompt_id NOT IN (SELECT prompt_id FROM calls WHERE lang = 'en')""",

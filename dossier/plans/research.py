@@ -31,7 +31,7 @@ def choose_agents(
         settings.smart_model,
         replace(settings, temperature=0.0),
     )
-    replies = complete_stored(calls, completer, store, settings.tasks, settings.threads, settings.waves)
+    replies = complete_stored(calls, completer, store, settings.max_tokens_cap, **settings.calling)
     return requests.settle_agents(asked, replies.withColumnRenamed("content", "reply"), ["run_id"])
 
 
@@ -44,7 +44,7 @@ def plan_queries(
     calls = prompts.call_table(
         roles.select("run_id", messages.alias("messages")), settings.smart_model, settings
     )
-    replies = complete_stored(calls, completer, store, settings.tasks, settings.threads, settings.waves)
+    replies = complete_stored(calls, completer, store, settings.max_tokens_cap, **settings.calling)
     return accepted.join(replies.select("run_id", F.col("content").alias("reply")), "run_id")
 
 
@@ -95,16 +95,8 @@ class ResearchRun:
         self.index = index
 
     def _completed(self, calls: DataFrame) -> DataFrame:
-        """Calls that may be sent are; the others come back with the reason they may not."""
-        checked = prompts.validate_calls(calls.withColumns({"stream": F.lit(False), "target": F.lit(None).cast("string")}))
-        checked = checked.withColumnRenamed("error", "_refused").drop("stream", "target", "accepted")
-        refused = checked.where(F.col("_refused").isNotNull())
-        sent = checked.where(F.col("_refused").isNull()).drop("_refused")
-        done = complete_stored(
-            sent, self.completer, self.store, self.settings.tasks, self.settings.threads, self.settings.waves
-        )
-        return done.unionByName(
-            refused.withColumnsRenamed({"_refused": "error"}).withColumn("content", F.lit(None).cast("string"))
+        return complete_stored(
+            calls, self.completer, self.store, self.settings.max_tokens_cap, **self.settings.calling
         )
 
     @cached_property

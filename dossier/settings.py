@@ -19,6 +19,16 @@ class JobSettings:
     tasks: int | None = None
     threads: int = 1
     waves: int = 1
+    # Tries of a call in one run, seconds before the second (doubled each time), and failed tries in all
+    # after which it is a dead letter.
+    attempts: int = 1
+    pause: float = 1.0
+    give_up: int | None = None
+
+    @property
+    def calling(self) -> dict:
+        names = ("tasks", "threads", "waves", "attempts", "pause", "give_up")
+        return {name: getattr(self, name) for name in names}
 
 
 DEFAULTS = JobSettings()

@@ -10,6 +10,7 @@ from dossier.operators.requests import list_fanout, validate
 from dossier.plans.research import ResearchRun, choose_agents, plan_queries
 from dossier.sinks import outputs
 from dossier.sinks import stage as stages
+from dossier.sinks.completions import CompletionStore
 from dossier.sinks.stage import new_folder, stage
 from dossier.sources.tables import read_txt_findings, spread
 
@@ -126,14 +127,101 @@ def test_a_second_writer_gives_no_second_row(spark, rows):
     calls = _calls(rows, ["one", "two"])
     answer = lambda text: lambda messages, model, temperature, max_tokens: text
     infer.complete_stored(calls, answer("first"), store)
-    rival = new_folder(spark, "store")
-    infer.complete_stored(calls, answer("second"), rival)
-    spark.read.schema(infer.STORED).parquet(rival).write.mode("append").partitionBy("part").parquet(store)
+    # Another writer that had not seen the first one's rows.
+    rival = calls.select("prompt_id", F.lit("second").alias("content"), F.lit(None).cast("string").alias("error"), F.lit("b").alias("batch"))
+    CompletionStore(spark, store).append(rival)
     again = infer.complete_stored(calls, answer("third"), store).collect()
     assert sorted((r.id, r.content) for r in again) == [(0, "first"), (1, "first")]
     assert infer.completion_store(spark, store).count() == 2
 
 
+def flaky(log):
+    """Fails for good on prompts that hold ``bad``, and at first on those that hold ``slow``."""
+
+    def completer(messages, model, temperature, max_tokens, attempt):
+        text = messages[0]["content"]
+        with open(log, "a") as lines:
+            lines.write("x")
+        if "bad" in text or ("slow" in text and attempt < 3):
+            raise RuntimeError(f"busy at {attempt}")
+        return f"done at {attempt}"
+
+    return completer
+
+
+def test_failed_calls_are_sent_again(spark, rows, tmp_path):
+    log, path = tmp_path / "calls", new_folder(spark, "store")
+    calls = _calls(rows, ["one", "slow", "bad", "one"])
+    ask = lambda attempts, **more: {
+        r.id: (r.content, r.error) for r in infer.complete_stored(calls, flaky(log), path, attempts=attempts, pause=0.01, **more).collect()
+    }
+    assert ask(2, give_up=5) == {0: ("done at 1", None), 1: (None, "busy at 2"), 2: (None, "busy at 2"), 3: ("done at 1", None)}
+    assert len(log.read_text()) == 5
+    assert ask(4, give_up=5) == {0: ("done at 1", None), 1: ("done at 3", None), 2: (None, "busy at 5"), 3: ("done at 1", None)}
+    store = CompletionStore(spark, path)
+    assert len(log.read_text()) == 9 and [(r.tries, r.error) for r in store.dead_letters(5).collect()] == [(5, "busy at 5")]
+    # A dead letter is not sent any more, also once the store is compacted.
+    for _ in range(2):
+        assert ask(3, give_up=5)[2] == (None, "busy at 5") and len(log.read_text()) == 9
+        store.compact()
+    assert ask(1)[2] == (None, "busy at 6") and len(log.read_text()) == 10
+
+
+def test_compaction_loses_nothing(spark, rows):
+    store = CompletionStore(spark, new_folder(spark, "store"))
+
+    def add(ids, batch, failed=()):
+        data = [(f"p{i}", None if i in failed else batch, "e" if i in failed else None, batch) for i in ids]
+        store.append(rows(data, "prompt_id string, content string, error string, batch string"))
+
+    add(range(0, 60), "a", failed=range(50, 60))
+    add(range(40, 90), "b", failed=range(55, 60))
+    # While one compaction is at work, a writer adds a segment and a second compaction starts from what it found.
+    name, late = store._name, []
+
+    def interrupted(segment, replaced):
+        if replaced and not late:
+            late.append(1)
+            add(range(85, 100), "c")
+            CompletionStore(spark, store.path).compact()
+        name(segment, replaced)
+
+    store._name = interrupted
+    store.compact()
+    store._name = name
+    want = {f"p{i}": "a" if i < 50 else "b" if i < 90 else "c" for i in range(100) if not 55 <= i < 60}
+    assert {r.prompt_id: r.content for r in store.completions().collect()} == want
+    for _ in range(2):
+        store.compact()
+        assert len(store.segments()) == 1
+        assert {r.prompt_id: r.content for r in store.completions().collect()} == want
+        assert [r.tries for r in store.dead_letters(1).collect()] == [2] * 5
+        store.vacuum()
+    assert store.rows().count() == 95 + 10
+
+
+def test_few_prompts_read_few_parts(spark, rows, monkeypatch):
+    monkeypatch.setattr(infer, "SEGMENTS", 2)
+    path = new_folder(spark, "store")
+    for turn in range(5):
+        infer.complete_stored(_calls(rows, [f"{turn}-{i}" for i in range(30)]), infer.extractive_completer(), path, tasks=2)
+    store = CompletionStore(spark, path)
+    assert len(store.segments()) <= infer.SEGMENTS + 1
+    ten = _calls(rows, [f"3-{i}" for i in range(10)])
+    parts = store.parts_of(ten)
+    read = store.rows(parts)
+    assert len(parts) <= 10 and {r.part for r in read.select("part").distinct().collect()} <= set(parts)
+    assert "PartitionFilters: [part" in read._jdf.queryExecution().executedPlan().toString()
+
+
+def test_calls_are_dealt_by_length(spark, rows):
+    texts = ["x" * (40 if i % 50 else 4000) for i in range(4000)]
+    ids = _calls(rows, [f"{i} {t}" for i, t in enumerate(texts)]).select("prompt_id", infer.prompt_chars().alias("chars"))
+    places = ids.join(infer.dealt(ids, 8), infer.block() == F.col("block"))
+    sizes = [r.n for r in places.groupBy("task").agg(F.sum("chars").alias("n")).collect()]
+    assert len(sizes) == 8 and max(sizes) <= 2 * sum(sizes) / 8
+
+
 def test_calls_that_may_not_be_sent_come_back(spark, rows):
     run = ResearchRun(rows([], "run_id int"), rows([], "page_id int"), completer=infer.extractive_completer(), store=new_folder(spark, "store"))
     calls = _calls(rows, ["one", "two"])

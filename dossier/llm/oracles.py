@@ -22,32 +22,10 @@ def _rules() -> str:
     return "rules(rule, name, start, verdict) AS (VALUES " + ", ".join(rows) + ")"
 
 
-def _levels() -> str:
-    """One step of the template tree after the other: n0 to n4."""
-    segs = ", ".join(f"s{i}" for i in range(1, urls.LEVELS + 1))
-    out = []
-    for level in range(urls.LEVELS):
-        seg = f"s{level + 1}"
-        out.append(f"""
-b{level} AS (SELECT host, prefix, {seg} AS seg, sum(n) AS n, sum(good) AS good FROM n{level} GROUP BY ALL),
-p{level} AS (SELECT host, prefix, (sum(good) + 0.5e0) / (sum(n) + 1.0e0) AS share FROM b{level} GROUP BY ALL),
-t{level} AS (SELECT host, prefix, seg, CASE WHEN seg = '' OR starts_with(seg, '*') THEN seg
-   WHEN abs(good - n * share) > {urls.SIGNIFICANT} * sqrt(n * share * (1 - share)) THEN seg ELSE '*' END AS step
-   FROM b{level} JOIN p{level} USING (host, prefix)),
-n{level + 1} AS MATERIALIZED (SELECT host, {segs}, CASE step WHEN '' THEN prefix ELSE prefix || '/' || step END AS prefix, n, good
-   FROM n{level} JOIN t{level} USING (host, prefix) WHERE t{level}.seg = n{level}.{seg})""")
-    return ",".join(out)
-
-
-_segs = ", ".join(
-    f"coalesce(shaped[{i}], '') AS s{i}" for i in range(1, urls.LEVELS)
-) + f", CASE WHEN len(shaped) > {urls.LEVELS} THEN '**' ELSE coalesce(shaped[{urls.LEVELS}], '') END AS s{urls.LEVELS}"
-_names = ", ".join(f"s{i}" for i in range(1, urls.LEVELS + 1))
 _k = urls.SMOOTHING
-_last = f"n{urls.LEVELS}"
 
 URL_TEMPLATES = f"""
-WITH {_rules()},
+WITH RECURSIVE {_rules()},
 u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '{urls.HOST}', 1), ''), '{urls.UPPER}', '{urls.LOWER}') AS host,
    coalesce(regexp_extract(url, '{urls.PATH}', 1), '') AS path FROM pages),
 numbered AS (SELECT row_number() OVER () AS r, * FROM u),
@@ -56,16 +34,23 @@ fits AS (SELECT r, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(
 shaped AS (SELECT *, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s:
    CASE WHEN regexp_matches(s, '{urls.VARIABLE}') THEN '*' || regexp_extract(s, '{urls.VARIABLE}', 1) ELSE s END) AS shaped FROM numbered),
 given AS (SELECT doc_id AS k, min(CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END) AS good FROM labels GROUP BY doc_id),
-rows AS MATERIALIZED (SELECT r, page_id, host, path, {_segs}, good FROM shaped
+rows AS MATERIALIZED (SELECT r, page_id, host, path, shaped AS segs, good FROM shaped
    LEFT JOIN given ON k = TRY_CAST(regexp_extract(path, '/([0-9]{{1,18}})(?:[./]|$)', 1) AS BIGINT)),
-n0 AS MATERIALIZED (SELECT host, {_names}, '' AS prefix, count(good) AS n, coalesce(sum(good), 0) AS good FROM rows GROUP BY ALL),{_levels()},
-hosts AS (SELECT host, sum(n) AS hn, sum(good) AS hg FROM {_last} GROUP BY host),
+n0 AS MATERIALIZED (SELECT host, segs, count(good) AS n, CAST(coalesce(sum(good), 0) AS BIGINT) AS good FROM rows GROUP BY ALL),
+tree AS (SELECT CAST(0 AS BIGINT) AS level, host, segs, '' AS prefix, n, good FROM n0
+   UNION ALL SELECT level + 1, host, segs, CASE WHEN seg = '' THEN prefix WHEN starts_with(seg, '*') THEN prefix || '/' || seg
+      WHEN abs(bg - bn * share) > {urls.SIGNIFICANT} * sqrt(bn * share * (1 - share)) THEN prefix || '/' || seg ELSE prefix || '/*' END, n, good
+   FROM (SELECT *, sum(n) OVER (PARTITION BY host, prefix, seg) AS bn, sum(good) OVER (PARTITION BY host, prefix, seg) AS bg,
+         (sum(good) OVER (PARTITION BY host, prefix) + 0.5e0) / (sum(n) OVER (PARTITION BY host, prefix) + 1.0e0) AS share
+      FROM (SELECT *, coalesce(segs[level + 1], '') AS seg FROM tree)) WHERE level < (SELECT max(len(segs)) FROM n0)),
+last AS MATERIALIZED (SELECT * FROM tree WHERE level = (SELECT max(level) FROM tree)),
+hosts AS (SELECT host, sum(n) AS hn, sum(good) AS hg FROM last GROUP BY host),
 prior AS (SELECT (sum(hg) + 1.0e0) / (sum(hn) + 2.0e0) AS p FROM hosts),
 templates AS (SELECT host, prefix, (sum(good) + {_k}e0 * any_value((hg + {_k}e0 * p) / (hn + {_k}e0))) / (sum(n) + {_k}e0) AS purity
-   FROM {_last} JOIN hosts USING (host), prior GROUP BY host, prefix),
-judged AS (SELECT host, {_names}, purity FROM {_last} JOIN templates USING (host, prefix))
+   FROM last JOIN hosts USING (host), prior GROUP BY host, prefix),
+judged AS (SELECT host, segs, purity FROM last JOIN templates USING (host, prefix))
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN purity < {urls.LEAST_SHARE} THEN 'block' ELSE 'allow' END) AS verdict
-FROM rows LEFT JOIN fits USING (r) JOIN judged USING (host, {_names})"""
+FROM rows LEFT JOIN fits USING (r) JOIN judged USING (host, segs)"""
 
 _digit = "(strpos('0123456789abcdef', substr(s, {at}, 1)) - 1)"
 _pair = f"({_digit.format(at='5 * i // 4 + 1')} * 16 + {_digit.format(at='5 * i // 4 + 2')})"

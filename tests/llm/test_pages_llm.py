@@ -114,8 +114,9 @@ def test_urls_and_rules(spark):
 
 def brute_purity(pages):
     """The tree by plain loops: pages are (host, segments, good or None)."""
-    live = [(host, segs, "", good) for host, segs, good in pages]
-    for level in range(url_templates.LEVELS):
+    deepest = max(len(segs) for _, segs, _ in pages)
+    live = [(host, [*segs, *[""] * (deepest - len(segs))], "", good) for host, segs, good in pages]
+    for level in range(max(len(segs) for _, segs, _ in pages)):
         parent, branch = collections.defaultdict(list), collections.defaultdict(list)
         for host, segs, prefix, good in live:
             if good is not None:
@@ -136,7 +137,7 @@ def brute_purity(pages):
         of_host = [g for h, *_, g in live if h == host and g is not None]
         own = [g for h, _, p, g in live if (h, p) == (host, prefix) and g is not None]
         level = (sum(of_host) + 10 * prior) / (len(of_host) + 10)
-        out[host, tuple(segs)] = (prefix, (sum(own) + 10 * level) / (len(own) + 10))
+        out[host, tuple(s for s in segs if s)] = (prefix, (sum(own) + 10 * level) / (len(own) + 10))
     return out
 
 
@@ -146,19 +147,17 @@ def test_templates_against_loops(spark):
     for key in range(900):
         host = draw.choice(["h.net", "h.net", "k.net"])
         kind = draw.choice(["spam", "blog", "news", "shop"])
-        url = f"http://{host}/{kind}/{key}{draw.choice(['', '.html'])}" + draw.choice(["", "", "/x/y/z/w"])
+        url = f"http://{host}/{kind}/{key}{draw.choice(['', '.html'])}" + draw.choice(["", "", "/x/y/z/w", "/x/y/z/w/" + kind, "/x/y/9/q/" + draw.choice("ab") + "/r/s/t"])
         pages.append((key, url))
         if draw.random() < 0.7:
             labels.append((key, int(draw.random() < (0.05 if kind == "spam" and host == "h.net" else 0.9))))
     frame = spark.createDataFrame(pages, "page_id long, url string")
     rows = url_templates.filter_urls(frame, [], spark.createDataFrame([*labels, (None, 0)], "url_key long, good int")).collect()
     good = dict(labels)
-    shape = lambda path: [*(["*" + (".html" if s.endswith(".html") else "") if s[:1].isdigit() else s for s in path.split("/")[1:]][:3]), ""]
+    shape = lambda path: ["*" + (".html" if s.endswith(".html") else "") if s[:1].isdigit() else s for s in path.split("/") if s]
     data = []
     for key, url in pages:
-        segs = shape(split(url)[1])
-        segs = (segs[:-1] + [""] * 4)[:4] if len(split(url)[1].split("/")) - 1 <= 4 else segs[:3] + ["**"]
-        data.append((split(url)[0], segs, good.get(key)))
+        data.append((split(url)[0], shape(split(url)[1]), good.get(key)))
     want = brute_purity(data)
     for row in rows:
         template, purity = want[data[row.page_id][0], tuple(data[row.page_id][1])]
@@ -167,6 +166,14 @@ def test_templates_against_loops(spark):
     assert {r.verdict for r in rows} == {"allow", "block"}
 
 
+@pytest.mark.parametrize("depth", [1, 5, 8, 40])
+def test_sections_are_told_apart_at_any_depth(spark, depth):
+    pages = [(i, f"http://h.net/{i}/" + "a/" * (depth - 1) + ("casino" if i < 100 else "news") + f"/x{i % 7}.html") for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i >= 100)) for i in range(200)], "url_key long, good int")
+    rows = url_templates.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), [], labels).collect()
+    assert {r.page_id for r in rows if r.verdict == "block"} == set(range(100))
+
+
 def payload_rows():
     big = "<p>é</p>" * 40_000
     return [

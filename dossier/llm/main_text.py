@@ -25,7 +25,7 @@ il lo gli di da un uno una e che non per con su si come più ma anche alla della
 o os as do da dos das em um uma que não para com por se mais como mas foi ao ele ela""".split()
 )
 # Elements whose contents are never text of the page.
-UNSEEN = "script style noscript template iframe svg math object textarea select button title canvas audio video map"
+UNSEEN = "script style noscript template iframe svg object textarea select button title canvas audio video map"
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     rf"|<(?P<raw>{'|'.join(UNSEEN.split())})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -52,24 +52,33 @@ BAD_WORDS = COMMENT_WORDS | frozenset(
     breadcrumb breadcrumbs pagination pager related recommended recommendations trending popular
     copyright legal disclaimer toolbar skip teaser outbrain taboola paywall""".split()
 )
+# Of these the words that style sheets also use for the layout of a whole page, or that a topic may be named by.  An
+# element is not bad by them alone if it holds all text of the page that its own measures call good.
+LAYOUT_WORDS = frozenset(
+    """header masthead topbar bottombar sidebar aside widget widgets banner promo promotion promoted notice notices alert alerts
+    overlay register form search share sharing social follow related recommended recommendations trending popular legal teaser
+    nav navbar navigation menu toolbar skip""".split()
+)
 # Words before which a style name says what a page has, not what the element is.
 ABOUT = frozenset("has with no without is".split())
 GOOD, BAD, NEAR, SHORT = "good", "bad", "near", "short"
 
 
 class Block:
-    __slots__ = ("text", "links", "area", "heading", "label", "group", "form", "core")
+    __slots__ = ("text", "links", "area", "heading", "label", "group", "form", "core", "boxes")
 
-    def __init__(self, text: str, links: int, area: str, heading: bool, group: int, form: int = 0) -> None:
+    def __init__(self, text: str, links: int, area: str, heading: bool, group: int, form: int = 0, boxes: tuple = ()) -> None:
+        self.boxes = boxes  # the elements around it that are bad by a layout word alone: (outer boxes, number)
         self.text, self.links, self.area, self.heading, self.group = text, links, area, heading, group
         self.label, self.form = "", form
         self.core = area in ("main", "outer", "title")
 
 
-def _area(name: str, attributes: str, inside: str) -> str:
+def _area(name: str, attributes: str, inside: str, plain: bool = False) -> tuple[str, bool]:
     """The kind of area that an element opens: bad, comments, main, boxed (an article in a
-    bad box), title (the head of an article), or what surrounds it."""
-    marked = ""
+    bad box), title (the head of an article), or what surrounds it; and whether it is bad by layout words alone, which do
+    not count if it is ``plain``."""
+    marked, layout = "", False
     if attributes.strip():
         for key, *values in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), "".join(values).lower()
@@ -77,35 +86,43 @@ def _area(name: str, attributes: str, inside: str) -> str:
                 words = re.split(r"[\s_-]+", value)
                 hits = {w for before, w in zip(["", *words], words) if w in BAD_WORDS and before not in ABOUT}
                 if hits & COMMENT_WORDS:
-                    return "comments"
+                    return "comments", False
+                layout = bool(hits) and hits <= LAYOUT_WORDS and marked != "bad"
+                if layout and plain:
+                    layout = False
+                    continue
                 if hits and not (name == "article" or (hits == {"header"} and inside == "main")):
                     marked = "title" if hits == {"header"} and inside == "main" else "bad"
             elif key == "role" and value in BAD_ROLES:
-                marked = "bad"
+                marked, layout = "bad", False
             elif (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
-                return "hidden"
+                return "hidden", False
         if re.search(r"(?:^|\s)hidden(?:\s|/|$)", ATTRIBUTE.sub(" ", attributes)):
-            return "hidden"
+            return "hidden", False
     if name in BAD_ELEMENTS:
-        return "gone"
+        return "gone", False
     if name == "header":
-        return "title" if inside == "main" else "bad"
+        return ("title" if inside == "main" else "bad"), False
     if marked:
-        return marked
+        return marked, layout and marked == "bad"
     if name == "article" and inside == "bad":
-        return "boxed"
+        return "boxed", False
     if name in ("article", "main") and inside in ("", "bad", "main", "outer"):
-        return "main" if name == "article" else "outer"
-    return inside
+        return ("main" if name == "article" else "outer"), False
+    return inside, False
 
 
-def blocks_of(html: str, plain_form: int = 0) -> list[Block]:
+def blocks_of(html: str, plain_form: int = 0, plain_boxes: frozenset = frozenset()) -> list[Block]:
     """Blocks of a page in order, with white space tidied and references decoded.
 
     The form of number ``plain_form`` is an element like any other: one that holds most of
-    the page's text."""
+    the page's text.  So are the boxes of ``plain_boxes``, which hold all its good text."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack: list[tuple[str, str, tuple]] = []
+    # Open elements by name: of sections all, of others those since each open section.
+    sections: dict[str, int] = {}
+    since: list[dict[str, int]] = [{}]
+    numbered = 0
     buffer: list[str] = []
     links = group = depth_a = depth_form = forms = form = 0
     heading = False
@@ -115,24 +132,27 @@ def blocks_of(html: str, plain_form: int = 0) -> list[Block]:
         if buffer:
             text = " ".join(unescape("".join(buffer)).split())
             if text:
-                out.append(Block(text, links, stack[-1][1] if stack else "", heading, group, form))
+                out.append(Block(text, links, stack[-1][1] if stack else "", heading, group, form, stack[-1][2] if stack else ()))
         buffer, links = [], 0
 
     def close(name: str) -> bool:
         """Close the innermost open ``name``, not through a section that holds it."""
         nonlocal depth_a, group, depth_form, form
-        for at in range(len(stack) - 1, -1, -1):
-            if stack[at][0] == name:
-                for gone, area in stack[at:]:
-                    depth_a -= gone == "a"
-                    group += gone == "article"
-                    depth_form -= gone == "form"
+        if not (sections if name in SECTIONS else since[-1]).get(name):
+            return False
+        while True:
+            gone = stack.pop()[0]
+            depth_a -= gone == "a"
+            group += gone == "article"
+            depth_form -= gone == "form"
+            if gone in SECTIONS:
+                sections[gone] -= 1
+                since.pop()
+            else:
+                since[-1][gone] -= 1
+            if gone == name:
                 form = form if depth_form else 0
-                del stack[at:]
                 return True
-            if stack[at][0] in SECTIONS and name not in SECTIONS:
-                return False
-        return False
 
     end = 0
     breaks = 0
@@ -184,7 +204,19 @@ def blocks_of(html: str, plain_form: int = 0) -> list[Block]:
             forms += 1
             form = form or forms
             depth_form += 1
-        stack.append((name, inside if name == "form" and forms == plain_form else _area(name, attributes, inside)))
+        boxes = stack[-1][2] if stack else ()
+        numbered += 1
+        if name == "form" and forms == plain_form:
+            area = inside
+        else:
+            area, layout = _area(name, attributes, inside, numbered in plain_boxes)
+            boxes = (boxes, numbered) if layout else boxes
+        stack.append((name, area, boxes))
+        if name in SECTIONS:
+            sections[name] = sections.get(name, 0) + 1
+            since.append({})
+        else:
+            since[-1][name] = since[-1].get(name, 0) + 1
         depth_a += name == "a"
     if end < len(html):
         tail = html[end:]
@@ -199,9 +231,46 @@ def blocks_of(html: str, plain_form: int = 0) -> list[Block]:
     largest = max(sizes, key=sizes.__getitem__, default=0)
     if largest and not plain_form and 2 * sizes[largest] > sum(sizes.values()):
         return blocks_of(html, largest)
+    if not plain_boxes and any(block.boxes for block in out):
+        plain = _plain_boxes(out)
+        if plain:
+            return blocks_of(html, plain_form, plain)
     return out
 
 
+def _chain(boxes: tuple) -> list[int]:
+    """Numbers of the boxes around a block, the outermost first."""
+    out = []
+    while boxes:
+        boxes, number = boxes
+        out.append(number)
+    return out[::-1]
+
+
+def _plain_boxes(blocks: list[Block]) -> frozenset:
+    """Boxes around all good text of a page that has no text as good or nearly so outside its boxes."""
+    chains, sizes = [], {}
+    for block in blocks:
+        if block.area in ("comments", "hidden", "gone") or not block.text:
+            continue
+        size, density, stops = _measures(block)
+        if block.boxes and size > 140 and density <= 0.33 and stops >= 0.3:
+            chains.append((_chain(block.boxes), size))
+            sizes[chains[-1][0][0]] = sizes.get(chains[-1][0][0], 0) + size
+        elif not block.boxes and block.area not in ("bad", "title") and size >= 70 and density <= 0.33 and stops >= 0.15:
+            return frozenset()
+    if not chains:
+        return frozenset()
+    first = max(sizes, key=sizes.__getitem__)
+    inner = [chain for chain, _ in chains if chain[0] == first]
+    common = 0
+    for level in zip(*inner):
+        if len(set(level)) > 1:
+            break
+        common += 1
+    return frozenset(inner[0][:common])
+
+
 def _measures(block: Block) -> tuple[int, float, float]:
     """Length, link density and stop-word density."""
     size = len(block.text)
@@ -262,17 +331,20 @@ def final_labels(blocks: list[Block]) -> list[bool]:
     edges count as good, those of a page as bad."""
     n = len(blocks)
     decided = [b.label in (GOOD, BAD) for b in blocks]
+    # The nearest block before and after each that is decided or of another article, in one sweep each.
+    stops = lambda at, of: not 0 <= at < n or decided[at] or blocks[at].group != blocks[of].group
+    earlier, later = [0] * n, [0] * n
+    for at in range(n):
+        earlier[at] = at - 1 if stops(at - 1, at) else earlier[at - 1]
+    for at in range(n - 1, -1, -1):
+        later[at] = at + 1 if stops(at + 1, at) else later[at + 1]
     out = []
     for at, block in enumerate(blocks):
         if decided[at]:
             out.append(block.label == GOOD)
             continue
         main = edge = block.core
-        before, after = at - 1, at + 1
-        while before >= 0 and not decided[before] and blocks[before].group == block.group:
-            before -= 1
-        while after < n and not decided[after] and blocks[after].group == block.group:
-            after += 1
+        before, after = earlier[at], later[at]
 
         def good(place: int) -> bool:
             if 0 <= place < n and blocks[place].group == block.group and (not main or blocks[place].area == block.area):
@@ -300,7 +372,7 @@ def main_text(html: str) -> str:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` of every row.
 
-    Null or empty html gives an empty text.  Blocks are joined in page order by two line feeds;
+    Null or empty html gives an empty text, an empty table no rows; time is linear in the page.  Blocks are joined in page order by two line feeds;
     nothing else is dropped or cut.  Rows are independent: null and repeated ids stay, other
     columns are not read.
     """

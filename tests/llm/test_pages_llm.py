@@ -2,6 +2,7 @@ import base64
 import collections
 import hashlib
 import random
+import time
 
 import pytest
 
@@ -235,3 +236,72 @@ def test_empty_archive(spark):
     out = new_folder(spark, "archive")
     warc.write_archive(frame, out)
     assert warc.captures(warc.read_archive(spark, out)).collect() == []
+
+
+PROSE = "This is the text of the page and it was written by the people who have been in the city for all of the year. " * 4
+
+
+@pytest.mark.parametrize("style", ["layout sidebar-right", "content legal-news", "post popular", "page header"])
+def test_a_layout_word_around_the_whole_text_does_not_count(style):
+    page = '<html><body><div class="nav"><a href="/">Home</a></div>{}<div class="footer">All is said</div></body></html>'
+    inner = f"<p>{PROSE}</p><div class=sidebar><p>{PROSE.upper()}</p></div><p>{PROSE}</p>"
+    text = main_text.main_text(page.format(f'<div class="{style}">{inner}</div>'))
+    assert text == PROSE.strip() + "\n\n" + PROSE.strip()
+    # Beside text of its own the page keeps such a box out, and words of adverts and notices never give way.
+    assert main_text.main_text(page.format(f'<p>{PROSE}</p><div class="{style}"><p>{PROSE.lower()}</p></div>')) == PROSE.strip()
+    assert main_text.main_text(page.format(f'<div class="cookie-notice"><p>{PROSE}</p></div>')) == ""
+    assert main_text.main_text(page.format(f'<div class="comments"><p>{PROSE}</p></div>')) == ""
+
+
+def test_formulas_are_text():
+    text = main_text.main_text(f"<article><p>{PROSE}</p><p>As it is so that <math><mi>x</mi><mo>=</mo><mn>1</mn></math> for all of them in the end.</p></article>")
+    assert "x=1" in text
+
+
+@pytest.mark.parametrize(
+    "html", ["<p>ab</p>" * 20_000, "<b>" * 20_000 + "</i>" * 20_000, "<i><div>" + "<b>" * 20_000 + "</i>" * 20_000, "<div class=sidebar>" * 5_000 + f"<p>{PROSE}</p>"]
+)
+def test_time_is_linear_in_the_page(html):
+    started = time.perf_counter()
+    main_text.main_text(html)
+    assert time.perf_counter() - started < 5
+
+
+def brute_final(blocks):
+    """Pass two as it reads: walk from each undecided block to its neighbours."""
+    out = []
+    for at, block in enumerate(blocks):
+        if block.label in (main_text.GOOD, main_text.BAD):
+            out.append(block.label == main_text.GOOD)
+            continue
+        seen = []
+        for step in (-1, 1):
+            place, distance = at + step, 1
+            while 0 <= place < len(blocks) and blocks[place].group == block.group and blocks[place].label not in (main_text.GOOD, main_text.BAD):
+                place, distance = place + step, distance + 1
+            inside = 0 <= place < len(blocks) and blocks[place].group == block.group
+            counts = inside and (not block.core or blocks[place].area == block.area)
+            seen.append((blocks[place].label == main_text.GOOD if counts else block.core, distance))
+        (left, before), (right, after) = seen
+        if left == right:
+            out.append(left)
+        elif block.label == main_text.NEAR or block.core:
+            out.append(True)
+        elif block.heading:
+            out.append(right)
+        else:
+            out.append(left if before < after else right if after < before else False)
+    return out
+
+
+def test_pass_two_against_loops():
+    draw = random.Random(3)
+    for _ in range(400):
+        blocks, group = [], 0
+        for _ in range(draw.randrange(0, 25)):
+            group += draw.random() < 0.15
+            block = main_text.Block("t", 0, draw.choice(["main", "outer", ""]), draw.random() < 0.2, group)
+            block.label = draw.choice([main_text.GOOD, main_text.BAD, main_text.NEAR, main_text.SHORT, main_text.SHORT])
+            block.core = draw.random() < 0.4
+            blocks.append(block)
+        assert main_text.final_labels(blocks) == brute_final(blocks)

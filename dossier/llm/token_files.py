@@ -30,46 +30,57 @@ MAGIC = b"TOK1"
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_tokens, and ids as little-endian 32-bit numbers, or 16-bit where they fit."""
+    """doc_id, n_tokens, ids as little-endian 32-bit numbers, or 16-bit where they fit, and null; behind
+    them each task adds one row of nulls with ``counts``, how often it saw each id from 0 on, as 64-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = byte_codec(path)
-        width = np.uint16 if max(codec.vocab_size, end_id + 1) <= 1 << 16 else np.uint32
+        size = max(codec.vocab_size, end_id + 1)
+        width = np.uint16 if size <= 1 << 16 else np.uint32
+        names = ["doc_id", "n_tokens", "ids", "counts"]
+        total = np.zeros(size, np.int64)
         for batch in batches:
-            lengths, rows = [], []
+            lengths, rows, held = [], [], 0
+            waiting: list = []
             for ids in codec.encode([text or "" for text in batch.column(1).to_pylist()]):
                 lengths.append(len(ids) + 1)
+                waiting.append(ids)
+                held += len(ids)
                 rows.append(np.append(ids, end_id).astype(width).tobytes())
-            yield pa.record_batch(
-                [batch.column(0), pa.array(lengths, pa.int64()), pa.array(rows, pa.binary())],
-                names=["doc_id", "n_tokens", "ids"],
-            )
-        codec.forget()
+                if held > 1_000_000:
+                    total += np.bincount(np.concatenate(waiting), minlength=size)
+                    waiting, held = [], 0
+            if waiting:
+                total += np.bincount(np.concatenate(waiting), minlength=size)
+            total[end_id] += len(rows)
+            none = pa.nulls(len(rows), pa.binary())
+            yield pa.record_batch([batch.column(0), pa.array(lengths, pa.int64()), pa.array(rows, pa.binary()), none], names=names)
+        codec.trim()
+        last = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())]
+        yield pa.record_batch(last, names=names)
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return narrow.mapInArrow(run, "doc_id long, n_tokens long, ids binary, counts binary")
 
 
 def unpacked(raw: bytes, n_tokens: int) -> np.ndarray:
     return np.frombuffer(raw, "<u2" if len(raw) == 2 * n_tokens else "<u4").astype(np.int64)
 
 
-def token_counts(ids: DataFrame) -> DataFrame:
-    """(id, n) over the whole corpus; counted per task before the shuffle."""
+def token_counts(tokens: DataFrame) -> DataFrame:
+    """(id, n) over the whole corpus, from the counts that the tokenising tasks left."""
 
     def run(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            if not batch.num_rows:
-                continue
-            seen = np.bincount(np.concatenate([unpacked(raw, n) for raw, n in rows]), minlength=len(total))
-            seen[: len(total)] += total
-            total = seen
+            for raw in batch.column(0).to_pylist():
+                seen = np.frombuffer(raw, np.int64)
+                total = seen + total if len(total) else seen
         used = np.flatnonzero(total)
         yield pa.record_batch([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
-    return ids.select("ids", "n_tokens").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    left = tokens.where(F.col("counts").isNotNull()).select("counts")
+    return left.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_token_files(
@@ -87,11 +98,12 @@ def write_token_files(
     Null text counts as empty: its only id is the end id.  Null ids come first; repeated
     ids keep all their rows, in an order given by their contents.  A doc_id that fills several
     buckets is spread over them.  The driver holds one count per vocabulary entry and one
-    boundary per bucket.
+    boundary per bucket.  A very long text is one frame; an empty table gives no frames and no codes; extra columns are not read.
     """
     spark = docs.sparkSession
-    ids = staged(tokenized(docs, tokenizer_path, end_id, id_col, text_col), "token-ids")
-    counted = token_counts(ids).collect()  # at most one row per vocabulary entry
+    tokens = staged(tokenized(docs, tokenizer_path, end_id, id_col, text_col), "token-ids")
+    counted = token_counts(tokens).collect()  # at most one row per vocabulary entry
+    ids = tokens.where(F.col("n_tokens").isNotNull()).select("doc_id", "n_tokens", "ids")
     size = max([end_id, *(row["id"] for row in counted)]) + 1
     counts = np.zeros(size, np.int64)
     for row in counted:
@@ -102,7 +114,7 @@ def write_token_files(
 
     buckets = max(1, -(-int(counts.sum()) // ids_per_file))
     shares = [i / buckets for i in range(1, buckets)]
-    cuts = ids.agg(F.percentile_approx("doc_id", shares, 10_000)).head()[0] if shares else []
+    cuts = ids.agg(F.percentile_approx("doc_id", shares, max(10_000, 20 * buckets))).head()[0] if shares else []
     cuts = np.array(cuts or [], np.int64)
     coder = Coder(lengths)
 
@@ -136,7 +148,7 @@ def write_token_files(
             yield pa.record_batch([pa.array(out, pa.binary())], names=["value"])
 
     encoded = ids.mapInArrow(encode, "doc_id long, bucket int, tie long, n_tokens long, body binary")
-    ordered = encoded.repartition(buckets, "bucket").sortWithinPartitions("bucket", "doc_id", "n_tokens", "tie")
+    ordered = encoded.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "doc_id", "n_tokens", "tie")
     framed = ordered.select("doc_id", "bucket", "n_tokens", "body").mapInArrow(frame, "value binary")
     # The text writer puts out the bytes as they are, and a line feed after each frame.
     framed.select(F.col("value").cast("string")).write.mode("overwrite").option("maxRecordsPerFile", 200_000).text(f"{out}/ids")

@@ -14,7 +14,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 from dossier.llm.bpe import byte_alphabet
-from dossier.llm.words import KEEP, WHITE_SPACE, Interner, Ragged, numbered_parts, slices
+from dossier.llm.words import KEEP, WHITE_SPACE, Interner, Ragged, first_rows, numbered_parts, slices
 
 # Letters, digits and punctuation whose class is beyond doubt, and the two common spaces.
 PLAIN = re.compile(r"[ -~\nÀ-ÖØ-öø-ÿ]*")
@@ -46,6 +46,12 @@ class ByteCodec:
         self.spaced, self.bare, self.pieces = Interner(), Interner(), Interner()
         self.spaced_ids, self.bare_ids, self.piece_ids = (Ragged(np.int32) for _ in range(3))
 
+    def trim(self, keep: int = 100_000) -> None:
+        """Free what a task took but for the ``keep`` stretches that it met first, most of the frequent ones among them."""
+        self.spaced, self.spaced_ids = first_rows(self.spaced, self.spaced_ids, keep)
+        self.bare, self.bare_ids = first_rows(self.bare, self.bare_ids, keep)
+        self.pieces, self.piece_ids = first_rows(self.pieces, self.piece_ids, keep)
+
     def _cut_spaced(self, stretch: str) -> list[str]:
         """Pieces of a stretch that a space precedes."""
         if common := WORD_AND_MARKS(stretch):

@@ -7,6 +7,7 @@ out once per distinct word of a task and then gathered by number.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +64,16 @@ class Ragged:
         return self.starts[rows + 1] - self.starts[rows]
 
 
+def first_rows(interner: Interner, table: Ragged, keep: int) -> tuple[Interner, Ragged]:
+    """The first ``keep`` words and their rows, without the memory of the others; all words must be worked out."""
+    if len(interner) <= keep:
+        return interner, table
+    words, rows = Interner(), Ragged(table.flat.dtype)
+    words.update(islice(interner.items(), keep))
+    rows.flat, rows.starts = table.flat[: table.starts[keep]].copy(), table.starts[: keep + 1].copy()
+    return words, rows
+
+
 def slices(texts: list[str], chars: int = 8_000_000) -> Iterator[list[str]]:
     """Texts in order, in lists of about ``chars`` characters or one longer text."""
     part: list[str] = []

@@ -20,6 +20,7 @@ from dossier.operators import (
     visited,
 )
 from dossier.operators import report_text as reporting
+from dossier.operators.index import SearchIndex
 from dossier.plans import workload as given
 from dossier.plans.research import ResearchRun, choose_agents, plan_queries
 from dossier.settings import DEFAULTS
@@ -182,6 +183,21 @@ def term_stats(spark, sf_dir):
     )
 
 
+@query
+def index_append(spark, sf_dir):
+    """The same statistics from an index that grew in three steps, each handed some documents again, and was compacted between."""
+    index = SearchIndex(spark, new_folder(spark, "index"))
+    docs = _documents(spark, sf_dir).select(F.col("doc_id").alias("doc_key"), "text", F.pmod("doc_id", F.lit(3)).alias("third"))
+    for step in range(3):
+        index.append(docs.where(F.col("third") <= step))
+        if step == 1:
+            index.compact()
+    size = index.size()
+    return index.term_stats().select(
+        "*", size.select("n_docs").scalar().alias("n_docs"), F.round(size.select("avg_dl").scalar(), 6).alias("avg_dl")
+    )
+
+
 def _document_hits(spark, sf_dir):
     docs = _documents(spark, sf_dir)
     tasks = given.table(spark, sf_dir, "benchmark")

@@ -1,21 +1,18 @@
 """The store of completions: written in segments, read by parts, compacted without stopping writers.
 
-Each write of a job is a segment of its own, split by a hash of prompt_id into parts.  A log names the segments
-and those that a compaction has replaced; a segment counts if it is named and not replaced.  So writers never touch
-each other's files: what was appended while a compaction ran is not among what it replaces, and two compactions at
-once leave some rows twice, which readers take as one.
+Each write of a job is a segment of its own (:mod:`dossier.sinks.segments`), split by a hash of prompt_id into
+parts.  Two compactions at once leave some rows twice, which readers take as one.
 """
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dossier.sinks.segments import Segments
+
 # ``batch`` names the round of calls that made a row, so a prompt's failed tries are told apart however often they are copied.
 ROW = "prompt_id string, content string, error string, batch string"
-LOG = "segment string, replaced array<string>"
 PARTS = 64
 # Blocks of a part, by which calls are dealt out; a task's blocks follow each other, so it writes to few parts.
 BLOCKS = 1024
@@ -29,39 +26,19 @@ def part() -> Column:
     return F.floor(block() / BLOCKS).cast("int")
 
 
-class CompletionStore:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    def segments(self) -> list[str]:
-        """Segments that count; compaction keeps them few."""
-        base = f"{self.path}/log"
-        self.spark.createDataFrame([], LOG).write.mode("ignore").parquet(base)
-        log = self.spark.read.schema(LOG).parquet(base).collect()  # one row per write and compaction
-        gone = {s for row in log for s in row["replaced"] or []}
-        return sorted({row["segment"] for row in log} - gone)
-
-    def _name(self, segment: str, replaced: list[str]) -> None:
-        row = self.spark.createDataFrame([(segment, replaced)], LOG).coalesce(1)
-        row.write.mode("append").parquet(f"{self.path}/log")
-
+class CompletionStore(Segments):
     def append(self, rows: DataFrame) -> None:
         """Add rows (ROW) as a segment, as they come: nothing is shuffled between a call and its row in the store."""
-        segment = uuid.uuid4().hex
-        made = rows.withColumn("part", part())
-        made.write.partitionBy("part").parquet(f"{self.path}/rows/segment=s{segment}")
-        self._name(f"s{segment}", [])
+        segment = self.new_segment()
+        rows.withColumn("part", part()).write.partitionBy("part").parquet(self.folder("rows", segment))
+        self._name(segment, [])
 
     def rows(self, parts: list[int] | None = None) -> DataFrame:
         """Rows of all segments that count, of the given parts only."""
         return self._of(self.segments(), parts)
 
     def _of(self, segments: list[str], parts: list[int] | None = None) -> DataFrame:
-        shape = ROW + ", segment string, part int"
-        if not segments:
-            return self.spark.createDataFrame([], shape)
-        base = f"{self.path}/rows"
-        found = self.spark.read.schema(shape).option("basePath", base).parquet(*[f"{base}/segment={s}" for s in segments])
+        found = self.stored("rows", segments, ROW + ", segment string, part int")
         return found if parts is None else found.where(F.col("part").isin(parts))
 
     def parts_of(self, prompts: DataFrame) -> list[int]:
@@ -78,20 +55,10 @@ class CompletionStore:
         done = good.agg(F.min("content").alias("content"), F.lit(None).cast("string").alias("error"), F.min("batch").alias("batch"))
         failed = rows.where(F.col("error").isNotNull()).join(done.select("prompt_id"), "prompt_id", "left_anti").distinct()
         merged = done.unionByName(failed).withColumn("part", part()).hint("rebalance", F.col("part"))
-        segment = f"s{uuid.uuid4().hex}"
-        merged.write.partitionBy("part").parquet(f"{self.path}/rows/segment={segment}")
+        segment = self.new_segment()
+        merged.write.partitionBy("part").parquet(self.folder("rows", segment))
         self._name(segment, old)
 
-    def vacuum(self) -> int:
-        """Delete the files of replaced segments, when nobody reads them any more; returns how many went."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        log = self.spark.read.schema(LOG).parquet(f"{self.path}/log").collect()
-        gone = 0
-        for segment in sorted({s for row in log for s in row["replaced"] or []}):
-            folder = path(f"{self.path}/rows/segment={segment}")
-            gone += folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
-        return gone
-
     def completions(self) -> DataFrame:
         """The stored completions, one row per prompt_id whatever number of writers made it."""
         good = merged_rows(self.rows().where(F.col("error").isNull()))

@@ -27,6 +27,7 @@ from dossier.settings import DEFAULTS
 from dossier.sinks import outputs
 from dossier.sinks.completions import CompletionStore
 from dossier.sinks.stage import new_folder, stage
+from dossier.sources.page_store import store_page_texts
 from dossier.sources.tables import read_findings, read_txt_findings, spread, stream_deltas
 from dossier.streaming.deltas import stream_report_messages
 from dossier.streaming.runs import ResearchStream
@@ -416,6 +417,16 @@ def page_lookup(spark, sf_dir):
     )
 
 
+@query
+def page_lookup_stored(spark, sf_dir):
+    """The same from a store of the crawl's texts that is bucketed by URL: a lookup moves visits, not texts."""
+    run = _research(spark, sf_dir)
+    store = store_page_texts(run.page_texts, new_folder(spark, "page-store"), TASKS)
+    return pages.page_lookup(run.visits, store).select(
+        "run_id", "query_idx", F.col("rank").cast("bigint").alias("rank"), "url", "page_id", "status", "text"
+    )
+
+
 @query
 def finding_status(spark, sf_dir):
     return _research(spark, sf_dir).findings.select(

@@ -455,5 +455,6 @@ SELECT run_id, micros, {fill(fixed.LOG_RUN_TIME, duration=duration('micros'))} A
 SELECT run_id, query_idx, url, part, 'raw' AS kind, {fill(fixed.MEMORY_RAW, url='url', part='part + 1', chunk='chunk')} AS record FROM visit_chunks
 UNION ALL SELECT run_id, query_idx, url, part, 'summary', {fill(fixed.MEMORY_SUMMARY, url='url', part='part + 1', summary='summary')} FROM chunk_summaries""",
 }
-# The same result by another way of storing its input.
+# The same results by another way of storing their input.
+ORACLES["page_lookup_stored"] = ORACLES["page_lookup"]
 ORACLES["index_append"] = ORACLES["term_stats"]

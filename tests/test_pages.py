@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from dossier.functions.html import anchors, body_text, decode_entities
 from dossier.functions.urls import resolve_url
 from dossier.operators import pages
+from dossier.sinks.stage import new_folder
+from dossier.sources import page_store
+from dossier.sources.page_store import store_page_texts
 
 HEADINGS = {"h1", "h2", "h3", "h4", "h5"}
 # Elements that end an open paragraph.
@@ -166,3 +169,28 @@ def test_lookup_statuses(rows):
     texts = rows([("u", 1, "words"), ("blank", 2, "")], "url string, page_id long, text string")
     got = {r.url: r.status for r in pages.page_lookup(visits, texts).collect()}
     assert got == {"u": "ok", "gone": "no_page", "blank": "empty_text", "": "no_url"}
+
+
+def test_a_lookup_leaves_stored_texts_where_they_are(spark, rows):
+    path = new_folder(spark, "page-store")
+    texts = rows(
+        [(i, f"http://h/{i % 30}", f"text {i}") for i in range(70)] + [(99, None, "x"), (98, "http://h/e", "")], "page_id long, url string, text string"
+    )
+    store_page_texts(texts, path, 4)
+    spark.sql("DROP TABLE " + page_store._table(path))  # as in a session that did not write it
+    store = page_store.read_page_texts(spark, path)
+    visits = rows([("r", f"http://h/{i}") for i in (3, 3, 29, 40)] + [("s", None), ("s", "http://h/e"), ("s", "")], "run_id string, url string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        looked = pages.page_lookup(visits, store)
+        got = sorted((r.run_id, str(r.url), r.page_id, r.status, r.text) for r in looked.collect())
+        plan = looked._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    newest = {f"http://h/{i % 30}": i for i in range(70)}
+    want = [("r", u, newest.get(u), "ok" if u in newest else "no_page", f"text {newest[u]}" if u in newest else None) for u in ("http://h/3", "http://h/3", "http://h/29", "http://h/40")]
+    want += [("s", "None", None, "no_url", None), ("s", "http://h/e", 98, "empty_text", ""), ("s", "", None, "no_url", None)]
+    assert got == sorted(want)
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in final

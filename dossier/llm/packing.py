@@ -1,13 +1,16 @@
 """Best-fit packing of token sequences into bins of several permitted lengths.
 
-Pieces go, longest first, into the open bin that they fill best.  If none fits, the bin
-size of least cost per token it can still expect to hold is opened; at the end
-each bin shrinks to the least permitted length that holds its contents.
+Pieces go, longest first, into the open bin that they fill best.  If none fits, a bin is opened of the length that
+costs least per token that it can expect to hold: what the pieces still to come, by their lengths, would fill of each
+permitted length.  At the end each bin shrinks to the least permitted length that holds its contents.  A shard is also
+packed with each length alone (and longer ones only for pieces that need them), and the cheapest packing counts: bins
+cost their lengths and a fixed part each.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -22,24 +25,49 @@ BIN_COST = 32  # of any bin, in tokens, beside its length
 
 
 class Packer:
-    """Bins of one shard.  ``remaining`` is the volume of pieces still to come."""
+    """Bins of one shard.  ``lengths`` are those of all pieces still to come; with ``single`` only that length is
+    opened, or the least that holds a longer piece."""
 
-    def __init__(self, sizes: tuple[int, ...], bin_cost: int, remaining: int) -> None:
+    def __init__(self, sizes: tuple[int, ...], bin_cost: int, lengths: Iterable[int] = (), single: int | None = None) -> None:
         self.sizes = sorted(sizes)
         self.bin_cost = bin_cost
-        self.remaining = remaining
+        self.single = single
+        self.coming = Counter(lengths)
+        self.lengths = sum(1 << n for n in self.coming)  # bit n is set if a piece of length n is to come
         self.bins: list[list] = []  # [used, contents]
         self.open: list[list[int]] = [[] for _ in range(self.sizes[-1] + 1)]  # bins by free space
         self.mask = 0  # bit n is set if a bin has n free
 
+    def fill(self, space: int) -> int:
+        """How much of ``space`` the pieces to come fill, the longest that fit first."""
+        filled, lengths = 0, self.lengths
+        while lengths := lengths & ((1 << (space - filled + 1)) - 1):
+            n = lengths.bit_length() - 1
+            filled += n * min(self.coming[n], (space - filled) // n)
+            lengths ^= 1 << n
+        return filled
+
+    def cost(self, used: int) -> int:
+        """Of a bin that has shrunk to its contents."""
+        return next(s for s in self.sizes if s >= used) + self.bin_cost
+
     def least_cost(self, size: int) -> int:
-        """The permitted length, at least ``size``, that costs least per token it may hold."""
-        volume = size + self.remaining
-        fitting = [s for s in self.sizes if s >= size]
-        return min(fitting, key=lambda s: ((s + self.bin_cost) / min(s, volume), s))
+        """The permitted length, at least ``size``, that costs least per token it can expect to hold."""
+        fitting = [s for s in self.sizes if s >= max(size, self.single or 0)]
+        if self.single:
+            return fitting[0]
+        held = {s: size + self.fill(s - size) for s in fitting}
+        return min(fitting, key=lambda s: (self.cost(held[s]) / held[s], s))
+
+    def total(self) -> int:
+        return sum(self.cost(used) for used, _ in self.bins)
 
     def add(self, size: int, item: tuple) -> None:
-        self.remaining -= size
+        if size in self.coming:
+            self.coming[size] -= 1
+            if not self.coming[size]:
+                del self.coming[size]
+                self.lengths ^= 1 << size
         fits = self.mask >> size
         if fits:
             free = size + (fits & -fits).bit_length() - 1
@@ -65,6 +93,18 @@ class Packer:
             yield number, next(s for s in self.sizes if s >= used), used, contents
 
 
+def packed_shard(items: list[tuple], sizes: tuple[int, ...], bin_cost: int) -> Packer:
+    """The cheapest packing of (length, doc_id, start) pieces, in falling length: jointly chosen lengths, or one alone."""
+    best = None
+    for single in (None, *sizes):
+        packer = Packer(sizes, bin_cost, (item[0] for item in items) if single is None else (), single)
+        for size, doc, start in items:
+            packer.add(size, (doc, start))
+        if best is None or packer.total() < best.total():
+            best = packer
+    return best
+
+
 def token_lengths(docs: DataFrame, path: str, id_col: str, text_col: str, end_tokens: int) -> DataFrame:
     """(doc_id, n_tokens) of every row, the end token included."""
 
@@ -97,7 +137,7 @@ def best_fit(
     size is cut, all others are whole.  Every token of every row is in just one bin.
     A null text counts as empty and takes its end token only; null and repeated ids are packed like any others.
     Rows are dealt to shards of about ``shard_rows`` each, whatever their keys, and each shard is packed
-    by itself in descending length.
+    by itself in descending length.  An empty table gives no rows; extra columns are not read.
     """
     lengths = staged(token_lengths(docs, tokenizer_path, id_col, text_col, end_tokens), "token-lengths")
     shards = max(1, -(-lengths.count() // shard_rows))
@@ -113,9 +153,7 @@ def best_fit(
                 if n > whole:
                     items.append((n - whole, doc, whole))
         items.sort(key=lambda item: -item[0])
-        packer = Packer(sizes, bin_cost, sum(item[0] for item in items))
-        for size, doc, start in items:
-            packer.add(size, (doc, start))
+        packer = packed_shard(items, sizes, bin_cost)
         base = TaskContext.get().partitionId() << 33
 
         def rows() -> Iterator[tuple]:

@@ -155,10 +155,64 @@ def test_packing_keeps_every_token(spark):
 
 
 def test_the_best_fitting_open_bin_is_taken():
-    packer = packing.Packer((10, 20), bin_cost=2, remaining=100)
+    packer = packing.Packer((10, 20), bin_cost=2, lengths=[18, 15, 5, 2, 1])
     for size, name in ((18, "a"), (15, "b"), (5, "c"), (2, "d"), (1, "e")):
         packer.add(size, (name,))
     got = [(capacity, used, [c[2][0] for c in contents]) for _, capacity, used, contents in packer.packed()]
     assert got == [(20, 20, ["a", "d"]), (20, 20, ["b", "c"]), (10, 1, ["e"])]
-    assert packing.Packer((10, 20), 2, 0).least_cost(7) == 10
-    assert packing.Packer((10, 20), 2, 90).least_cost(7) == 20
+    assert packing.Packer((10, 20), 2).least_cost(7) == 10
+    assert packing.Packer((10, 20), 2, [7, 6, 7, 3, 3] * 4).least_cost(7) == 20
+    # What is to come cannot fill the longer bin, however much it is.
+    assert packing.Packer((10, 20), 2, [10] * 9).least_cost(10) == 20
+    assert packing.Packer((10, 20), 2, [12] * 9).least_cost(9) == 10
+
+
+def lengths_of(kind, seed=1):
+    draw = random.Random(seed)
+    shapes = {
+        "short": lambda: draw.randrange(20, 200), "even": lambda: draw.randrange(1, 8192), "halves": lambda: draw.choice([4200, 2100, 1030, 520]),
+        "log": lambda: min(8191, int(draw.lognormvariate(6, 1.2)) + 1), "two": lambda: draw.choice([5000, 3000, 900]),
+    }
+    return sorted((shapes[kind]() for _ in range(1500)), reverse=True)
+
+
+@pytest.mark.parametrize("kind", ["short", "even", "halves", "log", "two"])
+def test_joint_lengths_cost_no_more_than_the_best_single_one(kind):
+    items = [(n, i, 0) for i, n in enumerate(lengths_of(kind))]
+    sizes = packing.SIZES
+    best = packing.packed_shard(items, sizes, 32)
+    held = sorted(i for _, _, _, contents in best.packed() for _, _, (i, _) in contents)
+    assert held == list(range(len(items)))
+    for single in sizes:
+        alone = packing.Packer(sizes, 32, (), single)
+        for n, i, start in items:
+            alone.add(n, (i, start))
+        assert best.total() <= alone.total()
+    assert best.total() >= sum(n for n, _, _ in items)
+
+
+def optimum(lengths, sizes, bin_cost):
+    """Least cost over all ways to split the pieces into bins."""
+    if not lengths:
+        return 0
+    first, rest = lengths[0], lengths[1:]
+    least = float("inf")
+    for pick in range(1 << len(rest)):
+        inside = [n for i, n in enumerate(rest) if pick >> i & 1]
+        used = first + sum(inside)
+        if used <= max(sizes):
+            outside = [n for i, n in enumerate(rest) if not pick >> i & 1]
+            least = min(least, min(s for s in sizes if s >= used) + bin_cost + optimum(outside, sizes, bin_cost))
+    return least
+
+
+def test_tiny_inputs_come_close_to_the_optimum():
+    draw = random.Random(2)
+    equal = 0
+    for _ in range(60):
+        lengths = sorted((draw.randrange(1, 21) for _ in range(draw.randrange(1, 7))), reverse=True)
+        got = packing.packed_shard([(n, i, 0) for i, n in enumerate(lengths)], (5, 10, 20), 2).total()
+        best = optimum(lengths, (5, 10, 20), 2)
+        assert best <= got <= 1.35 * best
+        equal += got == best
+    assert equal >= 48

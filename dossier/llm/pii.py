@@ -1,7 +1,7 @@
 """Personal data and secrets replaced by keyed surrogates, in SQL expressions only.
 
 Entities are found by one pattern; each distinct entity of the corpus gets one surrogate of its own
-type and shape, so all its mentions stay linked.  A surrogate is derived from a secret key.  If
+type and shape, so mentions that are spelt alike stay linked.  A surrogate is derived from a secret key.  If
 two entities draw the same one, or a surrogate is itself an entity of the corpus, the later
 entity draws again, after some draws from a space that each further draw makes larger.
 """

@@ -43,8 +43,8 @@ class Paragraphs(StatefulProcessor):
         self.handle.registerTimer(now + self.idle_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        stored = self.place.get() if self.place.exists() else None
-        if stored is None and self.over.exists():
+        stored = self.place.get()
+        if stored is None and self.over.get() is not None:
             for _ in rows:  # sent again, or sent after the run was given up
                 pass
             return

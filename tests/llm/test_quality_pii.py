@@ -171,6 +171,68 @@ def test_shapes_that_run_out(spark):
     assert row._n_entities == 1 and re.fullmatch(r"my password: \S{8,} is masked", row.text) and "********" not in row.text
 
 
+def test_mentions_stay_linked_in_their_own_format(spark):
+    texts = [
+        "4041 8949 7460 8795, 4041894974608795; Jo@x.org jo@x.org JO@X.ORG; +49 171 2345678 or +49-171-2345678 or +491712345678",
+        "Mr. John Brown met Mr Brown; later Brown's dog and John left with BROWN. Brownish",
+        "Frau Anna Maria Schmidt, Mr. J. Smith, Frau Dr. Ludwig von Beethoven, Herr MÜLLER-LÜDENSCHEID, Herr Müller-Lüdenscheid",
+        "0171 2345678, 2001:db8::1, 2001:DB8::1 on 01-02-2024 12:30, DE89 3704 0044 0532 0130 00, DE89370400440532013000",
+        "password=abc123xyz token: abc123xyz",
+        "std::vector 12:30:45 a::b Brown 01-02-2024 12:30",
+        "Mr " + "Abc " * 50_000,
+        "Mr Brown of another text",
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    new = {r.doc_id: r.text for r in pii.pseudonymised(frame, "k").collect()}
+    one, two, a, b, c, p, q, r = re.fullmatch(
+        r"([\d ]{19}), (\d{16}); (\S+) (\S+) (\S+); (\+49 \d{3} \d{7}) or (\+49-\d{3}-\d{7}) or (\+49\d{10})", new[0]
+    ).groups()
+    assert one.replace(" ", "") == two != "4041894974608795" and a.lower() == b == c.lower() != "jo@x.org" and a[0].isupper() and c.isupper()
+    assert p.replace(" ", "") == q.replace("-", "") == r
+    people = re.fullmatch(r"Mr\. (\w+) (\w+) met Mr (\w+); later (\w+)'s dog and (\w+) left with (\w+)\. Brownish", new[1])
+    given, family = people[1], people[2]
+    assert people.groups()[2:] == (family, family, given, family.upper()) and family != "Brown" and given != "John"
+    assert new[7] == f"Mr {family} of another text"
+    assert not re.search(r"Anna|Maria|Schmidt|J\.|Smith|Ludwig|Beethoven|(?i:m.ller|denscheid)", new[2])
+    first, *_, capitals, plain = new[2].split(", ")
+    assert re.fullmatch(r"Frau \w+ \w+ \w+", first) and plain.split()[1].upper() == capitals.split()[1]
+    assert re.fullmatch(r"0\d{3} \d{7}, (\d{4}:[a-f]{2}\d::\d), \1 on 01-02-2024 12:30, DE[\d ]{25}, DE\d{20}", new[3]) and "2345678" not in new[3]
+    spaced, solid = new[3].split(", ")[-2:]
+    assert spaced.replace(" ", "") == solid != "DE89370400440532013000" and int(solid[4:] + "1314" + solid[2:4]) % 97 == 1
+    assert re.fullmatch(r"password=(\S{9}) token: \1", new[4]) and "abc123xyz" not in new[4]
+    assert new[5] == texts[5] and "Abc" not in new[6]
+
+
+def test_random_mentions_against_what_was_planted(spark):
+    """Texts made of fillers and mentions of known identity: fillers stay, equal identities stay equal, others differ."""
+    draw = random.Random(11)
+    digits = lambda n: "".join(draw.choice("0123456789") for _ in range(n))
+    identities = [("phone", "+49" + "17" + digits(8)) for _ in range(30)] + [("mail", f"u{digits(3)}@host{digits(2)}.org") for _ in range(30)]
+    identities += [("ssn", digits(9)) for _ in range(30)]
+
+    def shown(kind: str, identity: str) -> str:
+        if kind == "phone":
+            sep = draw.choice(" -.")
+            return sep.join([identity[:3], identity[3:6], identity[6:9], identity[9:]])
+        if kind == "mail":
+            return draw.choice([identity, identity.upper(), identity.capitalize()])
+        return f"{identity[:3]}-{identity[3:5]}-{identity[5:]}"
+
+    planted = [[draw.choice(identities) for _ in range(draw.randint(0, 6))] for _ in range(60)]
+    texts = ["start " + "".join(f"| {shown(*mention)} |" for mention in row) + " end" for row in planted]
+    rows = pii.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()
+    new = {r.doc_id: r for r in rows}
+    plain = lambda s: re.sub(r"[ .-]", "", s.lower()) if "@" not in s else s.lower()
+    known: dict = {}
+    for i, row in enumerate(planted):
+        before, after = re.split(r"[|]", texts[i]), re.split(r"[|]", new[i].text)
+        assert new[i]._n_entities == len(row) and len(before) == len(after) and before[0] == after[0] and before[-1] == after[-1]
+        for mention, old, fresh in zip(row, before[1::2], after[1::2]):
+            assert re.sub(r"\d", "0", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", old.rsplit(".", 1)[0]))) == re.sub(r"\d", "0", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", fresh.rsplit(".", 1)[0])))
+            assert known.setdefault(mention, plain(fresh.strip())) == plain(fresh.strip())
+    assert len(set(known.values())) == len(known) and not set(known.values()) & {identity for _, identity in identities}
+
+
 def test_luhn(spark):
     for number, right in (("4041894974608795", True), ("4041894974608796", False), ("0000000000000", True)):
         assert spark.range(1).select(pii.luhn_valid(F.lit(number))).first()[0] == right

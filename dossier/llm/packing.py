@@ -115,7 +115,7 @@ def token_lengths(docs: DataFrame, path: str, id_col: str, text_col: str, end_to
             yield pa.record_batch(
                 [batch.column(0), pa.array([n + end_tokens for n in counts], pa.int64())], names=["doc_id", "n_tokens"]
             )
-        codec.forget()
+        codec.trim()
         pa.default_memory_pool().release_unused()
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

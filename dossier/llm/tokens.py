@@ -126,7 +126,7 @@ class ByteCodec:
 
     def counts(self, texts: list[str]) -> Iterator[int]:
         """Number of ids of each text.  Its slices are small, as there are no ids to gather at length."""
-        for part in slices(texts, 2_000_000):
+        for part in slices(texts, 4_000_000):
             for text, table, numbers, first in self._rows(part):
                 if table is None:
                     yield len(self.tokenizer.encode(text, add_special_tokens=False).ids)

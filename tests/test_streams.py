@@ -1,9 +1,12 @@
+import glob
 import json
 import os
 import random
 import time
 import uuid
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,11 +14,13 @@ from dossier import schemas
 from dossier.operators.infer import extractive_completer
 from dossier.operators.runlog import log_rows
 from dossier.operators.report_text import report_messages, report_text
+from dossier.plans import catalog
+from dossier.plans import workload as given
 from dossier.sinks.batches import BatchTables
 from dossier.sinks.outputs import append_run_log, read_run_log, stream_run_log
-from dossier.sinks.stage import new_folder
+from dossier.sinks.stage import new_folder, run_folder
 from dossier.sources.tables import stream_deltas, stream_messages
-from dossier.streaming.deltas import stream_report_messages
+from dossier.streaming.deltas import stream_report_messages, stretches
 from dossier.streaming.requests import run_requests
 from dossier.streaming.runs import ResearchStream
 from dossier.streaming.state import disk_state
@@ -225,3 +230,62 @@ def test_a_stored_log_lies_by_run(spark, rows):
     assert read_run_log(spark, log).count() == 800
     one = read_run_log(spark, log, "r7")
     assert one.count() == 20 and len({f for f in one.select("_metadata.file_path").distinct().collect()}) <= 2
+
+
+def test_a_state_is_handed_a_row_per_run_and_batch(rows, spark):
+    source = new_folder(spark, "deltas")
+    texts = [f"w{i}\n" if i % 7 == 0 else f"w{i} " for i in range(2000)]
+    data = [(r, i, None if i == 5 else t, i == len(texts) - 1) for r in ("a", "b") for i, t in enumerate(texts)]
+    deltas = rows(data, schemas.DELTA)
+    deltas.coalesce(1).write.parquet(source)
+    out, state = new_folder(spark, "messages"), new_folder(spark, "state")
+    with disk_state(spark):
+        writer = stream_report_messages(stream_deltas(spark, source)).writeStream.format("parquet").option("path", out)
+        query = writer.option("checkpointLocation", state).trigger(availableNow=True).start()
+        query.awaitTermination()
+    assert shuffled_rows(spark, query) <= 4
+    got = {tuple(r) for r in spark.read.parquet(out).select("run_id", "msg_no", "output").collect()}
+    assert got == {(m.run_id, m.msg_no, m.output) for m in report_messages(deltas).collect()}
+
+
+def shuffled_rows(spark, query):
+    """Rows that the stages of a stream have written for a shuffle."""
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    store = context._jsc.sc().statusStore()
+    none = context._gateway.new_array(context._jvm.double, 0)
+    jobs = store.jobsList(None)
+    mine = {}
+    for i in range(jobs.size()):
+        job = jobs.apply(i)
+        if job.jobGroup().isDefined() and job.jobGroup().get() == str(query.runId):
+            ids = job.stageIds()
+            mine |= {ids.apply(k): None for k in range(ids.size())}
+    stages = store.stageList(None, False, False, none, context._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()) if stages.apply(i).stageId() in mine)
+
+
+def test_a_second_delivery_is_written_by_all_tasks(spark, sf_dir, tmp_path):
+    # Four files of turns: no step may draw them into one task.
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    folder = str(tmp_path / "in")
+    turns.repartition(4, "conv_id").write.parquet(f"{folder}/conversations.parquet")
+    got = catalog.report_messages_replayed(spark, folder)
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in report_messages(given.deltas(spark, folder)).collect()}
+    deltas = sorted(glob.glob(f"{run_folder(spark)}/deltas-*"), key=os.path.getmtime)[-1]
+    assert len(glob.glob(f"{deltas}/*.parquet")) == 2 * spark.read.parquet(f"{folder}/conversations.parquet").rdd.getNumPartitions() > 2
+
+
+def test_stretches_join_deltas_that_follow_each_other():
+    data = [("a", 1, "b\n", False), ("b", 0, "x", None), ("a", 0, "ä", False), ("a", 3, "d", True), ("a", 4, "e", False), ("a", 1, "no", False), (None, 7, None, False)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("run_id", "seq", "delta", "is_end"), row)) for row in data])
+    got = [r for made in stretches(iter([batch, batch.slice(0, 0)])) for r in made.to_pylist()]
+    plain = {(r["run_id"], r["seq"], r["n"], r["text"], np.frombuffer(r["ends"], "<i4").tobytes().hex(), r["breaks"].hex(), r["is_end"]) for r in got}
+    number = lambda *ns: b"".join(n.to_bytes(4, "little") for n in ns).hex()
+    assert plain == {
+        ("a", 0, 2, "äb\n", number(1, 3), number(1), False),
+        ("a", 3, 1, "d", number(1), "", True),
+        ("a", 4, 1, "e", number(1), "", False),
+        ("b", 0, 1, "x", number(1), "", False),
+        (None, 7, 1, "", number(0), "", False),
+    }

@@ -416,3 +416,18 @@ def test_stage_folders(spark, rows):
     for master in ("local", "local[4]", "local[*]"):
         alone = Session(master)
         assert stages.shared_folder(alone) == stages.shared_folder(alone)
+
+
+def test_one_call_at_a_time_needs_no_thread(spark, rows):
+    def completer(messages, model, temperature, max_tokens):
+        import threading
+
+        return str(threading.current_thread() is threading.main_thread())
+
+    for threads, wanted in ((1, {"True"}), (2, {"False"})):
+        done = infer.complete_stored(_calls(rows, ["one", "two"]), completer, new_folder(spark, "store"), threads=threads)
+        assert {r.content for r in done.collect()} == wanted
+
+
+def test_a_table_of_many_parts_is_not_dealt_again(spark):
+    assert spread(spark.range(0, 100, 1, 16), "id", 5).rdd.getNumPartitions() == 16

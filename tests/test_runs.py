@@ -431,3 +431,38 @@ def test_one_call_at_a_time_needs_no_thread(spark, rows):
 
 def test_a_table_of_many_parts_is_not_dealt_again(spark):
     assert spread(spark.range(0, 100, 1, 16), "id", 5).rdd.getNumPartitions() == 16
+
+
+def test_rows_of_earlier_calls_are_left_where_they_are(spark, rows):
+    store = CompletionStore(spark, new_folder(spark, "store"))
+    answer = lambda text: lambda messages, model, temperature, max_tokens: text
+    infer.complete_stored(_calls(rows, [f"a{i}" for i in range(200)]), answer("first"), store.path)
+    old = store.segments()[0]
+    done = infer.complete_stored(_calls(rows, ["b", "c"]), answer("second"), store.path)
+    assert {r.content for r in done.collect()} == {"second"}
+    assert not [path for path in done.inputFiles() if old in path]
+    # Where they are asked for, they are found, and only they are moved.
+    mixed = infer.complete_stored(_calls(rows, ["a7", "b", "d", "d"]), answer("third"), store.path)
+    assert sorted((r.id, r.content) for r in mixed.collect()) == [(0, "first"), (1, "second"), (2, "third"), (3, "third")]
+
+
+def test_a_compaction_meanwhile_hides_no_completion(spark, rows):
+    store = CompletionStore(spark, new_folder(spark, "store"))
+    answer = lambda text: lambda messages, model, temperature, max_tokens: text
+    infer.complete_stored(_calls(rows, ["a", "b"]), answer("first"), store.path)
+    infer.complete_stored(_calls(rows, ["c"]), answer("first"), store.path)
+    append = CompletionStore.append
+
+    def compacting(self, made):
+        append(self, made)
+        CompletionStore(spark, self.path).compact()
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(CompletionStore, "append", compacting)
+        done = infer.complete_stored(_calls(rows, ["a", "c", "d"]), answer("second"), store.path)
+    assert {r.id: r.content for r in done.collect()} == {0: "first", 1: "first", 2: "second"}
+
+
+def test_reports_are_worked_out_once(spark, sf_dir):
+    run = _run(spark, sf_dir, completer=infer.extractive_completer(), store=new_folder(spark, "store"))
+    assert all("/reports-" in path for path in run.reports.inputFiles())

@@ -1,4 +1,9 @@
 import json
+import random
+import time
+import uuid
+from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +13,7 @@ from dossier.operators import assemble, infer, pages, prompts, runlog, search, v
 from dossier.plans import workload as given
 from dossier.operators.requests import list_fanout, validate
 from dossier.plans.research import ResearchRun, choose_agents, plan_queries
+from dossier.settings import JobSettings
 from dossier.sinks import outputs
 from dossier.sinks import stage as stages
 from dossier.sinks.completions import CompletionStore
@@ -466,3 +472,147 @@ def test_a_compaction_meanwhile_hides_no_completion(spark, rows):
 def test_reports_are_worked_out_once(spark, sf_dir):
     run = _run(spark, sf_dir, completer=infer.extractive_completer(), store=new_folder(spark, "store"))
     assert all("/reports-" in path for path in run.reports.inputFiles())
+
+
+def _bytes_shuffled(spark):
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    none = context._gateway.new_array(context._jvm.double, 0)
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, none, context._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def _noise(seed, length):
+    rng = random.Random(seed)
+    return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(length))
+
+
+def test_a_text_is_not_moved_for_each_call_that_quotes_it(spark, rows):
+    # One page that 60 runs visit.  Its text was staged, and shuffled twice, for each of them.
+    text = "word " + _noise(1, 40_000)
+    crawled = rows([(1, "u", f"<p>{text}</p>")], "page_id long, url string, html string")
+    base = rows(
+        [(f"r{i}", f"t{i}", "research_report", "A", None, f'["word {i}"]') for i in range(60)],
+        "run_id string, task string, report_type string, agent string, agent_role_prompt string, reply string",
+    )
+    brief = lambda messages, model, temperature, max_tokens: messages[0]["content"][-300:-280]
+    store = new_folder(spark, "store")
+    run = ResearchRun(base, crawled, completer=brief, store=store)
+    run.texts.count()
+    before = _bytes_shuffled(spark)
+    done = run.chunk_summaries.collect()
+    # A first paragraph over the limit has an empty chunk before it.
+    assert len(done) == 120 and all(r.error is None and bool(r.summary) == (r.part == 1) for r in done)
+    assert _bytes_shuffled(spark) - before < 60 * 40_000 / 3
+    messages = prompts.summary_messages(F.col("chunk"), F.col("query"))
+    whole = prompts.call_table(run.visit_chunks.withColumn("messages", messages), "gpt-3.5-turbo-16k")
+    assert {r.prompt_id for r in whole.collect()} == {r.prompt_id for r in infer.completion_store(spark, store).collect()}
+
+
+def test_quoted_texts_give_the_same_calls(spark, rows, tmp_path):
+    # Equal texts under several keys, rows that come twice, texts that come twice, and other texts under one key.
+    texts = rows([("a", "one"), ("a", "one"), ("b", "one"), ("b", "two"), ("c", "x" * 5000), ("d", None)], "k string, t string")
+    asked = rows([(i, "abcde"[i % 5], f"q{i % 3}") for i in range(40)] + [(0, "a", "q0"), (41, None, "q0")], "id int, k string, q string")
+    messages = prompts.summary_messages(F.col("t"), F.col("q"))
+    calls = prompts.call_table(asked.join(texts, "k").withColumn("messages", messages), "m")
+    calls = stage(calls, "calls")
+
+    def completer(messages, model, temperature, max_tokens):
+        with open(tmp_path / uuid.uuid4().hex, "w") as log:
+            log.write(str(messages))
+        if "two" in str(messages):
+            raise RuntimeError("refused")
+        return str(messages)[:200]
+
+    shown = lambda done: sorted(map(str, done.select("id", "k", "q", "prompt_id", "content", "error").collect()))
+    want = shown(infer.complete_stored(calls, completer, new_folder(spark, "store")))
+    made = first = len(list(tmp_path.iterdir()))
+    for shared, tasks in ((False, 3), (True, 3), (True, 1), (True, 40)):
+        source = stage(texts, "texts")
+        quoted = infer.Quoted(source, ["k"], "t", "q", messages, shared)
+        store = new_folder(spark, "store")
+        assert shown(infer.complete_stored(calls, completer, store, quoted=quoted, tasks=tasks)) == want
+        made += first
+        assert len(list(tmp_path.iterdir())) == made
+
+
+def test_calls_that_quote_one_text_are_spread(spark, rows):
+    def completer(messages, model, temperature, max_tokens):
+        from pyspark import TaskContext
+
+        return str(TaskContext.get().partitionId())
+
+    texts = stage(rows([(i, f"{i} " + "x" * 100) for i in range(50)], "k int, t string"), "texts")
+    asked = rows([(i, 7 if i < 1000 else i % 50, f"q{i}") for i in range(1200)], "id int, k int, q string")
+    messages = prompts.summary_messages(F.col("t"), F.col("q"))
+    calls = prompts.call_table(asked.join(texts, "k").withColumn("messages", messages), "m")
+    quoted = infer.Quoted(texts, ["k"], "t", "q", messages, shared=True)
+    done = infer.complete_stored(calls, completer, new_folder(spark, "store"), quoted=quoted, tasks=8).collect()
+    tasks = lambda k: Counter(r.content for r in done if (r.k == 7) == (k == 7) and (k == 7 or r.k == k))
+    assert max(tasks(7).values()) < 2 * 1200 / 8
+    assert all(len(tasks(k)) == 1 for k in range(50) if k != 7)
+
+
+def test_a_stage_leaves_no_shuffle_files(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = manager.getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    kept = spark.range(1000).repartition(3, "id")
+    kept.count()
+    before = shuffled()
+    table = stage(spark.range(10_000).repartition(5, "id"), "t")
+    deadline = time.time() + 20
+    while shuffled() - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert table.count() == 10_000 and spark.conf.get(stages.SHUFFLES_GO, None) is None
+
+
+def test_scratch_stages_go_with_their_work(spark, rows):
+    folders = lambda: {str(p) for p in _listed(spark)}
+    stage(rows([(0,)], "x int"), "before")
+    before = folders()
+    made = stages.stage_alone(spark, lambda: stage(stage(rows([(1,)], "x int"), "a"), "b"), "alone")
+    assert [r.x for r in made.collect()] == [1]
+    with pytest.raises(OSError), stages.scratch(spark, "work"):
+        stage(rows([(1,)], "x int"), "c")
+        raise OSError
+    assert {f.split("/")[-1].rsplit("-", 1)[0] for f in folders() - before} == {"alone"}
+    # Another thread's stages are its own.
+    with ThreadPoolExecutor(1) as pool, stages.scratch(spark, "work"):
+        other = pool.submit(stage, rows([(2,)], "x int"), "other").result()
+    assert [r.x for r in other.collect()] == [2]
+
+
+def _listed(spark):
+    path = spark._jvm.org.apache.hadoop.fs.Path(stages.run_folder(spark))
+    return [s.getPath() for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
+
+
+def test_a_dense_group_is_whole_after_one_move(rows):
+    data = [(g, i, None if i % 7 == 3 else f"{g}{i}", "e%d" % i if (i % 7 == 3 and g != "c") else None) for g, n in zip("abcd", (3, 4, 9, 30)) for i in range(n)]
+    frame = rows(data[::-1], "g string, o long, v string, error string").repartition(3)
+    got = {r.g: (r.s, r._failed) for r in ordered_concat(frame, ["g"], "o", "v", "\n", "s", 4, dense=True, errors="error").collect()}
+    want = {g: "\n".join(v for h, _, v, _ in data if h == g and v is not None) for g in "abcd"}
+    assert got == {g: (want[g], "e3" if g in "bd" else None) for g in "abcd"}
+
+
+def test_the_first_failed_chunk_is_a_findings_error(spark, rows):
+    def completer(messages, model, temperature, max_tokens):
+        if "bad" in messages[0]["content"][:40]:
+            raise RuntimeError("refused " + messages[0]["content"][3:7])
+        return "fine"
+
+    pages_ = [(1, "u", "<p>word one</p>"), (2, "v", "<p>word two</p><p>bad2 x</p><p>bad3 x</p>")]
+    base = rows(
+        [("r", "t", "research_report", "A", None, '["word"]')],
+        "run_id string, task string, report_type string, agent string, agent_role_prompt string, reply string",
+    )
+    settings = JobSettings(chunk_chars=10)
+    run = ResearchRun(base, rows(pages_, "page_id long, url string, html string"), settings, completer, new_folder(spark, "store"))
+    found = {r.url: (r.status, r.content) for r in run.findings.collect()}
+    assert found["u"] == ("ok", "Information gathered from url u: fine")
+    assert found["v"] == ("error", "Error processing the url v: refused bad2")

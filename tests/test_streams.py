@@ -289,3 +289,16 @@ def test_stretches_join_deltas_that_follow_each_other():
         ("b", 0, 1, "x", number(1), "", False),
         (None, 7, 1, "", number(0), "", False),
     }
+
+
+def test_what_a_batch_stages_goes_with_it(rows, spark, sf_dir, tmp_path):
+    stream = run_stream(spark, sf_dir, str(tmp_path))
+
+    def staged():
+        path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+        return {str(s.getPath()) for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)}
+
+    before = staged()
+    assert stream.run_batch(rows([("a", start_message("and the of things"))], "run_id string, message string"), 0) is True
+    assert {path.split("/")[-1].rsplit("-", 1)[0] for path in staged() - before} == {"store", "out"}
+    assert [r.run_id for r in stream.results.read("reports").collect()] == ["a"]
